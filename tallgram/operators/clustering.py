@@ -5,25 +5,28 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import sq_distance
 from ..layouts import dense_block, list_array
-from ..session import map_arrow, stored
-from .algebra import small_matrix
+from ..session import check_bytes, map_arrow, small_rows, stored, task_limit
 from .kernels import Spec
 from .sketch import sketch
 from .spectra import leading_vectors, spectrum
 
 CENTERS = "label int, center array<double>"
+MAX_CENTERS = 100_000
 
 
 def centers_array(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Labels and centres on the driver (k x m numbers, size-checked), in label order."""
-    table = centers.select(F.col("label").cast("bigint").alias("row_id"), F.col("center").alias("vec"))
-    labels = np.array(sorted(r.label for r in centers.select("label").collect()), dtype=np.int32)
-    return labels, small_matrix(table, "the centres")
+    found = small_rows(centers.select("label", "center"), MAX_CENTERS, "the centre table")
+    found.sort(key=lambda r: r.label)
+    points = np.array([r.center for r in found], dtype=np.float64)
+    check_bytes(points.nbytes, "the centres")
+    return np.array([r.label for r in found], dtype=np.int32), points
 
 
 def _nearest(block: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,12 +113,12 @@ def cost_from_labels(labelled: DataFrame) -> DataFrame:
 
 
 def lloyd(rows: DataFrame, centers: DataFrame, steps: int) -> DataFrame:
-    """Exactly ``steps`` Lloyd iterations from given centres; a centre without rows stays put."""
-    spark = rows.sparkSession
+    """At most ``steps`` Lloyd iterations from given centres, fewer when they stop moving; a centre
+    without rows stays put. Each step is one pass: tasks hand over k x (m + 1) sums."""
+    labels, points = centers_array(centers)
     for _ in range(steps):
-        labels, points = centers_array(centers)
 
-        def sums(batches, labels=labels, points=points):
+        def sums(batches, points=points):
             total = np.zeros((len(points), points.shape[1] + 1))
             for batch in batches:
                 if batch.num_rows:
@@ -124,24 +127,28 @@ def lloyd(rows: DataFrame, centers: DataFrame, steps: int) -> DataFrame:
                     hot = np.zeros((len(points), len(block)))
                     hot[choice, np.arange(len(block))] = 1.0
                     total += np.hstack([hot @ block, hot.sum(axis=1)[:, None]])
-            yield pa.RecordBatch.from_arrays([pa.array(labels), list_array(total)], ["label", "part"])
-
-        parts = map_arrow(rows.select("row_id", "vec"), sums, "label int, part array<double>")
-        summed = (
-            parts.select("label", F.posexplode("part").alias("j", "v"))
-            .groupBy("label", "j")
-            .agg(F.sum("v").alias("v"))
-            .groupBy("label")
-            .agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("jv"))
-            .select(F.col("label").cast("bigint").alias("row_id"), F.col("jv.v").alias("vec"))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(points), dtype=np.int32)), list_array(total)], ["c", "part"]
+            )
+
+        parts = map_arrow(
+            rows.select("row_id", "vec").coalesce(task_limit(rows.sparkSession)),
+            sums,
+            "c int, part array<double>",
         )
-        total = small_matrix(summed, "the centres")
+        summed = (
+            parts.select("c", F.posexplode("part").alias("j", "v")).groupBy("c", "j").agg(F.sum("v").alias("v"))
+        ).toArrow()
+        total = np.zeros((len(points), points.shape[1] + 1))
+        total[summed["c"].to_numpy(), summed["j"].to_numpy()] = summed["v"].to_numpy()
         count = total[:, -1:]
         moved = np.where(count > 0, total[:, :-1] / np.maximum(count, 1.0), points)
-        centers = spark.createDataFrame(
-            [(int(label), [float(x) for x in c]) for label, c in zip(labels, moved)], CENTERS
-        )
-    return centers
+        if np.array_equal(moved, points):
+            break
+        points = moved
+    return rows.sparkSession.createDataFrame(
+        [(int(label), [float(x) for x in c]) for label, c in zip(labels, points)], CENTERS
+    )
 
 
 def kmeans_train(rows: DataFrame, k: int, seed: int = 0, steps: int = 20, starts: DataFrame | None = None):
@@ -150,11 +157,12 @@ def kmeans_train(rows: DataFrame, k: int, seed: int = 0, steps: int = 20, starts
         centers = lloyd(rows, starts, steps)
         labelled = nearest_centroid(rows, centers, keep_vec=True)
         return kmeans_cost_nearest(rows, centers).first().cost, centers, labelled
-    model = KMeans(k=k, seed=seed, maxIter=steps, featuresCol="vec", predictionCol="label").fit(rows)
+    points = rows.withColumn("point", array_to_vector("vec"))
+    model = KMeans(k=k, seed=seed, maxIter=steps, featuresCol="point", predictionCol="label").fit(points)
     centers = rows.sparkSession.createDataFrame(
         [(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())], CENTERS
     )
-    return model.summary.trainingCost, centers, model.transform(rows)
+    return model.summary.trainingCost, centers, model.transform(points).drop("point")
 
 
 def reduced_features(rows: DataFrame, l: int, alpha: float = 0.2) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import gaussian_hash
 from ..session import check_bytes, map_arrow
-from .kernels import LINEAR, Spec
+from .kernels import LINEAR, Spec, orthonormal
 from .sketch import sketch
 
 SCORES = (
@@ -92,41 +92,47 @@ def sketch_and_score(
 
 
 def spectral_norm_wide(
-    matrix: DataFrame, m: int, sketch_matrix: np.ndarray | None = None, tol: float = 1e-8, steps: int = 60, seed: int = 0
+    matrix: DataFrame,
+    m: int,
+    sketch_matrix: np.ndarray | None = None,
+    tol: float = 1e-6,
+    passes: int = 40,
+    block: int = 16,
+    seed: int = 0,
 ) -> float:
     """Largest absolute eigenvalue of A'A (minus B'B when ``sketch_matrix`` B is given).
 
-    For matrices too wide for an m x m Gram matrix: Lanczos steps, each one pass that ships an
-    m-vector to the tasks and adds up A'(A x). Stops when the estimate moves by less than ``tol``.
+    For matrices too wide for an m x m Gram matrix: block Krylov steps, each one pass that ships an
+    m x block matrix X to the tasks and adds up A'(A X). Blocks keep the number of passes over the
+    data low. Stops when the estimate moves by less than ``tol``. ``matrix`` is read once per pass,
+    so a costly plan should be stored first.
     """
-    check_bytes(8 * m * steps, "the Lanczos basis")
-    basis = [_unit(gaussian_hash(np.arange(m), 0, seed))]
-    images: list[np.ndarray] = []
+    block = min(block, m)
+    check_bytes(16 * m * block * passes, "the Krylov basis")
+    x = orthonormal(gaussian_hash(np.arange(m)[:, None], np.arange(block)[None, :], seed))
+    basis, images = np.zeros((m, 0)), np.zeros((m, 0))
     best = 0.0
-    for _ in range(min(steps, m)):
-        x = basis[-1]
-        row = sketch(matrix, Spec("product", 1), m=m, aux={0: x[:, None]}).first()
-        y = np.asarray(row["data"])
+    for _ in range(passes):
+        row = sketch(matrix, Spec("product", x.shape[1]), m=m, aux={0: x}, strict=False).first()
+        y = np.asarray(row["data"]).reshape(x.shape[1], m).T
         if sketch_matrix is not None:
             y = y - sketch_matrix.T @ (sketch_matrix @ x)
-        images.append(y)
-        q = np.array(basis)
-        small = q @ np.array(images).T
+        basis, images = np.hstack([basis, x]), np.hstack([images, y])
+        small = basis.T @ images
         estimate = float(np.abs(np.linalg.eigvalsh((small + small.T) / 2)).max())
         settled = abs(estimate - best) <= tol * max(estimate, 1e-300)
         best = estimate
-        rest = y - q.T @ (q @ y)
-        rest -= q.T @ (q @ rest)
-        if settled or np.linalg.norm(rest) <= 1e-12 * max(np.linalg.norm(y), 1e-300):
+        if settled or basis.shape[1] >= m:
+            break
+        rest = y - basis @ (basis.T @ y)
+        rest -= basis @ (basis.T @ rest)
+        fresh, r = np.linalg.qr(rest)
+        x = fresh[:, np.abs(np.diag(r)) > 1e-12 * max(np.abs(y).max(), 1e-300)][:, : m - basis.shape[1]]
+        if x.shape[1] == 0:
             break
-        basis.append(_unit(rest))
     return best
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.linalg.norm(x)
-
-
 def fd_bound(sq_norm, l: int):
     """2 |A|_F^2 / l, an upper bound on the unnormalised covariance error."""
     return 2.0 * sq_norm / l

@@ -24,7 +24,7 @@ from .kernels import LINEAR, SHRINKING, Spec, accumulator
 STATE = (
     "key string, grid_id int, phase int, part int, kind string, l int, b int, alpha double, m int, "
     "filled int, n_rows bigint, delta double, delta_first double, mass_lost double, "
-    "data array<double>"
+    "mark bigint, data array<double>"
 )
 FAN_IN = 64
 LIVE_BYTES = 512 << 20
@@ -45,6 +45,7 @@ _ARROW = pa.schema(
         ("delta", pa.float64()),
         ("delta_first", pa.float64()),
         ("mass_lost", pa.float64()),
+        ("mark", pa.int64()),
         ("data", pa.list_(pa.float64())),
     ]
 )
@@ -64,7 +65,7 @@ def _labelled(acc, spec: Spec, key, phase: int, part: int, final: bool = False)
     own = acc.spec
     return acc.state(final) | dict(
         key=key, grid_id=spec.grid_id, phase=phase, part=part, kind=spec.kind, l=own.l,
-        b=own.extra, alpha=own.alpha,
+        b=own.extra, alpha=own.alpha, mark=acc.mark,
     )
 
 
@@ -106,6 +107,7 @@ def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_byt
             continue
         columns = batch.schema.names
         ids = batch.column("row_id").to_numpy(zero_copy_only=False)
+        marks = batch.column("mark").to_numpy(zero_copy_only=False) if "mark" in columns else None
         sparse = "idx" in columns
         if sparse:
             idx_column = batch.column("idx")
@@ -126,9 +128,12 @@ def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_byt
                     acc = live.get(name)
                     if acc is None:
                         acc = live[name] = accumulator(spec, width, phase, aux.get(spec.grid_id))
+                        acc.mark = None
                         held += _size(acc)
                     else:
                         live.move_to_end(name)
+                    if marks is not None:
+                        acc.mark = latest(acc.mark, int(marks[rows].max()))
                     if acc.m != width:
                         raise ValueError(f"vectors of width {width} and {acc.m} in one matrix")
                     if sparse:
@@ -149,6 +154,10 @@ def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_byt
         yield state_batch([_labelled(acc, _spec(specs, grid_id), key, phase, part)])
 
 
+def latest(a: int | None, b: int | None) -> int | None:
+    return b if a is None else a if b is None else max(a, b)
+
+
 def _size(acc) -> int:
     return acc.buffer.nbytes if hasattr(acc, "buffer") else acc.total.nbytes
 
@@ -221,7 +230,9 @@ def _combine(batches, specs, aux: dict, final: bool, strict: bool):
             spec = _spec(specs, row["grid_id"])
             current = name
             acc = accumulator(spec, row["m"], row["phase"], aux.get(spec.grid_id))
+            acc.mark = None
         acc.merge(row)
+        acc.mark = latest(acc.mark, row["mark"])
     if acc is not None:
         for ready in done():
             yield state_batch([ready])
@@ -241,6 +252,8 @@ def partial_states(
     """States of the rows each task reads. ``matrix`` is in row layout or, with ``m`` given, in
     sparse-row layout; ``key`` names a column that splits it into independent matrices.
 
+    A ``mark`` column (BIGINT) is carried along as the largest value each state has seen.
+
     ``buckets`` asks for a reproducible split instead of the scan's own: rows are exchanged by a
     hash of ``row_id`` into that many buckets and sorted, so results do not depend on file layout.
     """
@@ -254,6 +267,7 @@ def partial_states(
     if sparse and m is None:
         raise ValueError("sparse rows need the number of columns m")
     columns = ["row_id", "idx", "val"] if sparse else ["row_id", "vec"]
+    columns += ["mark"] if "mark" in matrix.columns else []
     picked = matrix.select(*columns, *([F.col(key).cast("string").alias("key")] if key else []))
     if buckets:
         picked = picked.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(buckets)))

@@ -101,7 +101,8 @@ def entries_to_state(entries: DataFrame, l: int, m: int, grid_id: int = 0) -> Da
     fixed = dict(
         key=F.lit(None), grid_id=F.lit(grid_id), phase=F.lit(0), part=F.lit(0), kind=F.lit("cw"),
         l=F.lit(l), b=F.lit(0), alpha=F.lit(1.0), m=F.lit(m), filled=F.lit(l), n_rows=F.lit(None),
-        delta=F.lit(None), delta_first=F.lit(None), mass_lost=F.lit(None), data=filled,
+        delta=F.lit(None), delta_first=F.lit(None), mass_lost=F.lit(None), mark=F.lit(None),
+        data=filled,
     )
     packed = entries.agg(cell.alias("cells"))
     return packed.select(

@@ -86,6 +86,7 @@ def _fold(acc, spec: Spec, frames):
         for row in frame.to_dict("records"):
             if acc is None:
                 acc = accumulator(spec, int(row["m"]))
+                acc.mark = None
             acc.merge(row | {"data": np.asarray(row["data"])})
     return acc
 
@@ -102,6 +103,7 @@ def _loaded(spec: Spec, saved: tuple):
     names = [f.split()[0] for f in _STATE_SCHEMA.split(", ")]
     row = dict(zip(names, saved))
     acc = accumulator(spec, int(row["m"]))
+    acc.mark = None
     acc.merge(row | {"data": np.asarray(row["data"], dtype=np.float64)})
     return acc
 
@@ -131,10 +133,14 @@ def stream_sketch_windowed(
     wider or sliding windows are merges of these panes.
     """
     spec = spec.check()
-    marked = stream.withWatermark(ts, delay)
     end = F.unix_millis(F.window(ts, width).end)
-    late = marked.withColumn("window_end", end)
-    partial = partial_states(late, [spec], key="window_end")
+    timed = stream.withColumn("window_end", end).withColumn("mark", F.unix_micros(ts))
+    # States carry the latest event time they have seen, which is what moves the watermark.
+    partial = (
+        partial_states(timed, [spec], key="window_end")
+        .withColumn("seen", F.timestamp_micros("mark"))
+        .withWatermark("seen", delay)
+    )
 
     def update(group, frames, state: GroupState):
         if state.hasTimedOut:

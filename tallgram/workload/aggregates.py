@@ -10,6 +10,7 @@ from ..operators import spectra as X
 from ..operators.algebra import matmul
 from ..operators.kernels import Spec
 from ..operators.sketch import sketch
+from ..session import stored
 from .registry import (
     ACCOUNT_MASS, ACCOUNTS, EMB, EMB_MASS, HOURS, LINE_MASS, account_entries, embeddings, entries_out,
     line_matrix, query, rounded, sql_rounded,
@@ -65,7 +66,7 @@ def spectral_norm(spark, sf):
 
 @query(
     "thin_svd",
-    f"WITH {_A} SELECT CAST(m AS BIGINT) AS k, {sql_rounded('s', 4)} AS energy, true AS descending, {sql_rounded('m', 4)} AS vector_mass FROM a, t",
+    f"WITH {_A} SELECT CAST(m AS BIGINT) AS k, {sql_rounded('s', 4)} AS energy, true AS descending, CAST(m AS DOUBLE) AS vector_mass FROM a, t",
 )
 def thin_svd(spark, sf):
     svd = X.thin_svd(embeddings(spark, sf, "float"))
@@ -131,7 +132,8 @@ def randomized_svd(spark, sf):
 def randomized_svd_sparse(spark, sf):
     entries = account_entries(spark, sf)
     total = R.sq_frobenius(entries).scalar()
-    svd = X.randomized_svd(entries_to_sparse_rows(entries, summed=True), 8, HOURS, power=1)
+    sparse = stored(entries_to_sparse_rows(entries, summed=True), "sparse")
+    svd = X.randomized_svd(sparse, 8, HOURS, power=1)
     return svd.agg(
         F.count("*").alias("k"),
         (F.sum(F.col("sigma") * F.col("sigma")) <= F.max(total)).alias("below_total"),
@@ -160,11 +162,11 @@ def cov_error_sparse(spark, sf):
     """Sparse matrix: Lanczos on A'A - B'B, no m x m matrix anywhere."""
     import numpy as np
 
-    sparse = entries_to_sparse_rows(account_entries(spark, sf), summed=True)
+    sparse = stored(entries_to_sparse_rows(account_entries(spark, sf), summed=True), "sparse")
     state = sketch(sparse, Spec("sparse_batch_pfd", 8, b=32, alpha=0.5), m=HOURS)
     row = state.first()
     b = np.asarray(row["data"]).reshape(-1, HOURS)
-    err = R.spectral_norm_wide(sparse, HOURS, b, steps=30)
+    err = R.spectral_norm_wide(sparse, HOURS, b)
     return R.sq_frobenius(account_entries(spark, sf)).select(
         rounded("sq_norm", 4).alias("sq_norm"),
         (F.lit(err) <= F.lit(row["delta"]) + 1e-6 * F.col("sq_norm")).alias("err_le_delta"),

@@ -18,9 +18,9 @@ _LINE_CELLS = (
 )
 
 
-@query("row_slice", sql_cells(f"{_LINE_CELLS} WHERE i BETWEEN 8000 AND 64000"))
+@query("row_slice", sql_cells(f"{_LINE_CELLS} WHERE i BETWEEN 8000 AND 64000", 8))
 def row_slice(spark, sf):
-    return cells(A.row_slice(line_matrix(spark, sf), 8000, 64000))
+    return cells(A.row_slice(line_matrix(spark, sf), 8000, 64000), 8)
 
 
 @query("truncate_rows", sql_cells(f"{EMB} WHERE i < 200"))
@@ -51,9 +51,9 @@ def zero_rows(spark, sf):
     return A.zero_rows(events.select(F.col("user_id").alias("row_id")).distinct(), entries)
 
 
-@query("to_sparse", sql_cells(f"{_LINE_CELLS} WHERE v <> 0"))
+@query("to_sparse", sql_cells(f"{_LINE_CELLS} WHERE v <> 0", 8))
 def to_sparse(spark, sf):
-    return entries_out(rows_to_entries(line_matrix(spark, sf)))
+    return entries_out(rows_to_entries(line_matrix(spark, sf)), 8)
 
 
 _DENSE = f"""

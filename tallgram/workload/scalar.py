@@ -59,8 +59,8 @@ def sq_distance(spark, sf):
         rows.select(F.posexplode("vec").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("c"))
         .agg(F.sort_array(F.collect_list(F.struct("j", "c")))["c"].alias("c"))
     )
-    return rows.select(
-        "row_id", rounded(C.sq_distance(F.col("vec"), mean.scalar())).alias("d")
+    return rows.withColumn("mean", mean.scalar()).select(
+        "row_id", rounded(C.sq_distance(F.col("vec"), F.col("mean"))).alias("d")
     )
 
 

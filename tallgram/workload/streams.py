@@ -16,7 +16,9 @@ from .sketches import _cw_sql
 
 
 def _stream(spark, sf, name):
-    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parquet")
+    """The table as a file stream; the bracket makes the path a pattern, which fits one file as well
+    as a folder of parts."""
+    return spark.readStream.schema(table(spark, sf, name).schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 def _rows(stream):
@@ -90,8 +92,10 @@ WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOU
 )
 def stream_sketch_windowed_query(spark, sf):
     """Daily windows, emitted once the watermark (one hour behind) has passed them."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     events = _stream(spark, sf, "events").select(
-        F.col("event_id").alias("row_id"), F.array(F.lit(1.0), F.col("value") / 10).alias("vec"), "ts"
+        F.col("event_id").alias("row_id"), F.array(F.lit(1.0), F.col("value") / 10).alias("vec"),
+        F.timestamp_micros(micros).alias("ts"),
     )
     panes = stream_sketch_windowed(events, "ts", "1 day", "1 hour", Spec("batch_fd", 2, b=50))
     states = _collected(spark, panes, "append")
