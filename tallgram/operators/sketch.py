@@ -231,6 +231,8 @@ def _combine(batches, specs, aux: dict, final: bool, strict: bool):
             current = name
             acc = accumulator(spec, row["m"], row["phase"], aux.get(spec.grid_id))
             acc.mark = None
+        if row["m"] != acc.m:
+            raise ValueError(f"vectors of width {row['m']} and {acc.m} in one matrix")
         acc.merge(row)
         acc.mark = latest(acc.mark, row["mark"])
     if acc is not None:

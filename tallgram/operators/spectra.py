@@ -87,7 +87,7 @@ def thin_svd(matrix: DataFrame, m: int | None = None) -> DataFrame:
     return spectrum(gram_state(matrix, m)).select("k", "sigma", "v")
 
 
-def left_vectors(rows: DataFrame, svd: DataFrame, tol: float = 1e-10) -> DataFrame:
+def left_vectors(rows: DataFrame, svd: DataFrame, tol: float = 1e-7) -> DataFrame:
     """Rows of U = A V / sigma, for the directions with sigma above ``tol`` of the largest."""
     sigma, v = small_svd(svd)
     good = sigma > tol * sigma[0]
@@ -139,8 +139,9 @@ def low_rank_sketch(states: DataFrame, k: int) -> DataFrame:
     return spectrum(states).filter(F.col("k") < k)
 
 
-def leading_vectors(svd: DataFrame, k: int, tol: float = 1e-12) -> np.ndarray:
-    """The first k right vectors, without those of vanishing sigma."""
+def leading_vectors(svd: DataFrame, k: int, tol: float = 1e-7) -> np.ndarray:
+    """The first k right vectors, without those of vanishing sigma (a Gram matrix resolves sigma to
+    about 1e-8 of the largest)."""
     sigma, v = small_svd(svd.filter(F.col("k") < k))
     return v[sigma > tol * sigma[0]]
 
