@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..layouts import ROWS, dense_block, list_array
-from ..session import SMALL_MATRIX_BYTES, check_bytes, map_arrow, small_rows
+from ..session import check_bytes, map_arrow, small_rows, stored
 
 
 def row_slice(rows: DataFrame, start: int, end: int) -> DataFrame:
@@ -55,26 +55,14 @@ def diag_mult(diagonal: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def matmul(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Product in entry layout. Each left entry meets one packed right row, so the join has one
-    output row per left entry; terms are summed on the map side. AQE broadcasts the right side when
-    it turns out small and splits a hot inner index."""
-    packed = right.groupBy(F.col("i").alias("inner")).agg(
-        F.collect_list(F.struct("j", "v")).alias("cells")
-    )
-    met = left.join(packed, left.j == packed.inner)
-    terms = met.select("i", F.col("v").alias("u"), F.explode("cells").alias("c"))
-    return terms.groupBy("i", F.col("c.j").alias("j")).agg(F.sum(F.col("u") * F.col("c.v")).alias("v"))
-
-
-def small_matrix(rows: DataFrame, what: str = "the small matrix") -> np.ndarray:
-    """A model-sized dense matrix (rows in ``row_id`` order), refused above the byte budget."""
-    width = rows.select(F.size("vec").alias("m")).first()
-    if width is None:
-        return np.zeros((0, 0))
-    found = small_rows(
-        rows.select("row_id", "vec"), SMALL_MATRIX_BYTES // (8 * max(width.m, 1)), what
-    )
-    return np.array([r.vec for r in sorted(found, key=lambda r: r.row_id)], dtype=np.float64)
+    """Product in entry layout: equi-join on the inner index, terms summed on the map side.
+
+    No broadcast is forced and nothing is packed per key, so a hot inner index is left to the skew
+    split of adaptive execution. A tall matrix times a small one is ``matmul_small``.
+    """
+    inner = right.select(F.col("i").alias("inner"), F.col("j").alias("to"), F.col("v").alias("w"))
+    met = left.join(inner, left.j == inner.inner)
+    return met.groupBy("i", F.col("to").alias("j")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
 def matmul_small(rows: DataFrame, right: np.ndarray) -> DataFrame:
@@ -136,8 +124,6 @@ def vstack(top: DataFrame, bottom: DataFrame) -> DataFrame:
 def numbered(ids: DataFrame, column: str) -> DataFrame:
     """Dense rank from zero of the distinct ids. The sort is range-partitioned; only the number of
     ids per range goes through a single-task window."""
-    from ..session import stored
-
     spread = ids.select(column).distinct().orderBy(column)
     ordered = stored(
         spread.withColumn("seq", F.monotonically_increasing_id()).withColumn(

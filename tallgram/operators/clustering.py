@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import sq_distance
 from ..layouts import dense_block, list_array
-from ..session import check_bytes, map_arrow, small_rows, stored, task_limit
+from ..session import check_bytes, lookup, map_arrow, small_rows, stored, task_limit
 from .kernels import Spec
 from .sketch import sketch
-from .spectra import leading_vectors, spectrum
+from .spectra import leading_vectors, project_rows, spectrum
 
 CENTERS = "label int, center array<double>"
 MAX_CENTERS = 100_000
@@ -65,8 +65,11 @@ def nearest_centroid(rows: DataFrame, centers: DataFrame, keep_vec: bool = False
 
 
 def label_join(labelled: DataFrame, centers: DataFrame) -> DataFrame:
-    """Each labelled row with the centre of its label."""
-    return labelled.join(centers, "label").select("row_id", "label", "vec", "center")
+    """Each labelled row with the centre of its label; the rows are not shuffled while the centres
+    are few enough to broadcast."""
+    return labelled.join(lookup(centers, "centers", MAX_CENTERS), "label").select(
+        "row_id", "label", "vec", "center"
+    )
 
 
 def kmeans_cost(labelled: DataFrame, centers: DataFrame) -> DataFrame:
@@ -165,50 +168,54 @@ def kmeans_train(rows: DataFrame, k: int, seed: int = 0, steps: int = 20, starts
     return model.summary.trainingCost, centers, model.transform(points).drop("point")
 
 
-def reduced_features(rows: DataFrame, l: int, alpha: float = 0.2) -> DataFrame:
-    """row_id, vec and the coordinates of each row on the first l directions of a sketch.
+def reduction(rows: DataFrame, l: int, alpha: float = 0.2) -> np.ndarray:
+    """Orthonormal rows spanning the first l directions of a sketch of the matrix.
 
     The sketch has m columns however many rows there are, where a sketch of the transpose would be
     as wide as the data is tall.
     """
     state = sketch(rows, Spec("rand_batch_pfd", l, b=l, alpha=alpha))
-    v = leading_vectors(spectrum(state), l)
+    return leading_vectors(spectrum(state), l)
+
+
+def label_by_reduced(rows: DataFrame, v: np.ndarray, centers: DataFrame) -> DataFrame:
+    """row_id, label, vec: the centre closest to each row's coordinates on ``v``. One narrow pass
+    over the original rows, so labels need not be joined back."""
+    labels, points = centers_array(centers)
 
-    def reduce(batches):
+    def assign(batches):
         for batch in batches:
             if batch.num_rows:
                 block = dense_block(batch.column("vec"))
+                choice, _ = _nearest(block @ v.T, points)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("row_id"), list_array(block), list_array(block @ v.T)],
-                    ["row_id", "vec", "features"],
+                    [batch.column("row_id"), pa.array(labels[choice]), list_array(block)],
+                    ["row_id", "label", "vec"],
                 )
 
     return map_arrow(
-        rows.select("row_id", "vec"),
-        reduce,
-        "row_id bigint, vec array<double>, features array<double>",
+        rows.select("row_id", "vec"), assign, "row_id bigint, label int, vec array<double>"
     )
 
 
+def sketch_labels(rows: DataFrame, l: int, ks: list[int], seed: int = 0, steps: int = 20):
+    """(k, labelled original rows) for each k: clusters found on l coordinates per row.
+
+    Only the coordinates are stored for the repeated passes of the training, not the rows.
+    """
+    v = reduction(rows, l)
+    features = stored(project_rows(rows, v, reduced=True), "features")
+    for k in ks:
+        _, centers, _ = kmeans_train(features, k, seed, steps)
+        yield k, label_by_reduced(rows, v, centers)
+
+
 def kmeans_on_sketch(rows: DataFrame, l: int, ks: list[int], seed: int = 0, steps: int = 20) -> DataFrame:
     """Cluster the reduced rows and score the labels on the originals, for each k; the full fit
     starts from the centres those labels imply. k, l, sketch_cost, full_cost."""
-    spark = rows.sparkSession
-    features = stored(reduced_features(rows, l), "features")
-    points = features.select("row_id", F.col("features").alias("vec"), F.col("vec").alias("original"))
-    rows_out = []
-    for k in ks:
-        _, _, labelled = kmeans_train(points, k, seed, steps)
-        original = labelled.select("row_id", "label", F.col("original").alias("vec"))
-        sketch_cost = cost_from_labels(original).first().cost
-        full_cost, _, _ = kmeans_train(rows, k, seed, steps, starts=compute_centers(original))
-        rows_out.append((k, l, float(sketch_cost), float(full_cost)))
-    return spark.createDataFrame(rows_out, "k int, l int, sketch_cost double, full_cost double")
-
-
-def sketch_labels(rows: DataFrame, l: int, k: int, seed: int = 0) -> DataFrame:
-    """row_id, label, vec: labels found on the reduced rows."""
-    features = stored(reduced_features(rows, l), "features")
-    points = features.select("row_id", F.col("features").alias("vec"), F.col("vec").alias("original"))
-    _, _, labelled = kmeans_train(points, k, seed)
-    return labelled.select("row_id", "label", F.col("original").alias("vec"))
+    costs = []
+    for k, labelled in sketch_labels(rows, l, ks, seed, steps):
+        sketch_cost = cost_from_labels(labelled).first().cost
+        full_cost, _, _ = kmeans_train(rows, k, seed, steps, starts=compute_centers(labelled))
+        costs.append((k, l, float(sketch_cost), float(full_cost)))
+    return rows.sparkSession.createDataFrame(costs, "k int, l int, sketch_cost double, full_cost double")

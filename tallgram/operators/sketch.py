@@ -127,6 +127,7 @@ def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_byt
                     name = (key, spec.grid_id, phase)
                     acc = live.get(name)
                     if acc is None:
+                        check_bytes(spec.state_bytes(width), f"a {spec.kind} state")
                         acc = live[name] = accumulator(spec, width, phase, aux.get(spec.grid_id))
                         acc.mark = None
                         held += _size(acc)

@@ -7,6 +7,7 @@ All grid points share a single pass over the data (each task keeps one accumulat
 from __future__ import annotations
 
 import time
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,22 +28,29 @@ def run_grid(
     k: int | None = None,
     key: str | None = None,
     m: int | None = None,
+    per_pass: int = 32,
 ) -> DataFrame:
     """Results rows for ``points``: dicts with ``spec``, ``variant``, ``param_name``,
-    ``param_value`` and optionally ``run``."""
-    specs, labels = [], []
-    for number, point in enumerate(points):
-        spec = point["spec"]
-        specs.append(Spec(**{**spec.__dict__, "grid_id": number}).check())
-        labels.append(
-            (number, point["variant"], point["param_name"], float(point["param_value"]), point.get("run", 0))
-        )
-    scored = sketch_and_score(matrix, specs, key=key, m=m, k=k)
-    grid = matrix.sparkSession.createDataFrame(
-        labels, "grid_id int, variant string, param_name string, param_value double, run int"
-    )
-    # One row per grid point on either side.
-    return _results(scored.join(F.broadcast(grid), "grid_id"), exp, dataset)
+    ``param_value`` and optionally ``run``. ``per_pass`` bounds the accumulators a task holds; a
+    larger grid takes several passes."""
+    out = None
+    for start in range(0, len(points), per_pass):
+        chunk = dict(enumerate(points[start : start + per_pass], start))
+        specs = [replace(p["spec"], grid_id=n).check() for n, p in chunk.items()]
+        scored = sketch_and_score(matrix, specs, key=key, m=m, k=k)
+        part = _results(scored.join(_grid(matrix, chunk), "grid_id"), exp, dataset)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _grid(matrix: DataFrame, points: dict[int, dict]) -> DataFrame:
+    """Labels of the grid points, one row each."""
+    labels = [
+        (n, p["variant"], p["param_name"], float(p["param_value"]), p.get("run", 0))
+        for n, p in points.items()
+    ]
+    schema = "grid_id int, variant string, param_name string, param_value double, run int"
+    return F.broadcast(matrix.sparkSession.createDataFrame(labels, schema))
 
 
 def _results(scored: DataFrame, exp: str, dataset: str, partitions=None, time_s=None) -> DataFrame:
@@ -169,16 +177,11 @@ def sweep_tweak_vs_batch(
         )
     if not double:
         return run_grid(matrix, points, "tweak", dataset, max(l // 2, 1))
-    specs = [Spec(**{**p["spec"].__dict__, "grid_id": n}) for n, p in enumerate(points)]
-    gram_id = len(specs)
-    states = sketch(matrix, [*specs, Spec("gram", grid_id=gram_id)])
+    specs = [replace(p["spec"], grid_id=n) for n, p in enumerate(points)]
+    states = sketch(matrix, [*specs, Spec("gram", grid_id=len(specs))])
     cut = states.filter("kind <> 'gram'").select(*truncated_state(l))
     scored = score(cut, states, max(l // 2, 1))
-    grid = matrix.sparkSession.createDataFrame(
-        [(n, p["variant"], p["param_name"], float(p["param_value"]), 0) for n, p in enumerate(points)],
-        "grid_id int, variant string, param_name string, param_value double, run int",
-    )
-    return _results(scored.join(F.broadcast(grid), "grid_id"), "tweak", dataset)
+    return _results(scored.join(_grid(matrix, dict(enumerate(points))), "grid_id"), "tweak", dataset)
 
 
 def truncated_state(l: int) -> list:

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes a small matrix (centres, singular vectors, one sketch) may take before it is refused.
 SMALL_MATRIX_BYTES = 1 << 30
@@ -24,6 +25,10 @@ def get_session(app: str = "tallgram", cpus: str | int = "*", **conf) -> SparkSe
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        .config(
+            "spark.sql.streaming.stateStore.providerClass",
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        )
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
     )
     for key, value in conf.items():
@@ -73,6 +78,17 @@ def check_bytes(n_bytes: int, what: str, budget: int = SMALL_MATRIX_BYTES) -> No
         raise ValueError(f"{what} needs {n_bytes} bytes, over the budget of {budget}")
 
 
+#: Rows a lookup table may have to be broadcast; beyond it the join shuffles both sides.
+BROADCAST_ROWS = 1_000_000
+
+
+def lookup(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A lookup table written once and counted: with a broadcast hint if it has at most ``limit``
+    rows, as it is (shuffled join, skew left to adaptive execution) if it has more."""
+    table = stored(df, label)
+    return F.broadcast(table) if table.count() <= limit else table
+
+
 _shipped: set[str] = set()
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import lookup
+
 
 def matrix_from_vectors(df: DataFrame, row_id, vec: str, element: str = "double") -> DataFrame:
     """Row layout from an id and an array column. ``element="float"`` keeps 4-byte elements, which
@@ -40,9 +42,10 @@ def pivot_to_sparse(df: DataFrame, row: str, column: str, value: str) -> DataFra
     """Entries (i, j, v) with v = sum(value); i is the row key, j the rank of the column value.
 
     The facts are summed per (row, column value) first, so a popular pair is combined on the map
-    side and the dictionary join sees each pair once.
+    side and the dictionary join sees each pair once. The dictionary is broadcast only after it
+    has been counted.
     """
     cells = df.groupBy(row, column).agg(F.sum(F.col(value).cast("double")).alias("v"))
-    return cells.join(dictionary(df, column), column).select(
+    return cells.join(lookup(dictionary(df, column), "dictionary"), column).select(
         F.col(row).cast("bigint").alias("i"), "j", "v"
     )

@@ -98,7 +98,7 @@ def kmeans_train(spark, sf):
     "SELECT count(*) AS n, true AS labels_in_range FROM embeddings",
 )
 def kmeans_on_sketch(spark, sf):
-    labels = K.sketch_labels(embeddings(spark, sf), 16, 10, seed=1)
+    _, labels = next(K.sketch_labels(embeddings(spark, sf), 16, [10], seed=1))
     return labels.agg(
         F.count("*").alias("n"),
         ((F.min("label") >= 0) & (F.max("label") < 10)).alias("labels_in_range"),

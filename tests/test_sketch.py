@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallgram.api import sketch_matrix
 from tallgram.layouts import entries_to_sparse_rows
 from tallgram.operators import errors as R
 from tallgram.operators import sketch as S
@@ -161,6 +162,20 @@ def test_sparse_and_dense_gaussian_agree(to_rows, to_entries, rng):
     np.testing.assert_allclose(one, two, atol=1e-12)
 
 
+def test_result_object(spark, to_rows, rng, tmp_path):
+    a = rng.standard_normal((90, 8))
+    result = sketch_matrix(to_rows(a, 1), "batch_pfd", 4, b=5, alpha=0.5)
+    b = dense_entries(result.entries(), (4, 8))
+    assert result.cov_error() == pytest.approx(cov_err(a, b) / (a**2).sum())
+    assert result.projection_error(2) >= 1 - 1e-9
+    assert result.spectrum().count() == len(sketch_of(result.state().first()))
+    result.save(str(tmp_path / "s"), "d")
+    more = result.update(to_rows(a, 1))
+    assert more.state().first()["n_rows"] == 180
+    with pytest.raises(ValueError, match="unknown sketch"):
+        sketch_matrix(to_rows(a, 1), "nope", 4)
+
+
 def test_rank_bound_needs_more_rows():
     with pytest.raises(ValueError):
         R.fd_rank_bound(1.0, 4, 4)
