@@ -199,15 +199,59 @@ class Shrinking:
         )
 
 
+class SparseBlock:
+    """Pending sparse rows of a shrink, with the few products the shrink needs."""
+
+    def __init__(self, pending, height: int, m: int):
+        rows = np.concatenate([p[0] for p in pending] or [np.zeros(0, np.int64)])
+        idx = np.concatenate([p[1] for p in pending] or [np.zeros(0, np.int64)])
+        val = np.concatenate([p[2] for p in pending] or [np.zeros(0)])
+        cell, at = np.unique(rows.astype(np.int64) * m + idx, return_inverse=True)
+        self.val = np.bincount(at, weights=val, minlength=len(cell))
+        self.rows, self.idx = cell // m, cell % m
+        self.height = height
+        self.by_column = np.argsort(self.idx, kind="stable")
+        self.columns, self.column_start = np.unique(self.idx[self.by_column], return_index=True)
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        """S x."""
+        out = np.zeros((self.height, x.shape[1]))
+        if len(self.val):
+            present, start = np.unique(self.rows, return_index=True)
+            for c in range(0, x.shape[1], 32):
+                terms = x[self.idx, c : c + 32] * self.val[:, None]
+                out[present, c : c + 32] = np.add.reduceat(terms, start, axis=0)
+        return out
+
+    def add_transposed(self, w: np.ndarray, out: np.ndarray) -> None:
+        """out += w' S, touching only the columns that occur."""
+        if len(self.val):
+            rows, val = self.rows[self.by_column], self.val[self.by_column]
+            for c in range(0, w.shape[1], 32):
+                terms = w[rows, c : c + 32] * val[:, None]
+                out[c : c + 32, self.columns] += np.add.reduceat(terms, self.column_start, axis=0).T
+
+    def dense_parts(self, width: int = 2048):
+        """(columns, dense part of S) for consecutive groups of the occurring columns."""
+        ends = np.append(self.column_start, len(self.val))
+        for c in range(0, len(self.columns), width):
+            columns = self.columns[c : c + width]
+            take = self.by_column[ends[c] : ends[c + len(columns)]]
+            part = np.zeros((self.height, len(columns)))
+            part[self.rows[take], np.searchsorted(columns, self.idx[take])] = self.val[take]
+            yield columns, part
+
+
 class SparseShrinking(Shrinking):
-    """The same sketch fed with sparse rows. The l x m sketch is dense; pending rows are held sparse
-    and a shrink only densifies the columns they touch."""
+    """The same sketch fed with sparse rows. The l x m sketch is dense; pending rows stay sparse, and
+    an exact shrink densifies them a group of columns at a time."""
 
     def __init__(self, spec: Spec, m: int):
         super().__init__(spec, m)
         self.buffer = np.zeros((spec.l, m))
         self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.waiting = 0
+        self.drawn: np.ndarray | None = None
 
     def add_sparse(self, sizes: np.ndarray, idx: np.ndarray, val: np.ndarray) -> None:
         nonzero = sizes > 0
@@ -239,21 +283,16 @@ class SparseShrinking(Shrinking):
     def shrink(self) -> None:
         spec = self.spec
         b = self.buffer[: self.filled]
-        rows = np.concatenate([p[0] for p in self.pending] or [np.zeros(0, np.int64)])
-        idx = np.concatenate([p[1] for p in self.pending] or [np.zeros(0, np.int64)])
-        val = np.concatenate([p[2] for p in self.pending] or [np.zeros(0)])
-        columns, at = np.unique(idx, return_inverse=True)
-        s = np.bincount(rows * len(columns) + at, weights=val, minlength=self.waiting * len(columns))
-        s = s.reshape(self.waiting, len(columns))
-        before = float(np.vdot(b, b) + np.vdot(s, s))
-        weights, squares = self._weights(b, s, columns)
+        s = SparseBlock(self.pending, self.waiting, self.m)
+        before = float(np.vdot(b, b) + np.vdot(s.val, s.val))
+        weights, squares = self._weights(b, s)
         cut = squares[spec.cut] if spec.cut < len(squares) else 0.0
         target = np.where(np.arange(len(squares)) < spec.spared, squares, np.maximum(squares - cut, 0.0))
         scale = np.sqrt(np.divide(target, squares, out=np.zeros_like(target), where=squares > 0))
         good = np.flatnonzero(target[: spec.l] > 0)
         weights = weights[:, good] * scale[good]
         fresh = weights[: self.filled].T @ b
-        fresh[:, columns] += weights[self.filled :].T @ s
+        s.add_transposed(weights[self.filled :], fresh)
         self.buffer[:] = 0.0
         self.buffer[: len(good)] = fresh
         self.filled = len(good)
@@ -262,29 +301,34 @@ class SparseShrinking(Shrinking):
         self.mass_lost += before - float(np.vdot(fresh, fresh))
         self.shrinks += 1
 
-    def _weights(self, b, s, columns):
+    def _test_matrix(self, width: int) -> np.ndarray:
+        """Seeded Gaussian columns, drawn once per task rather than shipped."""
+        if self.drawn is None or self.drawn.shape[1] < width:
+            self.drawn = gaussian_hash(
+                np.arange(self.m)[:, None], np.arange(width)[None, :], self.spec.seed
+            )
+        return self.drawn[:, :width]
+
+    def _weights(self, b: np.ndarray, s: SparseBlock) -> tuple[np.ndarray, np.ndarray]:
         """Left singular vectors of the stacked rows [b; s] and squared singular values."""
         spec = self.spec
-        count = len(b) + len(s)
+        count = len(b) + s.height
         if spec.strategy == "randomized" and min(count, self.m) > spec.l:
             width = min(spec.l + 8, count, self.m)
-
-            def apply(x):
-                return np.vstack([b @ x, s @ x[columns]])
-
-            start = gaussian_hash(np.arange(self.m)[:, None], np.arange(width)[None, :], spec.seed)
-            q = orthonormal(apply(start))
-            back = b.T @ q[: len(b)]
-            back[columns] += s.T @ q[len(b) :]
-            q = orthonormal(apply(back))
+            start = self._test_matrix(width)
+            q = orthonormal(np.vstack([b @ start, s.times(start)]))
+            back = q[: len(b)].T @ b
+            s.add_transposed(q[len(b) :], back)
+            q = orthonormal(np.vstack([b @ back.T, s.times(back.T)]))
             t = q[: len(b)].T @ b
-            t[:, columns] += q[len(b) :].T @ s
+            s.add_transposed(q[len(b) :], t)
             squares, u = _eigh_down(t @ t.T)
             return (q @ u)[:, : spec.l], squares[: spec.l]
-        g = np.empty((count, count))
+        g = np.zeros((count, count))
         g[: len(b), : len(b)] = b @ b.T
-        g[len(b) :, len(b) :] = s @ s.T
-        g[len(b) :, : len(b)] = s @ b[:, columns].T
+        for columns, part in s.dense_parts():
+            g[len(b) :, len(b) :] += part @ part.T
+            g[len(b) :, : len(b)] += part @ b[:, columns].T
         g[: len(b), len(b) :] = g[len(b) :, : len(b)].T
         squares, u = _eigh_down(g)
         return u[:, : spec.l], squares
@@ -370,6 +414,14 @@ class LinearSum:
         )
 
 
+def merger(spec: Spec, m: int, phase: int = 2, aux=None):
+    """Accumulator that absorbs states. States of the sparse kinds are dense rows, so they are
+    merged by the dense sketch with as many buffer rows as l."""
+    if spec.kind.startswith("sparse"):
+        return Shrinking(replace(spec, kind="batch_pfd", b=spec.l), m)
+    return accumulator(spec, m, phase, aux)
+
+
 def accumulator(spec: Spec, m: int, phase: int = 2, aux=None):
     """Fresh accumulator; phase 1 of ``dynamic_fd`` works with the first size."""
     if spec.kind in LINEAR:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..layouts import dense_block
 from ..session import check_bytes, map_arrow, task_limit
-from .kernels import LINEAR, SHRINKING, Spec, accumulator
+from .kernels import LINEAR, SHRINKING, Spec, accumulator, merger
 
 STATE = (
     "key string, grid_id int, phase int, part int, kind string, l int, b int, alpha double, m int, "
@@ -65,7 +65,7 @@ def _labelled(acc, spec: Spec, key, phase: int, part: int, final: bool = False)
     own = acc.spec
     return acc.state(final) | dict(
         key=key, grid_id=spec.grid_id, phase=phase, part=part, kind=spec.kind, l=own.l,
-        b=own.extra, alpha=own.alpha, mark=acc.mark,
+        b=spec.extra, alpha=spec.alpha, mark=acc.mark,
     )
 
 
@@ -230,7 +230,7 @@ def _combine(batches, specs, aux: dict, final: bool, strict: bool):
                     yield state_batch([ready])
             spec = _spec(specs, row["grid_id"])
             current = name
-            acc = accumulator(spec, row["m"], row["phase"], aux.get(spec.grid_id))
+            acc = merger(spec, row["m"], row["phase"], aux.get(spec.grid_id))
             acc.mark = None
         if row["m"] != acc.m:
             raise ValueError(f"vectors of width {row['m']} and {acc.m} in one matrix")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.kernels import Spec, accumulator
+from ..operators.kernels import Spec, merger
 from ..operators.linear import count_sketch
 from ..operators.sketch import STATE, _labelled, merge_pair, partial_states, sketch
 
@@ -85,7 +85,7 @@ def _fold(acc, spec: Spec, frames):
     for frame in frames:
         for row in frame.to_dict("records"):
             if acc is None:
-                acc = accumulator(spec, int(row["m"]))
+                acc = merger(spec, int(row["m"]))
                 acc.mark = None
             acc.merge(row | {"data": np.asarray(row["data"])})
     return acc
@@ -102,7 +102,7 @@ def _saved(acc) -> tuple:
 def _loaded(spec: Spec, saved: tuple):
     names = [f.split()[0] for f in _STATE_SCHEMA.split(", ")]
     row = dict(zip(names, saved))
-    acc = accumulator(spec, int(row["m"]))
+    acc = merger(spec, int(row["m"]))
     acc.mark = None
     acc.merge(row | {"data": np.asarray(row["data"], dtype=np.float64)})
     return acc
