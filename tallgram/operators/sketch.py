@@ -258,7 +258,8 @@ def partial_states(
     A ``mark`` column (BIGINT) is carried along as the largest value each state has seen.
 
     ``buckets`` asks for a reproducible split instead of the scan's own: rows are exchanged by a
-    hash of ``row_id`` into that many buckets and sorted, so results do not depend on file layout.
+    hash of id and content into that many buckets and sorted, so results do not depend on file
+    layout even where ids repeat.
     """
     specs = tuple(s.check() for s in specs)
     if len({s.grid_id for s in specs}) != len(specs):
@@ -273,9 +274,8 @@ def partial_states(
     columns += ["mark"] if "mark" in matrix.columns else []
     picked = matrix.select(*columns, *([F.col(key).cast("string").alias("key")] if key else []))
     if buckets:
-        picked = picked.withColumn("part", F.pmod(F.xxhash64("row_id"), F.lit(buckets)))
-        picked = picked.repartition(buckets, "part").sortWithinPartitions("part", "row_id")
-        picked = picked.drop("part")
+        order = columns[:2]
+        picked = picked.repartition(buckets, *order).sortWithinPartitions(*order)
     else:
         picked = picked.coalesce(tasks or task_limit(matrix.sparkSession))
     aux = aux or {}

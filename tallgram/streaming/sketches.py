@@ -17,6 +17,9 @@ from ..operators.kernels import Spec, merger
 from ..operators.linear import count_sketch
 from ..operators.sketch import STATE, _labelled, merge_pair, partial_states, sketch
 
+_VERSION = STATE + ", batch bigint"
+#: Versions of a running sketch kept on disk, in a ring.
+SLOTS = 8
 _NAMES = [f.split()[0] for f in STATE.split(", ")]
 
 
@@ -27,25 +30,28 @@ def run_available(writer, checkpoint: str):
     return query
 
 
-def _version(path: str, batch_id: int) -> str:
-    return f"{path}/batch={batch_id:012d}"
+def _slot(path: str, batch_id: int) -> str:
+    return f"{path}/slot={batch_id % SLOTS}"
 
 
 def _read_version(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
     """State after ``batch_id``, or None when that batch never completed."""
     try:
-        return spark.read.schema(STATE).parquet(_version(path, batch_id))
+        found = spark.read.schema(_VERSION).parquet(_slot(path, batch_id))
     except AnalysisException as missing:
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
+    found = found.filter(F.col("batch") == batch_id).drop("batch")
+    return None if found.isEmpty() else found
 
 
 def stream_sketch(stream: DataFrame, spec: Spec, path: str, schedule=None):
     """Running sketch: ``writeStream`` whose micro-batches update the state stored under ``path``.
 
-    Version ``batch_id`` is version ``batch_id - 1`` merged with the batch, written in overwrite
-    mode: a replayed batch recomputes the same version instead of counting its rows twice.
+    Version ``batch_id`` is version ``batch_id - 1`` merged with the batch. Versions go to a ring of
+    ``SLOTS`` folders, each overwritten as a whole: a replayed batch recomputes its own version from
+    the one before instead of counting its rows twice, and storage stays bounded.
     ``schedule(batch_id) -> l`` may raise the size while the stream runs; l never shrinks below what
     the state already holds, so no mass is dropped unshrunk, and ``delta_first`` keeps the mass
     subtracted before the last change.
@@ -63,16 +69,17 @@ def stream_sketch(stream: DataFrame, spec: Spec, path: str, schedule=None):
             changed = F.when(F.col("l") != size, F.col("delta")).otherwise(F.col("delta_first"))
             before = before.withColumn("delta_first", changed)
             fresh = merge_pair(before, fresh, now)
-        fresh.write.mode("overwrite").parquet(_version(path, batch_id))
+        stamped = fresh.withColumn("batch", F.lit(batch_id).cast("bigint"))
+        stamped.write.mode("overwrite").parquet(_slot(path, batch_id))
 
     return stream.writeStream.foreachBatch(absorb)
 
 
 def current_state(spark: SparkSession, path: str) -> DataFrame:
     """Latest completed version of a running sketch."""
-    versions = spark.read.schema(STATE).option("basePath", path).parquet(path)
-    last = versions.agg(F.max("batch")).first()[0]
-    return versions.filter(F.col("batch") == last).drop("batch")
+    versions = spark.read.schema(_VERSION).option("basePath", path).parquet(path)
+    last = versions.agg(F.max("batch")).scalar()
+    return versions.filter(F.col("batch") == last).drop("batch", "slot")
 
 
 _STATE_SCHEMA = (

@@ -84,12 +84,13 @@ def sweep_tweak_double(spark, sf):
 @query(
     "sweep_changepoint",
     f"SELECT variant, CAST(p AS DOUBLE) AS param_value, 0 AS run, l_in_range, {sql_rounded('s', 4)} AS mass, true AS err_le_delta "
-    f"FROM {EMB_MASS}, (SELECT 'dynamic' AS variant, unnest([1, 51, 101, 151, 201, 251, 301, 351, 401, 451]) AS p, true AS l_in_range "
+    f"FROM {EMB_MASS}, (SELECT 'dynamic' AS variant, unnest(range(10)) * (SELECT count(*) // 10 FROM embeddings) + 1 AS p, true AS l_in_range "
     "UNION ALL SELECT unnest(['l1', 'l2']), 0, true)",
 )
 def sweep_changepoint(spark, sf):
-    points = [1, 51, 101, 151, 201, 251, 301, 351, 401, 451]
-    out = W.sweep_changepoint(embeddings(spark, sf, "float"), 12, 24, 24, points)
+    rows = embeddings(spark, sf, "float")
+    step = rows.count() // 10
+    out = W.sweep_changepoint(rows, 12, 24, 24, [k * step + 1 for k in range(10)])
     return _checked(out, [F.col("l_bound").between(12, 24).alias("l_in_range")])
 
 
