@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import gaussian_hash
 from ..session import check_bytes, map_arrow
 from .kernels import LINEAR, Spec, orthonormal
-from .sketch import sketch
+from .sketch import single, sketch
 
 SCORES = (
     "key string, grid_id int, kind string, l int, b int, alpha double, m int, n_rows bigint, "
@@ -113,8 +113,8 @@ def spectral_norm_wide(
     basis, images = np.zeros((m, 0)), np.zeros((m, 0))
     best = 0.0
     for _ in range(passes):
-        row = sketch(matrix, Spec("product", x.shape[1]), m=m, aux={0: x}, strict=False).first()
-        y = np.asarray(row["data"]).reshape(x.shape[1], m).T
+        _, data = single(sketch(matrix, Spec("product", x.shape[1]), m=m, aux={0: x}, strict=False))
+        y = data.reshape(x.shape[1], m).T
         if sketch_matrix is not None:
             y = y - sketch_matrix.T @ (sketch_matrix @ x)
         basis, images = np.hstack([basis, x]), np.hstack([images, y])

@@ -353,6 +353,15 @@ def merge_pair(left: DataFrame, right: DataFrame, spec: Spec) -> DataFrame:
     return merge_states(both, [spec], 2)
 
 
+def single(states: DataFrame) -> tuple[dict, np.ndarray]:
+    """The only state of a table on the driver: its fields, and its data as an array."""
+    table = states.toArrow()
+    if table.num_rows != 1:
+        raise ValueError(f"expected one state, found {table.num_rows}")
+    data = table.column("data").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return table.drop_columns(["data"]).to_pylist()[0], data
+
+
 def state_entries(states: DataFrame) -> DataFrame:
     """Sketch matrices in entry layout: key, grid_id, i, j, v."""
     cells = states.select("key", "grid_id", "m", F.posexplode("data").alias("at", "v"))
@@ -395,6 +404,7 @@ __all__ = [
     "merge_states",
     "partial_states",
     "realised_size",
+    "single",
     "sketch",
     "spec_of",
     "state_entries",

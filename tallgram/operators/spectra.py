@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import gaussian_hash
 from ..layouts import dense_block, entries_to_sparse_rows, list_array
-from ..session import check_bytes, map_arrow
+from ..session import check_bytes, map_arrow, small_rows
 from .algebra import matmul_small
 from .kernels import Spec, orthonormal
-from .sketch import _state_rows, sketch, state_entries
+from .sketch import _state_rows, single, sketch, state_entries
 
+MAX_DIRECTIONS = 20_000
 SPECTRUM = "key string, grid_id int, k int, sigma double, v array<double>"
 
 
@@ -108,8 +109,8 @@ def randomized_svd(
     x = orthonormal(gaussian_hash(np.arange(m)[:, None], np.arange(width)[None, :], seed))
     blocks = [x]
     for _ in range(power):
-        step = sketch(matrix, Spec("product", width), m=m, aux={0: x}, strict=False).first()
-        x = orthonormal(np.asarray(step["data"]).reshape(width, m).T)
+        _, data = single(sketch(matrix, Spec("product", width), m=m, aux={0: x}, strict=False))
+        x = orthonormal(data.reshape(width, m).T)
         blocks.append(x)
     span = orthonormal(np.hstack(blocks)[:, :m])
     state = sketch(matrix, Spec("range", span.shape[1]), m=m, aux={0: span}, strict=False)
@@ -118,12 +119,10 @@ def randomized_svd(
 
 def small_svd(svd: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """sigma and the rows v of a spectrum table, on the driver (it is at most m x m)."""
-    from ..session import SMALL_MATRIX_BYTES, small_rows
-
-    first = svd.select(F.size("v").alias("m")).first()
-    if first is None:
+    rows = small_rows(svd.select("k", "sigma", "v"), MAX_DIRECTIONS, "the spectrum")
+    if not rows:
         raise ValueError("empty spectrum")
-    rows = small_rows(svd.select("k", "sigma", "v"), SMALL_MATRIX_BYTES // (8 * first.m), "the spectrum")
+    check_bytes(8 * len(rows) * len(rows[0].v), "the singular vectors")
     rows.sort(key=lambda r: r.k)
     return np.array([r.sigma for r in rows]), np.array([r.v for r in rows])
 

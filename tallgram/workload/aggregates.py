@@ -9,7 +9,7 @@ from ..operators import errors as R
 from ..operators import spectra as X
 from ..operators.algebra import matmul
 from ..operators.kernels import Spec
-from ..operators.sketch import sketch
+from ..operators.sketch import single, sketch
 from ..session import stored
 from .registry import (
     ACCOUNT_MASS, ACCOUNTS, EMB, EMB_MASS, HOURS, LINE_MASS, account_entries, embeddings, entries_out,
@@ -160,13 +160,10 @@ def cov_error(spark, sf):
 )
 def cov_error_sparse(spark, sf):
     """Sparse matrix: Lanczos on A'A - B'B, no m x m matrix anywhere."""
-    import numpy as np
-
     sparse = stored(entries_to_sparse_rows(account_entries(spark, sf), summed=True), "sparse")
     state = sketch(sparse, Spec("sparse_batch_pfd", 8, b=32, alpha=0.5), m=HOURS)
-    row = state.first()
-    b = np.asarray(row["data"]).reshape(-1, HOURS)
-    err = R.spectral_norm_wide(sparse, HOURS, b)
+    row, data = single(state)
+    err = R.spectral_norm_wide(sparse, HOURS, data.reshape(-1, HOURS))
     return R.sq_frobenius(account_entries(spark, sf)).select(
         rounded("sq_norm", 4).alias("sq_norm"),
         (F.lit(err) <= F.lit(row["delta"]) + 1e-6 * F.col("sq_norm")).alias("err_le_delta"),
