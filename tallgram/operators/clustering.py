@@ -165,7 +165,9 @@ def kmeans_train(rows: DataFrame, k: int, seed: int = 0, steps: int = 20, starts
     centers = rows.sparkSession.createDataFrame(
         [(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())], CENTERS
     )
-    return model.summary.trainingCost, centers, model.transform(points).drop("point")
+    # The summary's training cost belongs to the centres before the last update.
+    cost = kmeans_cost_nearest(rows, centers).first().cost
+    return cost, centers, model.transform(points).drop("point")
 
 
 def reduction(rows: DataFrame, l: int, alpha: float = 0.2) -> np.ndarray:

@@ -27,8 +27,8 @@ def _rows(stream):
     )
 
 
-def _mass():
-    return rounded(sq_norm(F.col("data")) + F.col("mass_lost"), 4).alias("mass")
+def _mass(digits: int = 4):
+    return rounded(sq_norm(F.col("data")) + F.col("mass_lost"), digits).alias("mass")
 
 
 @query("stream_sketch", f"SELECT CAST(16 AS INTEGER) AS l, (SELECT count(*) FROM embeddings) AS n_rows, {sql_rounded('s', 4)} AS mass FROM {EMB_MASS}")
@@ -86,7 +86,7 @@ def stream_sketch_keyed_query(spark, sf):
     "stream_sketch_windowed",
     f"""
 SELECT CAST(epoch_ms(date_trunc('day', ts) + INTERVAL 1 DAY) AS VARCHAR) AS key, count(*) AS n_rows,
- {sql_rounded('sum(1 + value / 10 * value / 10)', 4)} AS mass FROM events
+ {sql_rounded('sum(1 + value / 10 * value / 10)', 6)} AS mass FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL
 """,
 )
@@ -99,7 +99,7 @@ def stream_sketch_windowed_query(spark, sf):
     )
     panes = stream_sketch_windowed(events, "ts", "1 day", "1 hour", Spec("batch_fd", 2, b=50))
     states = _collected(spark, panes, "append")
-    return states.select("key", "n_rows", _mass())
+    return states.select("key", "n_rows", _mass(6))
 
 
 @query("stream_cw", _cw_sql(EMB, 16))
