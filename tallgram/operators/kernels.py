@@ -383,11 +383,7 @@ class LinearSum:
             for r, line in enumerate(draws / np.sqrt(self.spec.l)):
                 self.total[r] += np.bincount(idx, weights=line[rows] * val, minlength=self.m)
         elif self.spec.kind == "gram":
-            start = 0
-            for size in sizes:
-                j, v = idx[start : start + size], val[start : start + size]
-                self.total[np.ix_(j, j)] += np.outer(v, v)
-                start += size
+            self._add_sparse_gram(rows, idx, val)
         else:
             shift = self.spec.l if self.spec.kind == "range" else 0
             y = np.empty((len(sizes), self.spec.l))
@@ -397,6 +393,25 @@ class LinearSum:
             if shift:
                 self.total[:, :shift] += y.T @ y
 
+    def _add_sparse_gram(self, rows, idx, val, height: int = 1024, filled: float = 0.02) -> None:
+        """Chunks of rows as one product when their columns are well filled, else row by row."""
+        edges = np.searchsorted(rows, np.arange(0, (rows[-1] if len(rows) else -1) + height + 1, height))
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if lo == hi:
+                continue
+            columns, at = np.unique(idx[lo:hi], return_inverse=True)
+            first = rows[lo:hi] - rows[lo]
+            part_height = int(first[-1]) + 1
+            if hi - lo >= filled * part_height * len(columns):
+                part = np.zeros((part_height, len(columns)))
+                np.add.at(part, (first, at), val[lo:hi])
+                self.total[np.ix_(columns, columns)] += part.T @ part
+                continue
+            starts = np.flatnonzero(np.diff(first, prepend=-1))
+            for a, b in zip(starts + lo, np.append(starts[1:], hi - lo) + lo):
+                j, v = idx[a:b], val[a:b]
+                self.total[np.ix_(j, j)] += np.outer(v, v)
+
     def merge(self, other: dict) -> None:
         self.n_rows += other["n_rows"]
         self.square += other["mass_lost"]
@@ -414,12 +429,12 @@ class LinearSum:
         )
 
 
-def merger(spec: Spec, m: int, phase: int = 2, aux=None):
+def merger(spec: Spec, m: int, phase: int = 2):
     """Accumulator that absorbs states. States of the sparse kinds are dense rows, so they are
     merged by the dense sketch with as many buffer rows as l."""
     if spec.kind.startswith("sparse"):
         return Shrinking(replace(spec, kind="batch_pfd", b=spec.l), m)
-    return accumulator(spec, m, phase, aux)
+    return accumulator(spec, m, phase)
 
 
 def accumulator(spec: Spec, m: int, phase: int = 2, aux=None):

@@ -196,7 +196,7 @@ def _state_rows(batches):
             yield row
 
 
-def _combine(batches, specs, aux: dict, final: bool, strict: bool):
+def _combine(batches, specs, final: bool, strict: bool):
     """Merge runs of states sorted by (key, grid_id, part, phase)."""
     current, acc = None, None
     first = None  # finished phase 1 of a dynamic sketch
@@ -230,7 +230,7 @@ def _combine(batches, specs, aux: dict, final: bool, strict: bool):
                     yield state_batch([ready])
             spec = _spec(specs, row["grid_id"])
             current = name
-            acc = merger(spec, row["m"], row["phase"], aux.get(spec.grid_id))
+            acc = merger(spec, row["m"], row["phase"])
             acc.mark = None
         if row["m"] != acc.m:
             raise ValueError(f"vectors of width {row['m']} and {acc.m} in one matrix")
@@ -286,14 +286,12 @@ def merge_states(
     states: DataFrame,
     specs,
     at_most: int,
-    aux: dict | None = None,
     fan_in: int = FAN_IN,
     strict: bool = False,
     final: bool = True,
 ) -> DataFrame:
     """One final state per (key, grid_id) out of at most ``at_most`` parts of each."""
     specs = tuple(specs)
-    aux = aux or {}
     rounds = max(1, math.ceil(math.log(max(at_most, 2), fan_in)))
     for number in range(rounds):
         last = number == rounds - 1
@@ -305,7 +303,7 @@ def merge_states(
         done = last and final
         states = map_arrow(
             grouped.drop("source"),
-            lambda batches, done=done: _combine(batches, specs, aux, done, strict),
+            lambda batches, done=done: _combine(batches, specs, done, strict),
             STATE,
         )
     return states
@@ -330,7 +328,7 @@ def sketch(
     limit = buckets or tasks or task_limit(matrix.sparkSession)
     states = partial_states(matrix, specs, key, m, aux, tasks, buckets)
     strict = key is None if strict is None else strict
-    return merge_states(states, specs, limit, aux, fan_in, strict)
+    return merge_states(states, specs, limit, fan_in, strict)
 
 
 def spec_of(row, grid_id: int = 0) -> Spec:

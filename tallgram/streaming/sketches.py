@@ -42,8 +42,9 @@ def _read_version(spark: SparkSession, path: str, batch_id: int) -> DataFrame |
         if missing.getCondition() == "PATH_NOT_FOUND":
             return None
         raise
-    found = found.filter(F.col("batch") == batch_id).drop("batch")
-    return None if found.isEmpty() else found
+    current = found.filter(F.col("batch") == batch_id).drop("batch")
+    # A version without rows is that of a stream which has delivered nothing yet.
+    return None if current.isEmpty() and not found.isEmpty() else current
 
 
 def stream_sketch(stream: DataFrame, spec: Spec, path: str, schedule=None):

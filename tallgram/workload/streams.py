@@ -11,7 +11,7 @@ from ..streaming import (
     current_state, run_available, stream_count_sketch, stream_sketch, stream_sketch_keyed,
     stream_sketch_windowed,
 )
-from .registry import EMB_MASS, EMB, query, rounded, sql_bucket, sql_rounded, sql_sign, table
+from .registry import EMB_MASS, EMB, query, rounded, sql_rounded, table
 from .sketches import _cw_sql
 
 

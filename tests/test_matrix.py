@@ -89,6 +89,10 @@ def test_spectra(to_rows, to_entries, rng):
     np.testing.assert_allclose(p @ p, p, atol=1e-10)
     np.testing.assert_allclose(dense(X.project_rows(rows, X.leading_vectors(svd, 3))), a @ p, atol=1e-9)
     np.testing.assert_allclose(dense_entries(X.gram_of_entries(to_entries(a), 9), (9, 9)), a.T @ a)
+    thin = np.zeros((2500, 300))
+    thin[np.arange(2500), np.arange(2500) % 300] = np.arange(2500)
+    thin[np.arange(2500), (np.arange(2500) * 7) % 300] += 1
+    np.testing.assert_allclose(dense_entries(X.gram_of_entries(to_entries(thin), 300), (300, 300)), thin.T @ thin)
 
 
 def test_rank_deficient_projector(to_rows, rng):

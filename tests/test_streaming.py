@@ -43,6 +43,15 @@ def test_running_sketch_and_replay(spark, feed, tmp_path):
     check(a, current_state(spark, path).first())
 
 
+def test_empty_start(spark, feed, tmp_path):
+    """A stream whose first batches hold no rows after the filter."""
+    a, _, stream = feed
+    path = str(tmp_path / "state")
+    late = stream.filter(F.col("row_id") >= 120)
+    run_available(stream_sketch(late, Spec("batch_fd", 3, b=6), path), str(tmp_path / "c"))
+    check(a[120:], current_state(spark, path).first())
+
+
 def test_growing_size(spark, feed, tmp_path):
     a, _, stream = feed
     path = str(tmp_path / "state")
@@ -80,6 +89,30 @@ def test_windows(spark, feed, tmp_path):
         check(a[60 * (hour - 1) : 60 * hour], row)
 
 
+def test_rows_after_the_watermark_are_dropped(spark, tmp_path):
+    """A row for a window that is already emitted neither reopens nor changes it."""
+    minute = 60 * 1_000_000
+
+    def write(name, rows):
+        df = spark.createDataFrame(rows, "row_id bigint, vec array<double>, us bigint")
+        df = df.withColumn("ts", F.timestamp_micros("us")).drop("us").coalesce(1)
+        df.write.mode("append").parquet(str(tmp_path / "in"))
+        return df.schema
+
+    out = lambda s: stream_sketch_windowed(s, "ts", "1 hour", "5 minutes", Spec("batch_fd", 2, b=3))
+
+    def run(schema):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        writer = out(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append")
+        run_available(writer, str(tmp_path / "c"))
+        return sorted((int(r["key"]) // 3_600_000, r["n_rows"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    schema = write("a", [(n, [1.0, float(n)], 10 * n * minute) for n in range(13)])
+    assert run(schema) == [(1, 6)]
+    write("b", [(20, [1.0, 1.0], 3 * minute), (21, [1.0, 2.0], 200 * minute)])
+    assert run(schema) == [(1, 6), (2, 6), (3, 1)]
+
+
 def test_count_sketch_stream_equals_batch(spark, feed, tmp_path):
     a, df, stream = feed
     last = {}
