@@ -92,17 +92,28 @@ def lookup(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
 _shipped: set[str] = set()
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package made importable on the executors (once per application)."""
-    context = df.sparkSession.sparkContext
+def ship(spark: SparkSession) -> None:
+    """Make this package importable on the executors (once per application)."""
+    context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
         base = os.path.join(tempfile.mkdtemp(prefix="tallgram-py-"), "tallgram")
         context.addPyFile(shutil.make_archive(base, "zip", root, "tallgram"))
         _shipped.add(context.applicationId)
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package made importable on the executors."""
+    ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove a table that this run wrote under the shared folder and that no plan reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def task_limit(spark: SparkSession) -> int:
     """Upper bound on the tasks of one summary pass, hence on the states to merge."""
     context = spark.sparkContext

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as entry
+from tallgram.workload import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -23,15 +23,15 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     columns = sorted(df.columns)
     got = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
-    result = duck.execute(entry.oracle_sql()[name])
+    result = duck.execute(ORACLES[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     expected = sorted(repr(tuple(dict(zip(names, r))[c] for c in columns)) for r in result.fetchall())
