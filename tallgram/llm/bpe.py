@@ -28,9 +28,9 @@ from pyspark.sql import types as T
 from ..session import map_arrow
 
 #: Pre-tokens whose ids a task remembers; when there are more it starts afresh. Results don't depend on it.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 250_000
 #: Characters of the texts whose pre-tokens are listed at once; a longer text is worked through in parts.
-LIST_CHARS = 4 << 20
+LIST_CHARS = 3 << 19
 #: Longest pre-token that is remembered and merged together with others; longer ones have a queue each.
 SHORT_CHARS = 48
 
@@ -308,7 +308,7 @@ def list_array(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), values)
 
 
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 16 << 20):
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
     """The batch in slices of whole rows with at most ``limit`` bytes in ``column``, one row at least."""
     at = batch.schema.get_field_index(column)
     sizes = np.cumsum([0 if v is None else v for v in pc.binary_length(batch.column(at)).to_pylist()])
