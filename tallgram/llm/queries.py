@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe
+from . import bpe, decontaminate, minhash, quality
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -45,3 +45,72 @@ def token_digest(docs: DataFrame, spark: SparkSession) -> DataFrame:
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return token_digest(table(spark, sf, "documents"), spark)
+
+
+def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` with held_out, score and predicted; learnt from the labels outside the held-out fold."""
+    held_out = F.coalesce(quality.fold() == 2, F.lit(False))
+    model = quality.fit(docs, labels.filter(~held_out))
+    return quality.with_score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+@query("op6_quality")
+def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return scored(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s
+  AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+  WHERE 100 * c >= 75 * (x.n + y.n - c)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a, b FROM sym UNION SELECT r.a, s.b FROM reach r JOIN sym s ON r.b = s.a),
+least AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id,
+  w.doc_id <= coalesce(m, w.doc_id) AS kept
+FROM words w LEFT JOIN sizes z ON w.doc_id = z.doc_id LEFT JOIN least l ON w.doc_id = l.doc_id
+"""
+
+
+@query("op7_minhash", OP7_SQL)
+def op7_minhash(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.clusters(table(spark, sf, "documents"))
+
+
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n,
+    unnest([array_to_string(w[i:i + 9], ' ') FOR i IN range(1, greatest(len(w) - 8, 2))]) AS s FROM b WHERE len(w) > 0),
+lengths AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d JOIN lengths ON len(w) >= n),
+hits AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN bw ON dw.n = bw.n AND array_to_string(w[i:i + dw.n - 1], ' ') = s),
+places AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM hits) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+@query("op1_decontaminate", OP1_SQL)
+def op1_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.scan(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    n_hit = decontaminate.words_hit()
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )

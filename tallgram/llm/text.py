@@ -1,7 +1,7 @@
 """Word and window hashes of Arrow text columns, computed on the UTF-8 bytes with NumPy.
 
 A text column is worked through in slices of whole texts of a few megabytes. Words are maximal runs
-of bytes that are not separators; separators are ASCII, so runs never cut a character. A word's hash
+of bytes of one kind; all bytes beyond ASCII are of one kind, so runs never cut a character. A word's hash
 is a polynomial over its bytes modulo 2^64, taken from prefix sums and finished with an invertible
 mixer; a window's hash is a polynomial over the hashes of its words in the same way.
 """
@@ -52,8 +52,19 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def separators(blanks: bytes = BLANKS) -> np.ndarray:
-    table = np.zeros(256, dtype=bool)
-    table[np.frombuffer(blanks, dtype=np.uint8)] = True
+    """Kind of each byte: 0 for the given separators, 1 for all others."""
+    table = np.ones(256, dtype=np.uint8)
+    table[np.frombuffer(blanks, dtype=np.uint8)] = 0
+    return table
+
+
+def words_and_marks() -> np.ndarray:
+    """Kind of each byte: 0 blanks and control bytes, 1 letters, digits and all beyond ASCII, 2 other marks."""
+    table = np.full(256, 2, dtype=np.uint8)
+    table[:33] = 0
+    table[127] = 0
+    for low, high in ((48, 58), (65, 91), (97, 123), (128, 256)):
+        table[low:high] = 1
     return table
 
 
@@ -100,16 +111,16 @@ def text_slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[in
         row = end
 
 
-def words_of(first: int, data: np.ndarray, offsets: np.ndarray, blank: np.ndarray, fold: np.ndarray | None = None) -> Words:
-    """Words of one slice. ``blank`` marks separator bytes, ``fold`` maps bytes before hashing."""
-    inside = ~blank[data]
-    opens, closes = inside.copy(), inside.copy()
-    opens[1:] &= ~inside[:-1]
-    closes[:-1] &= ~inside[1:]
+def words_of(first: int, data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray, fold: np.ndarray | None = None) -> Words:
+    """Words of one slice: runs of bytes of one kind other than 0. ``fold`` maps bytes before hashing."""
+    kind = kinds[data]
+    opens = kind > 0
+    closes = opens.copy()
+    change = kind[1:] != kind[:-1]
     heads = offsets[:-1][np.diff(offsets) > 0]  # a text starts a word, and ends that of the text before
-    opens[heads] |= inside[heads]
-    last = heads[heads > 0] - 1
-    closes[last] |= inside[last]
+    change[heads[heads > 0] - 1] = True
+    opens[1:] &= change
+    closes[:-1] &= change
     starts, ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
     hashes = np.empty(len(starts), dtype=np.uint64)
     word = 0
@@ -126,9 +137,9 @@ def words_of(first: int, data: np.ndarray, offsets: np.ndarray, blank: np.ndarra
     return Words(first, counts, starts, ends, hashes, data, offsets)
 
 
-def each_slice(column: pa.Array, blank: np.ndarray, fold: np.ndarray | None = None) -> Iterator[Words]:
+def each_slice(column: pa.Array, kinds: np.ndarray, fold: np.ndarray | None = None) -> Iterator[Words]:
     for first, data, offsets in text_slices(column):
-        yield words_of(first, data, offsets, blank, fold)
+        yield words_of(first, data, offsets, kinds, fold)
 
 
 def window_hashes(words: np.ndarray, length: int, variant: int = 0) -> np.ndarray:
