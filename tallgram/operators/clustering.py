@@ -67,7 +67,7 @@ def nearest_centroid(rows: DataFrame, centers: DataFrame, keep_vec: bool = False
 def label_join(labelled: DataFrame, centers: DataFrame) -> DataFrame:
     """Each labelled row with the centre of its label; the rows are not shuffled while the centres
     are few enough to broadcast."""
-    return labelled.join(lookup(centers, "centers", MAX_CENTERS), "label").select(
+    return labelled.join(lookup(centers, "centers"), "label").select(
         "row_id", "label", "vec", "center"
     )
 

@@ -9,6 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes a small matrix (centres, singular vectors, one sketch) may take before it is refused.
 SMALL_MATRIX_BYTES = 1 << 30
@@ -78,15 +79,40 @@ def check_bytes(n_bytes: int, what: str, budget: int = SMALL_MATRIX_BYTES) -> No
         raise ValueError(f"{what} needs {n_bytes} bytes, over the budget of {budget}")
 
 
-#: Rows a lookup table may have to be broadcast; beyond it the join shuffles both sides.
-BROADCAST_ROWS = 1_000_000
+#: Bytes a lookup table may take to be broadcast; beyond it the join shuffles both sides.
+#: ``spark.tallgram.broadcast.bytes`` sets another limit.
+BROADCAST_BYTES = 64 << 20
 
 
-def lookup(df: DataFrame, label: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A lookup table written once and counted: with a broadcast hint if it has at most ``limit``
-    rows, as it is (shuffled join, skew left to adaptive execution) if it has more."""
+def _column_bytes(name: str, kind: T.DataType) -> F.Column:
+    """Bytes one value takes in a row, about 8 for a scalar."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(name), F.lit(0)) + 8
+    if isinstance(kind, T.ArrayType) and not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.MapType)):
+        width = 8 * len(kind.elementType.fields) + 16 if isinstance(kind.elementType, T.StructType) else 8
+        return F.coalesce(F.greatest(F.size(name), F.lit(0)), F.lit(0)) * width + 24
+    if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+        return 2 * F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0)) + 24
+    return F.lit(8)
+
+
+def table_bytes(table: DataFrame) -> int:
+    """Bytes of all rows as Spark holds them, summed where the rows are."""
+    row = sum((_column_bytes(f"`{f.name}`", f.dataType) for f in table.schema.fields), F.lit(24))
+    return int(table.agg(F.sum(row.cast("long"))).first()[0] or 0)
+
+
+def fits_broadcast(table: DataFrame, limit: int | None = None) -> bool:
+    if limit is None:
+        limit = int(table.sparkSession.conf.get("spark.tallgram.broadcast.bytes", str(BROADCAST_BYTES)))
+    return table_bytes(table) <= limit
+
+
+def lookup(df: DataFrame, label: str, limit: int | None = None) -> DataFrame:
+    """A lookup table written once and measured: with a broadcast hint if its rows take at most
+    ``limit`` bytes, as it is (shuffled join, skew left to adaptive execution) if they take more."""
     table = stored(df, label)
-    return F.broadcast(table) if table.count() <= limit else table
+    return F.broadcast(table) if fits_broadcast(table, limit) else table
 
 
 _shipped: set[str] = set()
