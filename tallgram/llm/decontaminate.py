@@ -1,7 +1,7 @@
 """Benchmark decontamination: word windows of test items looked up in every document.
 
-The windows of all items are hashed into one table, broadcast when its counted size is within
-``session.BROADCAST_ROWS``; beyond that the lookup is a shuffled join whose skew adaptive execution
+The windows of all items are hashed into one table, broadcast when its measured bytes are within
+the limit of ``session.lookup``; beyond that the lookup is a shuffled join whose skew adaptive execution
 splits. Each document is split into words once, its windows are hashed in the same row, exploded and
 probed; a hash match counts only if the words are equal. Only hits and one row per document leave
 the scan.
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import BROADCAST_ROWS, lookup, stored
+from ..session import fits_broadcast, lookup, stored
 
 WINDOW = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -73,13 +73,15 @@ def merged(windows: str) -> Column:
 
 def scan(
     docs: DataFrame, items: DataFrame, window: int = WINDOW, id: str = "doc_id", text: str = "text",
-    item_id: str = "item_id", item_text: str = "text", broadcast_rows: int = BROADCAST_ROWS,
+    item_id: str = "item_id", item_text: str = "text", broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: id, text_hash, n_words, spans (array of first word and end) and
     items (sorted ids, as text, of the items with windows in it)."""
     table = stored(item_windows(items, window, item_id, item_text), "item-windows")
     lengths = sorted(r[0] for r in table.select("length").distinct().collect()) or [window]  # window values at most
-    known = lookup(table.select(F.col("hash").alias("h"), F.col("window").alias("w"), "length", "items"), "windows", broadcast_rows)
+    small = fits_broadcast(table, broadcast_bytes)
+    known = table.select(F.col("hash").alias("h"), F.col("window").alias("w"), "length", "items")
+    known = F.broadcast(known) if small else known
     split = docs.select(
         F.col(id).alias("id"), F.xxhash64(F.col(text)).alias("text_hash"), words_of(text).alias("words")
     )
@@ -98,7 +100,7 @@ def scan(
     )
     rows = rows.withColumn("pos", F.col("at") - F.col("heads"))
     words_here = F.slice("words", F.greatest(F.col("pos") + 1, F.lit(1)), F.col("size"))
-    if table.count() <= broadcast_rows:
+    if small:
         equal = words_here == F.col("w")
     else:  # the shuffle carries the window itself instead of the whole document
         rows = rows.select("id", "text_hash", "hash", "pos", "size", F.size("words").alias("n"), F.when(F.col("pos") >= 0, words_here).alias("here"))
