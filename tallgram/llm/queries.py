@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, minhash, quality, substrings
+from . import bpe, decontaminate, lines, minhash, quality, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -133,3 +133,23 @@ FROM d LEFT JOIN kept USING (doc_id)
 def op2_substrings(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return substrings.without_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+    unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+t AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS s FROM l),
+spread AS (SELECT s, min(doc_id) AS m FROM t WHERE s <> '' GROUP BY s HAVING count(DISTINCT source) >= 10),
+marked AS (SELECT t.*, coalesce(doc_id > m, false) AS hit FROM t LEFT JOIN spread USING (s)),
+cut AS (SELECT doc_id FROM marked GROUP BY doc_id HAVING count(*) FILTER (hit) <= 0.5 * count(*) FILTER (s <> '')),
+done AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (hit AND doc_id IN (FROM cut)) AS n_removed,
+    string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (hit AND doc_id IN (FROM cut))) AS kept FROM marked GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, text)) AS kept_sha256
+FROM documents d LEFT JOIN done USING (doc_id)
+"""
+
+
+@query("op4_line_spread", OP4_SQL)
+def op4_line_spread(spark: SparkSession, sf: str) -> DataFrame:
+    cleaned = lines.without_boilerplate(table(spark, sf, "documents").select("doc_id", "text", "source"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
