@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, minhash, quality, substrings
+from . import bpe, decontaminate, lines, minhash, multiindex, quality, substrings
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -153,3 +153,22 @@ FROM documents d LEFT JOIN done USING (doc_id)
 def op4_line_spread(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = lines.without_boilerplate(table(spark, sf, "documents").select("doc_id", "text", "source"))
     return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL
+  AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS m FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS c FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c, 0) AS n_links, least(e.vec_id, coalesce(m, e.vec_id)) AS component_id,
+  e.vec_id <= coalesce(m, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN least USING (vec_id)
+"""
+
+
+@query("op10_multi_index", OP10_SQL)
+def op10_multi_index(spark: SparkSession, sf: str) -> DataFrame:
+    return multiindex.clusters(table(spark, sf, "embeddings"))
