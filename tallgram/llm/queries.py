@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, minhash, multiindex, quality, substrings
+from ..session import work_path
+from . import bpe, decontaminate, lines, minhash, multiindex, quality, substrings, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +173,22 @@ FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN least USING (vec_id)
 @query("op10_multi_index", OP10_SQL)
 def op10_multi_index(spark: SparkSession, sf: str) -> DataFrame:
     return multiindex.clusters(table(spark, sf, "embeddings"))
+
+
+OP3_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+x AS (SELECT *, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS m FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes,
+  array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(h, 5 * (i // 4) + 1, 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER) + 1, 1) FOR i IN range(32)], '') AS payload_digest,
+  CASE WHEN page_id = m THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = m THEN NULL ELSE m END AS refers_to
+FROM x
+"""
+
+
+@query("op3_warc", OP3_SQL)
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    folder = work_path(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), folder)
+    return warc.read_pages(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
