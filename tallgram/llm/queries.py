@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from . import bpe, decontaminate, lines, minhash, multiindex, quality, substrings, warc
+from . import bpe, decontaminate, licenses, lines, minhash, multiindex, pii, quality, substrings, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -192,3 +192,50 @@ def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_path(spark, "warc")
     warc.write_archives(table(spark, sf, "pages"), folder)
     return warc.read_pages(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: Key of the registered query; a deployment passes a secret of its own.
+PII_KEY = b"registered query"
+
+
+@query("op9_pii")
+def op9_pii(spark: SparkSession, sf: str) -> DataFrame:
+    done = pii.pseudonymise(table(spark, sf, "documents").select("doc_id", "text"), PII_KEY)
+    return done.select(
+        "doc_id", F.size("found").cast("long").alias("n_found"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("found", lambda x: x["kind"]))), ",").alias("kinds"), "text",
+    )
+
+
+def op5_sql() -> str:
+    """Whole texts, paragraphs and lines as units, all compared with every template."""
+    rows = ", ".join("('{}', {}, '{}')".format(n, k, " ".join(t.split()).replace("'", "''")) for k, (n, t) in enumerate(licenses.TEMPLATES))
+    words = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH units AS (SELECT doc_id, 0 AS kind, coalesce(text, '') AS t FROM documents
+  UNION ALL SELECT doc_id, 1, unnest(regexp_split_to_array(text, '\n[\x00-\x20]*\n')) FROM documents
+  UNION ALL SELECT doc_id, 2, unnest(string_split(text, chr(10))) FROM documents),
+numbered AS (SELECT row_number() OVER () AS u, doc_id, {words.format('t')} AS w FROM units),
+b AS (SELECT DISTINCT u, doc_id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM numbered WHERE len(w) > 1),
+bn AS (SELECT u, count(*) AS n FROM b GROUP BY u),
+tw AS (SELECT name, k, {words.format('t')} AS w FROM (VALUES {rows}) AS x(name, k, t)),
+tb AS (SELECT DISTINCT name, k, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) AS g FROM tw),
+tn AS (SELECT k, count(*) AS n FROM tb GROUP BY k),
+common AS (SELECT u, doc_id, name, k, count(*) AS c FROM b JOIN tb USING (g) GROUP BY ALL),
+found AS (SELECT doc_id, name, max(2.0::DOUBLE * c / (bn.n + tn.n)) AS s FROM common JOIN bn USING (u) JOIN tn USING (k)
+  WHERE 2 * c >= 0.9 * (bn.n + tn.n) GROUP BY ALL),
+listed AS (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names, max(s) AS best FROM found GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses, round(coalesce(best, 0), 9) AS similarity
+FROM documents LEFT JOIN listed USING (doc_id)
+"""
+
+
+@query("op5_licenses", op5_sql())
+def op5_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    found = licenses.with_licenses(table(spark, sf, "documents").select("doc_id", "text"))
+    best = F.array_max(F.transform("licenses", lambda x: x["similarity"]))
+    return found.select(
+        "doc_id", F.size("licenses").cast("long").alias("n_licenses"),
+        F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"),
+        F.round(F.coalesce(best, F.lit(0.0)), 9).alias("similarity"),
+    )
