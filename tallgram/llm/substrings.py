@@ -127,7 +127,8 @@ def removable(docs: DataFrame, min_words: int = MIN_WORDS, id: str = "doc_id", t
     length = max(1, (min_words + 1) // 2)
     known = short_windows(plain, length, min_words)
     twice = repeated(known, "repeated")
-    places = by_document(known.join(twice.select("hash"), "hash"), "places")
+    found = known.join(twice, "hash")
+    places = by_document(found if length < min_words else found.filter("least < id"), "places")
     while length < min_words and not twice.isEmpty():
         short, length = length, min(2 * length, min_words)
         known = long_windows(plain, places, short, length)
