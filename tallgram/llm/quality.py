@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "qu
 
 
 def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the calibrated probability that each text is of the kind labelled 1."""
+    """``docs`` with the calibrated probability that each text is of the kind labelled 1, to 12 decimals."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -249,7 +249,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "sc
                 x = (pooled(words, known.vectors) - known.centre) / known.scale
                 scores.append(1 / (1 + np.exp(-np.clip(logits(x, known.layers) / known.temperature, -700, 700))))
             if scores:
-                yield with_column(batch, out, pa.array(np.concatenate(scores)))
+                yield with_column(batch, out, pa.array(np.round(np.concatenate(scores), 12)))
 
     return map_arrow(docs, run, schema_with(docs.schema, out, T.DoubleType()))
 
