@@ -6,10 +6,10 @@ smallest hash, which is the same in every copy: about a fifth of the words. Only
 sampled short window occurs in two documents are extended to the full length, hashed and counted;
 what is repeated there is exact for every position. Levels end early when no candidate survives.
 
-Per level the smallest and the largest id of each hash are aggregated before the shuffle, and joined
-back to the windows; both sides of that join are plain exchanges that adaptive execution can split
-when a passage is in very many documents. Texts are read again instead of being shuffled: the
-surviving positions of each document travel to them, by broadcast while their bytes are within the
+Per level the windows are shuffled once, by hash. Passages in very many documents, which a sample of
+the documents tells, are kept out of that: the smallest and the largest id of their windows are
+aggregated before the shuffle and joined back. Texts are read again instead of being shuffled: the
+surviving stretches of each document travel to them, by broadcast while their bytes are within the
 limit of ``session.lookup`` and by a join on the id beyond it.
 
 Hashes have 64 bits; different windows of candidates share one with a probability of about
@@ -27,15 +27,17 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import lookup, map_arrow, stored
+from ..session import lookup, map_arrow
 from .bpe import pieces, schema_with, with_column
 from .text import Words, each_slice, separators, window_hashes, window_text
 
 MIN_WORDS = 13
+#: A window is taken to be frequent if it is found HOT times in one of SHARE parts of the documents.
+SHARE, HOT = 32, 32
 
 
 def sampled(words: Words, short: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,69 +74,104 @@ _WINDOWS = "hash long, id long, row long, place int"
 
 
 def short_windows(docs: DataFrame, short: int, length: int) -> DataFrame:
-    """The sampled short windows of every document: hash, id, row, place (word number)."""
+    """The sampled short windows of every document: hash, id, row, place (number among them)."""
 
     def run(batches):
         for batch in batches:
             for words in each_slice(batch.column(2), separators()):
                 _, text, place, hashes = sampled(words, short, length)
-                new = np.concatenate([[True], place[1:] != place[:-1]]) if len(place) else np.zeros(0, bool)
+                new = first_of_run(place)
                 place, text = place[new], text[new]
                 if len(place):
-                    yield _rows(batch, words.first + text, hashes[place], place - words.text_starts[text])
+                    yield _rows(batch, words.first + text, hashes[place], np.arange(len(text)) - np.searchsorted(text, text))
 
     return map_arrow(docs, run, _WINDOWS)
 
 
-def long_windows(docs: DataFrame, places: DataFrame, short: int, length: int) -> DataFrame:
-    """Windows of ``length`` words whose sampled short window is at one of the row's ``places``."""
+def first_of_run(values: np.ndarray) -> np.ndarray:
+    return np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, dtype=bool)
+
+
+def covered(runs: pa.ListArray, sizes: np.ndarray) -> np.ndarray:
+    """Marks of the numbers in each row's runs, for rows of the given sizes one after the other."""
+    marks = np.zeros(int(sizes.sum()) + 1, dtype=np.int32)
+    begin = np.cumsum(sizes) - sizes
+    at = np.repeat(begin, np.diff(runs.offsets.to_numpy())) + runs.flatten().to_numpy()
+    np.add.at(marks, at[0::2], 1)
+    np.add.at(marks, at[1::2], -1)
+    return np.cumsum(marks[:-1]) > 0
+
+
+def long_windows(docs: DataFrame, known: DataFrame, short: int, length: int) -> DataFrame:
+    """Windows of ``length`` words whose sampled short window is in one of the row's runs; place is
+    the window's first word."""
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(3)
             for words in each_slice(batch.column(2), separators()):
                 starts, text, place, _ = sampled(words, short, length)
                 if not len(starts):
                     continue
-                part = lists.slice(words.first, len(words.counts))
-                known = np.zeros(len(words.hashes), dtype=bool)
-                sizes = np.diff(part.offsets.to_numpy())
-                known[part.flatten().to_numpy() + np.repeat(words.text_starts[:-1], sizes)] = True
-                keep = known[place]
+                new = first_of_run(place)
+                sizes = np.bincount(text[new], minlength=len(words.counts))
+                marks = covered(batch.column(3).slice(words.first, len(words.counts)), sizes)
+                keep = marks[np.cumsum(new) - 1]
                 starts, text = starts[keep], text[keep]
                 if len(starts):
                     yield _rows(batch, words.first + text, window_hashes(words.hashes, length)[starts], starts - words.text_starts[text])
 
-    return map_arrow(docs.join(places, ["id", "row"]).select("id", "row", "text", "places"), run, _WINDOWS)
-
-
-def repeated(windows: DataFrame, label: str) -> DataFrame:
-    """Hashes in two documents at least, and the smallest id."""
-    counted = windows.groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-    return stored(counted.filter("least < most").select("hash", "least"), label)
+    return map_arrow(docs.join(known, ["id", "row"]).select("id", "row", "text", "runs"), run, _WINDOWS)
+
+
+def frequent(windows_of, docs: DataFrame) -> DataFrame:
+    """Hashes that are probably in very many documents: those found ``HOT`` times in a ``1 / SHARE`` part
+    of them. Which hashes these are affects the cost only."""
+    some = docs.filter(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0)
+    return lookup(windows_of(some).groupBy("hash").count().filter(F.col("count") >= HOT).select("hash"), "frequent")
+
+
+def repeated(windows_of, docs: DataFrame, smaller: bool) -> DataFrame:
+    """Runs (id, row, runs) of the windows that occur in two documents, or with ``smaller`` in a
+    document with a smaller id. Most windows are shuffled once, by hash, and see the ids of their
+    hash there. Frequent ones are reduced to their ids' range first and take part in a join."""
+    windows = windows_of(docs)
+    hot = frequent(windows_of, docs)
+    test = "least < id" if smaller else "least < most"
+    same = Window.partitionBy("hash")
+    if hot.isEmpty():
+        found = windows.withColumn("least", F.min("id").over(same)).withColumn("most", F.max("id").over(same)).filter(test)
+    else:
+        cold = windows.join(hot, "hash", "left_anti")
+        cold = cold.withColumn("least", F.min("id").over(same)).withColumn("most", F.max("id").over(same)).filter(test)
+        ranges = windows.join(hot, "hash").groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most"))
+        common = windows.join(lookup(ranges, "frequent-ranges"), "hash").filter(test)
+        found = cold.select("id", "row", "place").unionByName(common.select("id", "row", "place"))
+    lists = found.groupBy("id", "row").agg(F.collect_list("place").alias("places"))
 
+    def run(batches):
+        for batch in batches:
+            runs = []
+            for places in batch.column(2):
+                at = np.unique(places.values.to_numpy())
+                cuts = np.flatnonzero(np.diff(at) > 1)
+                edges = np.stack([at[np.concatenate([[0], cuts + 1])], at[np.concatenate([cuts, [len(at) - 1]])] + 1], axis=1)
+                runs.append(edges.astype(np.int32).ravel())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int32()))], names=["id", "row", "runs"])
 
-def by_document(windows: DataFrame, label: str) -> DataFrame:
-    """id, row and the sorted distinct places of the windows: a list no longer than the document."""
-    found = windows.groupBy("id", "row").agg(F.sort_array(F.collect_set("place")).alias("places"))
-    return lookup(found, label)
+    return map_arrow(lists, run, "id long, row long, runs array<int>")
 
 
 def removable(docs: DataFrame, min_words: int = MIN_WORDS, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, row (hash of the text) and places: first words of the windows of ``min_words`` words that
-    also start in a document with a smaller id."""
+    """id, row (hash of the text) and runs (pairs of first and end): first words of the windows of
+    ``min_words`` words that also start in a document with a smaller id."""
     plain = _plain(docs, id, text)
     length = max(1, (min_words + 1) // 2)
-    known = short_windows(plain, length, min_words)
-    twice = repeated(known, "repeated")
-    found = known.join(twice, "hash")
-    places = by_document(found if length < min_words else found.filter("least < id"), "places")
-    while length < min_words and not twice.isEmpty():
+    known = lookup(repeated(lambda d: short_windows(d, length, min_words), plain, length == min_words), "runs")
+    while length < min_words and not known.isEmpty():
         short, length = length, min(2 * length, min_words)
-        known = long_windows(plain, places, short, length)
-        twice = repeated(known, "repeated")
-        places = by_document(known.join(twice, "hash").filter("least < id"), "places")
-    return places
+        last = known
+        known = lookup(repeated(lambda d: long_windows(d, last, short, length), plain, length == min_words), "runs")
+    return known
 
 
 def without_repeats(
@@ -143,26 +180,26 @@ def without_repeats(
 ) -> DataFrame:
     """``docs`` with the words that are left, joined by one space, and the numbers of words and of
     words removed."""
-    places = removable(docs, min_words, id, text).select(
-        F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("places").alias("__places")
+    runs = removable(docs, min_words, id, text).select(
+        F.col("id").alias("__id"), F.col("row").alias("__row"), F.col("runs").alias("__runs")
     )
     joined = docs.join(
-        places, (docs[id].cast("long") == F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__row")), "left"
+        runs, (docs[id].cast("long") == F.col("__id")) & (F.xxhash64(docs[text]) == F.col("__row")), "left"
     ).drop("__id", "__row")
 
     def run(batches):
         for whole in batches:
             for batch in pieces(whole, text) if whole.num_rows else ():
                 kept, counts, removed = [], [], []
-                lists = batch.column(batch.schema.get_field_index("__places"))
+                lists = batch.column(batch.schema.get_field_index("__runs"))
                 for raw, starts in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), lists):
                     words = (raw or "").encode().split()  # at the separators of text.BLANKS
                     gone = 0
                     if starts.is_valid:
                         edges = np.zeros(len(words) + 1, dtype=np.int32)
                         at = starts.values.to_numpy()
-                        edges[at] += 1
-                        edges[at + min_words] -= 1
+                        np.add.at(edges, at[0::2], 1)
+                        np.add.at(edges, at[1::2] - 1 + min_words, -1)
                         stay = np.cumsum(edges[:-1]) == 0
                         gone = len(words) - int(stay.sum())
                         counts.append(len(words))
@@ -171,7 +208,7 @@ def without_repeats(
                         counts.append(len(words))
                     kept.append(b" ".join(words))
                     removed.append(gone)
-                batch = batch.drop_columns(["__places"])
+                batch = batch.drop_columns(["__runs"])
                 for name, values in (
                     (out, pa.array(kept, pa.binary()).cast(pa.string())),
                     (n_words, pa.array(counts, pa.int64())),

@@ -42,6 +42,15 @@ def test_against_brute_force(docs):
     assert result(S.without_repeats(docs(rows, 5))) == brute(rows)
 
 
+def test_frequent_windows(docs, monkeypatch):
+    monkeypatch.setattr(S, "SHARE", 2)
+    monkeypatch.setattr(S, "HOT", 4)
+    rng = random.Random(8)
+    shared = [" ".join(f"{c}{i}" for i in range(40)) for c in "ab"]
+    rows = [(i, f"x{i} " * 9 + rng.choice(shared) + f" y{i}" * rng.randint(1, 20)) for i in range(50)] + [(99, "u v w " * 9), (98, "u v w " * 8)]
+    assert result(S.without_repeats(docs(rows, 5))) == brute(rows)
+
+
 def test_every_length(docs):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices("ab", k=30))) for i in range(12)]
