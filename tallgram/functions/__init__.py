@@ -9,7 +9,7 @@ from .hashing import (
     random_sign,
     uniform_hash,
 )
-from .vectors import shrink_value, sq_distance, sq_norm, vector_sum
+from .vectors import required, shrink_value, sq_distance, sq_norm, vector_sum
 
 __all__ = [
     "PRIME",
@@ -18,6 +18,7 @@ __all__ = [
     "pairwise_bucket",
     "random_bucket",
     "random_sign",
+    "required",
     "uniform_hash",
     "shrink_value",
     "sq_distance",

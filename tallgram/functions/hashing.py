@@ -1,9 +1,10 @@
 """Seeded integer hashes modulo the Mersenne prime 2**31 - 1.
 
 Every product of two residues stays below 2**62, so BIGINT arithmetic is exact and the same
-numbers come out of a Catalyst expression, of NumPy int64 arrays and of any SQL engine. The
-functions below take either a ``Column`` or an integer array; only ``_residue`` and the final
-floating-point step differ.
+numbers come out of a Catalyst expression, of NumPy int64 arrays and of any SQL engine. Ids beyond
+the prime are two digits in base PRIME, and the higher one is mixed in with a factor of its own, so
+that no two ids share their hashes by being PRIME apart. The functions below take either a
+``Column`` or an integer array; only ``_residue`` and the final floating-point step differ.
 """
 
 from __future__ import annotations
@@ -19,13 +20,19 @@ PAIRWISE = (48271, 11)
 FOURWISE = (16807, 69621, 39373, 62089911)
 MIX_ROW = 1103515245
 MIX_COL = 742938285
+HIGH = 630360016
 
 
 def _residue(x):
-    """Value modulo PRIME, never negative."""
+    """(low digit + HIGH * high digit) modulo PRIME, never negative; the value itself below PRIME."""
     if isinstance(x, Column):
-        return F.pmod(x.cast("bigint"), F.lit(PRIME).cast("bigint"))
-    return np.mod(np.asarray(x, dtype=np.int64), PRIME)
+        x, prime = x.cast("bigint"), F.lit(PRIME).cast("bigint")
+        low = F.pmod(x, prime)
+        high = F.call_function("div", x - low, prime)
+        return F.pmod(low + F.pmod(high, prime) * HIGH, prime)
+    x = np.asarray(x, dtype=np.int64)
+    low = np.mod(x, PRIME)
+    return np.mod(low + np.mod((x - low) // PRIME, PRIME) * HIGH, PRIME)
 
 
 def _quintic(t):

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def required(value: Column, what: str = "element") -> Column:
+    """The value, or an error where it is NULL."""
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(f"NULL {what} in the matrix")))
+
+
 def sq_norm(vec: Column) -> Column:
     return F.aggregate(vec, F.lit(0.0), lambda total, x: total + x * x)
 

@@ -77,9 +77,9 @@ def entries_to_rows(entries: DataFrame, m: int, row_ids: DataFrame | None = None
 
 
 def transpose(entries: DataFrame) -> DataFrame:
-    return entries.select(
-        F.col("j").cast("bigint").alias("i"), F.col("i").cast("int").alias("j"), "v"
-    )
+    """Rows and columns swapped. Column numbers are INT, so a row id beyond that raises."""
+    fits = F.when(F.abs("i") < 2**31, F.col("i")).otherwise(F.raise_error(F.lit("a row id beyond INT can't be a column number")).cast("bigint"))
+    return entries.select(F.col("j").cast("bigint").alias("i"), fits.cast("int").alias("j"), "v")
 
 
 def list_array(matrix: np.ndarray) -> pa.ListArray:

@@ -9,9 +9,9 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import sq_distance
+from ..functions import required, sq_distance
 from ..layouts import dense_block, list_array
-from ..session import check_bytes, lookup, map_arrow, small_rows, stored, task_limit
+from ..session import check_bytes, lookup, map_arrow, small_rows, stored
 from .kernels import Spec
 from .sketch import sketch
 from .spectra import leading_vectors, project_rows, spectrum
@@ -29,8 +29,18 @@ def centers_array(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r.label for r in found], dtype=np.int32), points
 
 
-def _nearest(block: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position of the closest centre (lowest on ties) and squared distance.
+def _nearest(block: np.ndarray, centers: np.ndarray, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the closest centre (lowest on ties) and squared distance, for so many rows at a
+    time that their distances to all centres take at most ``cells`` numbers."""
+    step = max(1, cells // max(len(centers), 1))
+    if len(block) <= step:
+        return _nearest_of(block, centers)
+    parts = [_nearest_of(block[i : i + step], centers) for i in range(0, len(block), step)]
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+
+def _nearest_of(block: np.ndarray, centers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for all rows at once.
 
     Distances come from one matrix product; rows where two centres are nearly level are decided by
     direct differences.
@@ -66,15 +76,18 @@ def nearest_centroid(rows: DataFrame, centers: DataFrame, keep_vec: bool = False
 
 def label_join(labelled: DataFrame, centers: DataFrame) -> DataFrame:
     """Each labelled row with the centre of its label; the rows are not shuffled while the centres
-    are few enough to broadcast."""
-    return labelled.join(lookup(centers, "centers"), "label").select(
-        "row_id", "label", "vec", "center"
+    are few enough to broadcast. A label without a centre raises."""
+    missing = F.raise_error(F.concat(F.lit("no centre for label "), F.coalesce(F.col("label").cast("string"), F.lit("NULL"))))
+    center = F.when(F.col("center").isNull(), missing.cast("array<double>")).otherwise(F.col("center"))
+    return labelled.join(lookup(centers, "centers"), "label", "left").select(
+        "row_id", "label", "vec", center.alias("center")
     )
 
 
 def kmeans_cost(labelled: DataFrame, centers: DataFrame) -> DataFrame:
     """Sum of squared distances to the centre of the given label."""
-    terms = label_join(labelled, centers).select(sq_distance(F.col("vec"), F.col("center")).alias("d"))
+    distance = sq_distance(F.col("vec"), F.col("center"))
+    terms = label_join(labelled, centers).select(required(distance).alias("d"))
     return terms.agg(F.coalesce(F.sum("d"), F.lit(0.0)).alias("cost"))
 
 
@@ -87,9 +100,9 @@ def kmeans_cost_nearest(rows: DataFrame, centers: DataFrame) -> DataFrame:
 def compute_centers(labelled: DataFrame) -> DataFrame:
     """Mean vector per label; averages are combined on the map side, so label sizes do not matter."""
     means = (
-        labelled.select("label", F.posexplode("vec").alias("j", "v"))
+        labelled.select("label", F.posexplode(required(F.col("vec"))).alias("j", "v"))
         .groupBy("label", "j")
-        .agg(F.avg("v").alias("v"))
+        .agg(F.avg(required(F.col("v"))).alias("v"))
     )
     packed = means.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("jv"))
     return packed.select("label", F.col("jv.v").alias("center"))
@@ -106,9 +119,9 @@ def cost_from_labels(labelled: DataFrame) -> DataFrame:
     aggregate computes it without cancellation.
     """
     spread = (
-        labelled.select("label", F.posexplode("vec").alias("j", "v"))
+        labelled.select("label", F.posexplode(required(F.col("vec"))).alias("j", "v"))
         .groupBy("label", "j")
-        .agg((F.var_pop("v") * F.count("v")).alias("ss"))
+        .agg((F.var_pop(required(F.col("v"))) * F.count("v")).alias("ss"))
     )
     return spread.agg(
         F.coalesce(F.sum("ss"), F.lit(0.0)).alias("cost"), F.countDistinct("label").alias("k")
@@ -119,6 +132,7 @@ def lloyd(rows: DataFrame, centers: DataFrame, steps: int) -> DataFrame:
     """At most ``steps`` Lloyd iterations from given centres, fewer when they stop moving; a centre
     without rows stays put. Each step is one pass: tasks hand over k x (m + 1) sums."""
     labels, points = centers_array(centers)
+    rows = stored(rows.select("row_id", "vec"), "lloyd") if steps > 1 else rows
     for _ in range(steps):
 
         def sums(batches, points=points):
@@ -127,18 +141,15 @@ def lloyd(rows: DataFrame, centers: DataFrame, steps: int) -> DataFrame:
                 if batch.num_rows:
                     block = dense_block(batch.column("vec"))
                     choice, _ = _nearest(block, points)
-                    hot = np.zeros((len(points), len(block)))
-                    hot[choice, np.arange(len(block))] = 1.0
-                    total += np.hstack([hot @ block, hot.sum(axis=1)[:, None]])
+                    order = np.argsort(choice, kind="stable")
+                    used, heads = np.unique(choice[order], return_index=True)
+                    total[used, :-1] += np.add.reduceat(block[order], heads, axis=0)
+                    total[used, -1] += np.diff(np.append(heads, len(block)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(points), dtype=np.int32)), list_array(total)], ["c", "part"]
             )
 
-        parts = map_arrow(
-            rows.select("row_id", "vec").coalesce(task_limit(rows.sparkSession)),
-            sums,
-            "c int, part array<double>",
-        )
+        parts = map_arrow(rows.select("row_id", "vec"), sums, "c int, part array<double>")
         summed = (
             parts.select("c", F.posexplode("part").alias("j", "v")).groupBy("c", "j").agg(F.sum("v").alias("v"))
         ).toArrow()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import gaussian_hash
+from ..functions import gaussian_hash, required
 from ..session import check_bytes, map_arrow
 from .kernels import LINEAR, Spec, orthonormal
 from .sketch import single, sketch
@@ -21,8 +21,8 @@ SCORES = (
 
 def sq_frobenius(matrix: DataFrame) -> DataFrame:
     """Squared Frobenius norm; exploded elements keep the sum inside generated code."""
-    values = matrix.select(F.explode("vec").alias("v")) if "vec" in matrix.columns else matrix
-    v = F.col("v").cast("double")
+    values = matrix.select(F.explode(required(F.col("vec"), "vector")).alias("v")) if "vec" in matrix.columns else matrix
+    v = required(F.col("v").cast("double"))
     return values.agg(F.coalesce(F.sum(v * v), F.lit(0.0)).alias("sq_norm"))
 
 
@@ -111,7 +111,7 @@ def spectral_norm_wide(
     check_bytes(16 * m * block * passes, "the Krylov basis")
     x = orthonormal(gaussian_hash(np.arange(m)[:, None], np.arange(block)[None, :], seed))
     basis, images = np.zeros((m, 0)), np.zeros((m, 0))
-    best = 0.0
+    best, settled = 0.0, False
     for _ in range(passes):
         _, data = single(sketch(matrix, Spec("product", x.shape[1]), m=m, aux={0: x}, strict=False))
         y = data.reshape(x.shape[1], m).T
@@ -130,6 +130,8 @@ def spectral_norm_wide(
         x = fresh[:, np.abs(np.diag(r)) > 1e-12 * max(np.abs(y).max(), 1e-300)][:, : m - basis.shape[1]]
         if x.shape[1] == 0:
             break
+    else:
+        raise ArithmeticError(f"the norm has not settled after {passes} passes: {best} at last")
     return best
 
 

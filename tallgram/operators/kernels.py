@@ -97,7 +97,13 @@ class Spec:
         return "randomized" if self.kind in ("rand_batch_pfd", "sparse_rand_batch_pfd") else self.svd
 
     def state_bytes(self, m: int) -> int:
-        return 8 * m * (m if self.kind == "gram" else self.l)
+        """Bytes of an accumulator: the state and, in dense kinds, its buffer rows."""
+        if self.kind == "gram":
+            return 8 * m * m
+        if self.kind == "range":
+            return 8 * (m + self.l) * self.l
+        dense = self.kind in SHRINKING and not self.kind.startswith("sparse")
+        return 8 * m * (max(self.l, self.l2 or 0) + (self.extra if dense else 0))
 
 
 def _eigh_down(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,11 +118,11 @@ def orthonormal(y: np.ndarray) -> np.ndarray:
 class Shrinking:
     """Frequent-Directions family: rows fill a buffer, a full buffer is shrunk back to l rows."""
 
-    def __init__(self, spec: Spec, m: int):
+    def __init__(self, spec: Spec, m: int, extra: int | None = None):
         if spec.l > m:
             raise ValueError(f"l={spec.l} exceeds the {m} columns")
         self.spec, self.m = spec, m
-        self.buffer = np.zeros((spec.l + spec.extra, m))
+        self.buffer = np.zeros((spec.l + (spec.extra if extra is None else extra), m))
         self.filled = 0
         self.n_rows = 0
         self.delta = 0.0
@@ -431,9 +437,12 @@ class LinearSum:
 
 def merger(spec: Spec, m: int, phase: int = 2):
     """Accumulator that absorbs states. States of the sparse kinds are dense rows, so they are
-    merged by the dense sketch with as many buffer rows as l."""
+    merged by the dense sketch with as many buffer rows as l; kinds without extra rows get l of them
+    too, so that a state is taken in with one shrink instead of one for each of its rows."""
     if spec.kind.startswith("sparse"):
         return Shrinking(replace(spec, kind="batch_pfd", b=spec.l), m)
+    if spec.kind in ("fd_median", "tweak_fast", "tweak_slow"):
+        return Shrinking(spec, m, spec.l)
     return accumulator(spec, m, phase)
 
 

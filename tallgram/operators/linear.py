@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fourwise_sign, pairwise_bucket, random_bucket, random_sign
+from ..functions import fourwise_sign, pairwise_bucket, random_bucket, random_sign, required
 from .kernels import Spec
 from .sketch import sketch, state_entries
 
@@ -24,9 +24,9 @@ def count_sketch(matrix: DataFrame, l: int, hashing: str = "pairwise", seed: int
         bucket, sign = random_bucket(k, l, seed), random_sign(k, seed)
     else:
         raise ValueError(f"unknown hashing {hashing!r}")
-    cells = [F.posexplode("vec").alias("j", "v")] if dense else ["j", "v"]
+    cells = [F.posexplode(required(F.col("vec"), "vector")).alias("j", "v")] if dense else ["j", "v"]
     terms = matrix.select(bucket.alias("i"), sign.cast("double").alias("sign"), *cells)
-    return terms.groupBy("i", "j").agg(F.sum(F.col("sign") * F.col("v")).alias("v"))
+    return terms.groupBy("i", "j").agg(F.sum(F.col("sign") * required(F.col("v"))).alias("v"))
 
 
 def gaussian_sketch(matrix: DataFrame, l: int, m: int | None = None, seed: int = 0) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..layouts import dense_block
-from ..session import check_bytes, map_arrow, task_limit
+from ..session import check_bytes, expected_partitions, map_arrow, matrix_budget
 from .kernels import LINEAR, SHRINKING, Spec, accumulator, merger
 
 STATE = (
@@ -96,7 +96,7 @@ def _phases(spec: Spec, row_ids: np.ndarray):
         yield 2, ~early
 
 
-def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_bytes: int):
+def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_bytes: int, budget: int):
     """Accumulate the batches of one task and yield its states."""
     task = TaskContext.get()
     part = task.partitionId() if task else 0
@@ -112,10 +112,11 @@ def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_byt
         if sparse:
             idx_column = batch.column("idx")
             sizes = np.diff(idx_column.offsets.to_numpy())
+            if idx_column.flatten().null_count:
+                raise ValueError("null column numbers in the matrix")
             idx = idx_column.flatten().to_numpy()
-            val = batch.column("val").flatten().to_numpy(zero_copy_only=False)
-            if not np.isfinite(val).all():
-                raise ValueError("null, NaN or infinite elements in the matrix")
+            val = batch.column("val").flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+            check_sparse(batch.column("idx"), batch.column("val"), idx, val, m)
             width = m
         else:
             block = dense_block(batch.column("vec"))
@@ -127,7 +128,7 @@ def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_byt
                     name = (key, spec.grid_id, phase)
                     acc = live.get(name)
                     if acc is None:
-                        check_bytes(spec.state_bytes(width), f"a {spec.kind} state")
+                        check_bytes(spec.state_bytes(width), f"a {spec.kind} state", budget)
                         acc = live[name] = accumulator(spec, width, phase, aux.get(spec.grid_id))
                         acc.mark = None
                         held += _size(acc)
@@ -155,6 +156,18 @@ def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_byt
         yield state_batch([_labelled(acc, _spec(specs, grid_id), key, phase, part)])
 
 
+def check_sparse(idx_column, val_column, idx: np.ndarray, val: np.ndarray, m: int) -> None:
+    """Sparse rows hold as many finite values as column numbers, all of these within the matrix."""
+    if idx_column.null_count or val_column.null_count:
+        raise ValueError("null rows of column numbers or values in the matrix")
+    if (np.diff(idx_column.offsets.to_numpy()) != np.diff(val_column.offsets.to_numpy())).any():
+        raise ValueError("sparse rows with more column numbers than values, or fewer")
+    if not np.isfinite(val).all():
+        raise ValueError("null, NaN or infinite elements in the matrix")
+    if len(idx) and (idx.min() < 0 or idx.max() >= m):
+        raise ValueError(f"column numbers {idx.min()} to {idx.max()} in a matrix of {m} columns")
+
+
 def latest(a: int | None, b: int | None) -> int | None:
     return b if a is None else a if b is None else max(a, b)
 
@@ -201,6 +214,16 @@ def _combine(batches, specs, final: bool, strict: bool):
     current, acc = None, None
     first = None  # finished phase 1 of a dynamic sketch
 
+    def alone():
+        """A phase 1 that no row followed is the group's result."""
+        nonlocal first
+        if first is None:
+            return []
+        row, first = first, None
+        if strict:
+            raise ValueError("the change point lies beyond the last row")
+        return [row]
+
     def done():
         nonlocal first
         key, grid_id, part, phase = current
@@ -208,19 +231,24 @@ def _combine(batches, specs, final: bool, strict: bool):
         if not final:
             return [_labelled(acc, spec, key, phase, part)]
         if spec.kind == "dynamic_fd" and phase == 1:
-            first = ((key, grid_id), acc.state(True))
-            return []
-        if first is not None and first[0] == (key, grid_id):
-            early = first[1] | {"delta_first": first[1]["delta"]}
-            acc.merge(early)
+            before = alone()
+            first = _labelled(acc, spec, key, 0, 0, True)
+            first["delta_first"] = first["delta"]
+            return before
+        before = []
+        if first is not None and (first["key"], first["grid_id"]) == (key, grid_id):
+            acc.merge(first)
+            acc.mark = latest(acc.mark, first["mark"]) if first["mark"] is not None else acc.mark
             first = None
+        else:
+            before = alone()
         row = _labelled(acc, spec, key, 0, 0, True)
         if strict and spec.kind in SHRINKING:
             if row["n_rows"] < row["l"]:
                 raise ValueError(f"l={row['l']} exceeds the {row['n_rows']} rows")
             if spec.kind == "dynamic_fd" and spec.change_at >= row["n_rows"]:
                 raise ValueError("the change point lies beyond the last row")
-        return [row]
+        return [*before, row]
 
     for row in _state_rows(batches):
         name = (row["key"], row["grid_id"], row["part"], row["phase"])
@@ -239,8 +267,8 @@ def _combine(batches, specs, final: bool, strict: bool):
     if acc is not None:
         for ready in done():
             yield state_batch([ready])
-    if first is not None:
-        raise ValueError("the change point lies beyond the last row")
+    for ready in alone():
+        yield state_batch([ready])
 
 
 def partial_states(
@@ -277,9 +305,9 @@ def partial_states(
         order = columns[:2]
         picked = picked.repartition(buckets, *order).sortWithinPartitions(*order)
     else:
-        picked = picked.coalesce(tasks or task_limit(matrix.sparkSession))
-    aux = aux or {}
-    return map_arrow(picked, lambda batches: _absorb(batches, specs, aux, m, LIVE_BYTES), STATE)
+        picked = picked.coalesce(tasks) if tasks else picked
+    aux, budget = aux or {}, matrix_budget()
+    return map_arrow(picked, lambda batches: _absorb(batches, specs, aux, m, LIVE_BYTES, budget), STATE)
 
 
 def merge_states(
@@ -290,7 +318,8 @@ def merge_states(
     strict: bool = False,
     final: bool = True,
 ) -> DataFrame:
-    """One final state per (key, grid_id) out of at most ``at_most`` parts of each."""
+    """One final state per (key, grid_id). ``at_most`` parts of each are expected, which sets the
+    number of rounds; if there are more, the last round merges more of them at a time."""
     specs = tuple(specs)
     rounds = max(1, math.ceil(math.log(max(at_most, 2), fan_in)))
     for number in range(rounds):
@@ -325,7 +354,7 @@ def sketch(
     ``strict`` (default: on without a key) refuses a matrix with fewer rows than l.
     """
     specs = [specs] if isinstance(specs, Spec) else list(specs)
-    limit = buckets or tasks or task_limit(matrix.sparkSession)
+    limit = buckets or tasks or expected_partitions(matrix)
     states = partial_states(matrix, specs, key, m, aux, tasks, buckets)
     strict = key is None if strict is None else strict
     return merge_states(states, specs, limit, fan_in, strict)

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes a small matrix (centres, singular vectors, one sketch) may take before it is refused.
+#: Bytes a small matrix (centres, singular vectors, one sketch) may take before it is refused;
+#: ``spark.tallgram.matrix.bytes`` sets another limit.
 SMALL_MATRIX_BYTES = 1 << 30
 
 _local_dirs: dict[str, str] = {}
@@ -74,7 +75,14 @@ def small_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
-def check_bytes(n_bytes: int, what: str, budget: int = SMALL_MATRIX_BYTES) -> None:
+def matrix_budget() -> int:
+    """The limit of the active session; the default where there is none, as in tasks."""
+    spark = SparkSession.getActiveSession()
+    return int(spark.conf.get("spark.tallgram.matrix.bytes", str(SMALL_MATRIX_BYTES))) if spark else SMALL_MATRIX_BYTES
+
+
+def check_bytes(n_bytes: int, what: str, budget: int | None = None) -> None:
+    budget = matrix_budget() if budget is None else budget
     if n_bytes > budget:
         raise ValueError(f"{what} needs {n_bytes} bytes, over the budget of {budget}")
 
@@ -140,9 +148,11 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
-def task_limit(spark: SparkSession) -> int:
-    """Upper bound on the tasks of one summary pass, hence on the states to merge."""
-    context = spark.sparkContext
-    if context.master.startswith("local"):
-        return max(64, 4 * context.defaultParallelism)
-    return max(4096, 4 * context.defaultParallelism)
+def expected_partitions(df: DataFrame) -> int:
+    """How many partitions the plan is likely to have, from its size; only a hint for the depth of
+    merge trees, which are correct for any number."""
+    spark = df.sparkSession
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    known = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return known if size >= 1 << 60 else max(known, -(-size // split))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.algebra import numbered
 from ..session import lookup
 
 
@@ -27,15 +28,9 @@ def matrix_from_columns(df: DataFrame, row_id, columns: list) -> DataFrame:
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
-    """Distinct values of ``column`` numbered from zero in sorted order.
-
-    Meant for the column side of a matrix (few values): the numbering window runs over the distinct
-    values only.
-    """
-    values = df.select(column).distinct()
-    return values.select(
-        column, (F.row_number().over(Window.orderBy(column)) - 1).cast("int").alias("j")
-    )
+    """Distinct values of ``column`` numbered from zero in sorted order, NULL first: a range-partitioned
+    sort, with one row per range in the numbering window."""
+    return numbered(df, column).select(column, F.col("rank").cast("int").alias("j"))
 
 
 def pivot_to_sparse(df: DataFrame, row: str, column: str, value: str) -> DataFrame:
@@ -43,9 +38,10 @@ def pivot_to_sparse(df: DataFrame, row: str, column: str, value: str) -> DataFra
 
     The facts are summed per (row, column value) first, so a popular pair is combined on the map
     side and the dictionary join sees each pair once. The dictionary is broadcast only after it
-    has been counted.
+    has been measured. NULL is a category of its own.
     """
     cells = df.groupBy(row, column).agg(F.sum(F.col(value).cast("double")).alias("v"))
-    return cells.join(lookup(dictionary(df, column), "dictionary"), column).select(
+    names = lookup(dictionary(df, column), "dictionary").withColumnRenamed(column, "__name")
+    return cells.join(names, F.col(column).eqNullSafe(F.col("__name"))).select(
         F.col(row).cast("bigint").alias("i"), "j", "v"
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import lookup
+
 
 def _lines(spark: SparkSession, path) -> DataFrame:
     return spark.read.text(path).select(
@@ -33,8 +35,8 @@ def read_dense_text(spark: SparkSession, path, check_header: bool = False) -> Da
     """Dense rows from whitespace-separated lines; ``row_id`` is the line order.
 
     Numbering needs no global sort: every file split numbers its own lines, and the small table of
-    lines per split gives each split its offset. That table has one row per file split (under a
-    million for 100 TB), which bounds the broadcast.
+    lines per split, written once, gives each split its offset. It is broadcast if it is measured to
+    be small; otherwise the lines of a split are joined with it.
     """
     lines = _lines(spark, path).filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     lines = lines.withColumn("seq", F.monotonically_increasing_id())
@@ -47,7 +49,7 @@ def read_dense_text(spark: SparkSession, path, check_header: bool = False) -> Da
         "block",
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"),
     )
-    rows = lines.join(F.broadcast(offsets), ["file", "block"]).select(
+    rows = lines.join(lookup(offsets, "line-offsets"), ["file", "block"]).select(
         (F.col("seq") + F.col("shift")).alias("row_id"), _numbers(F.col("line")).alias("vec")
     )
     if check_header:

@@ -132,22 +132,29 @@ def stream_sketch_keyed(stream: DataFrame, key: str, spec: Spec) -> DataFrame:
     )
 
 
+def _millis(spark: SparkSession, interval: str) -> int:
+    """Length of an interval such as '1 hour 30 minutes'."""
+    return spark.sql(f"SELECT unix_millis(TIMESTAMP_MICROS(0) + INTERVAL {interval}) AS ms").first().ms
+
+
 def stream_sketch_windowed(
-    stream: DataFrame, ts: str, width: str, delay: str, spec: Spec
+    stream: DataFrame, ts: str, width: str, delay: str, spec: Spec, slide: str | None = None
 ) -> DataFrame:
-    """One sketch per tumbling event-time window, emitted when the watermark passes its end.
+    """One sketch per event-time window, emitted when the watermark passes its end; the window end is
+    the group key, in milliseconds. ``slide`` makes the windows overlap.
 
-    Rows that arrive after that are dropped. The window end is the group key, in milliseconds;
-    wider or sliding windows are merges of these panes.
+    Lateness is judged by the window's end: the watermark lies ``delay`` and one ``width`` behind the
+    latest window end seen, so no row of an open window is dropped however the rows of a micro-batch
+    were condensed, and a window is emitted up to one width later than its last row would allow.
+    Rows for windows that have been emitted are dropped.
     """
     spec = spec.check()
-    end = F.unix_millis(F.window(ts, width).end)
-    timed = stream.withColumn("window_end", end).withColumn("mark", F.unix_micros(ts))
-    # States carry the latest event time they have seen, which is what moves the watermark.
+    windows = F.window(ts, width, slide) if slide else F.window(ts, width)
+    timed = stream.withColumn("window_end", F.unix_millis(windows.end))
     partial = (
         partial_states(timed, [spec], key="window_end")
-        .withColumn("seen", F.timestamp_micros("mark"))
-        .withWatermark("seen", delay)
+        .withColumn("closes", F.timestamp_millis(F.col("key").cast("bigint")))
+        .withWatermark("closes", f"{_millis(stream.sparkSession, delay) + _millis(stream.sparkSession, width)} milliseconds")
     )
 
     def update(group, frames, state: GroupState):

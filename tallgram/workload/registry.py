@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.hashing import FOURWISE, MIX_COL, MIX_ROW, PAIRWISE, PRIME
+from ..functions.hashing import FOURWISE, HIGH, MIX_COL, MIX_ROW, PAIRWISE, PRIME
 from ..layouts import rows_to_entries
 from ..sources import matrix_from_columns, matrix_from_vectors
 
@@ -108,7 +108,9 @@ def sql_cells(source: str, digits: int = 6) -> str:
 
 
 def sql_residue(x: str) -> str:
-    return f"((CAST({x} AS BIGINT) % {PRIME} + {PRIME}) % {PRIME})"
+    low = f"((CAST({x} AS BIGINT) % {PRIME} + {PRIME}) % {PRIME})"
+    high = f"(((CAST({x} AS BIGINT) - {low}) // {PRIME} % {PRIME} + {PRIME}) % {PRIME})"
+    return f"(({low} + {high} * {HIGH}) % {PRIME})"
 
 
 def sql_quintic(t: str) -> str:

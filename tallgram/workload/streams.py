@@ -87,11 +87,12 @@ def stream_sketch_keyed_query(spark, sf):
     f"""
 SELECT CAST(epoch_ms(date_trunc('day', ts) + INTERVAL 1 DAY) AS VARCHAR) AS key, count(*) AS n_rows,
  {sql_rounded('sum(1 + value / 10 * value / 10)', 6)} AS mass FROM events
-WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL
+WHERE date_trunc('day', ts) + INTERVAL 1 DAY < (SELECT max(date_trunc('day', ts)) - INTERVAL 1 HOUR FROM events) GROUP BY ALL
 """,
 )
 def stream_sketch_windowed_query(spark, sf):
-    """Daily windows, emitted once the watermark (one hour behind) has passed them."""
+    """Daily windows, emitted once the watermark (a day and an hour behind the latest window's end)
+    has passed them."""
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     events = _stream(spark, sf, "events").select(
         F.col("event_id").alias("row_id"), F.array(F.lit(1.0), F.col("value") / 10).alias("vec"),
