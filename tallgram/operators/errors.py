@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from ..functions import gaussian_hash, required
 from ..session import check_bytes, map_arrow
-from .kernels import LINEAR, Spec, orthonormal
+from .kernels import LINEAR, SHRINKING, Spec, orthonormal
 from .sketch import single, sketch
 
 SCORES = (
     "key string, grid_id int, kind string, l int, b int, alpha double, m int, n_rows bigint, "
     "sq_norm double, sketch_mass double, delta double, delta_first double, mass_lost double, "
-    "abs_err double, err double, k int, tail double, proj_err double"
+    "abs_err double, err double, k int, tail double, proj_err double, certified boolean"
 )
 
 
@@ -42,6 +42,7 @@ def score(states: DataFrame, grams: DataFrame, k: int | None = None) -> DataFram
     )
 
     def measure(batches):
+        spectra: dict = {}  # of the Gram matrix last seen
         for batch in batches:
             for n in range(batch.num_rows):
                 one = batch.slice(n, 1)
@@ -49,17 +50,47 @@ def score(states: DataFrame, grams: DataFrame, k: int | None = None) -> DataFram
                 m = row["m"]
                 b = one.column("data").flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
                 g = one.column("gram").flatten().to_numpy(zero_copy_only=False).reshape(m, m)
-                yield _measured(row, b, g, k)
+                yield _measured(row, b, g, k, spectra)
 
     columns = "key grid_id kind l b alpha m n_rows delta delta_first mass_lost data gram".split()
     return map_arrow(pairs.select(*columns).repartition("key", "grid_id"), measure, SCORES)
 
 
-def _measured(row: dict, b: np.ndarray, g: np.ndarray, k: int | None) -> pa.RecordBatch:
+def certified(row: dict, energies: np.ndarray, mass: float, worst: float) -> bool:
+    """Whether a sketch keeps what its kind promises; an empty one doesn't.
+
+    With c = cut - spared + 1 every shrink takes delta from c directions, so c delta <= mass lost, and
+    the error is at most the energy beyond k over c - k for every k < c. Randomized kinds get twice
+    that. All keep a share of the mass that the directions they spare must hold; linear sketches keep
+    the mass itself up to the deviation of their size.
+    """
+    total, kind, m = float(energies.sum()), row["kind"], row["m"]
+    if total <= 0:
+        return mass <= 0
+    if kind not in SHRINKING:
+        return total / (1 + 6 / np.sqrt(row["l"])) <= mass <= total * (1 + 6 / np.sqrt(row["l"]))
+    slack = 1e-9 * total
+    spec = Spec("batch_fd" if kind == "dynamic_fd" else kind, row["l"], b=row["b"], alpha=row["alpha"])
+    if mass < 0.25 * max(spec.spared, 1) / m * total:
+        return False
+    if kind == "dynamic_fd":  # the size before the change isn't in the state
+        return worst <= row["delta"] + slack and row["delta"] <= row["mass_lost"] + slack
+    c = spec.cut - spec.spared + 1
+    tails = total - np.concatenate([[0.0], np.cumsum(energies)])[:c]
+    bound = float((tails / (c - np.arange(len(tails)))).min())
+    if spec.strategy == "randomized":
+        return worst <= min(row["mass_lost"], 2 * bound) + slack
+    return worst <= min(row["delta"], bound) + slack and c * row["delta"] <= row["mass_lost"] + slack
+
+
+def _measured(row: dict, b: np.ndarray, g: np.ndarray, k: int | None, spectra: dict) -> pa.RecordBatch:
     total = float(np.trace(g))
     worst = float(np.abs(np.linalg.eigvalsh(g - b.T @ b)).max())
     k = min(max(row["l"] // 2, 1), 100) if k is None else k
-    energies = np.maximum(np.linalg.eigvalsh(g)[::-1], 0.0)
+    if row["key"] not in spectra:
+        spectra.clear()
+        spectra[row["key"]] = np.maximum(np.linalg.eigvalsh(g)[::-1], 0.0)
+    energies = spectra[row["key"]]
     tail = float(energies[k:].sum())
     _, sigma, vt = np.linalg.svd(b, full_matrices=False)
     v = vt[:k][sigma[:k] > 1e-12 * max(sigma[0], 1e-300)] if len(sigma) else vt[:0]
@@ -72,11 +103,12 @@ def _measured(row: dict, b: np.ndarray, g: np.ndarray, k: int | None) -> pa.Reco
         k=k,
         tail=tail,
         proj_err=outside / tail if tail > 1e-12 * total else None,
+        certified=bool(certified(row, energies, float(np.vdot(b, b)), worst)),
     )
     if row["kind"] in LINEAR:
         row |= dict(delta=None, delta_first=None, mass_lost=None)
     names = [c.split()[0] for c in SCORES.split(", ")]
-    types = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+    types = {"boolean": pa.bool_(), "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
     kinds = [types[c.split()[1]] for c in SCORES.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(names, kinds)], names)
 
@@ -142,6 +174,6 @@ def fd_bound(sq_norm, l: int):
 
 def fd_rank_bound(tail, l: int, k: int):
     """tail_k / (l - k)."""
-    if l <= k:
+    if not hasattr(l, "_jc") and l <= k:
         raise ValueError("the rank bound needs l > k")
     return tail / (l - k)

@@ -9,14 +9,18 @@ from __future__ import annotations
 import time
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..layouts import list_array
 from ..operators.clustering import kmeans_on_sketch
 from ..operators.errors import score, sketch_and_score
 from ..operators.kernels import Spec
 from ..operators.linear import count_sketch
 from ..operators.sketch import STATE, sketch
+from ..session import check_bytes, map_arrow
 from ..sources.store import RESULTS
 
 
@@ -67,7 +71,7 @@ def _results(scored: DataFrame, exp: str, dataset: str, partitions=None, time_s=
         if name not in out.columns:
             out = out.withColumn(name, value)
     fields = [f.split() for f in RESULTS.split(", ")]
-    extra = [c for c in ("grid_id", "delta", "mass_lost", "abs_err", "sketch_mass", "sq_norm") if c in out.columns]
+    extra = [c for c in ("grid_id", "delta", "mass_lost", "abs_err", "sketch_mass", "sq_norm", "certified") if c in out.columns]
     return out.select(*[F.col(n).cast(t).alias(n) for n, t in fields], *extra)
 
 
@@ -101,19 +105,23 @@ def sweep_sketch_compare(
 
 def entries_to_state(entries: DataFrame, l: int, m: int, grid_id: int = 0) -> DataFrame:
     """A small l x m matrix in entry layout as a sketch state, so that it can be scored or saved."""
-    cell = F.map_from_entries(F.collect_list(F.struct(F.col("i") * m + F.col("j"), F.col("v"))))
-    filled = F.transform(
-        F.sequence(F.lit(0).cast("bigint"), F.lit(l * m - 1).cast("bigint")),
-        lambda at: F.coalesce(F.col("cells")[at], F.lit(0.0)),
-    )
+    check_bytes(16 * l * m, "the sketch")
+    cells = entries.agg(F.collect_list(F.struct((F.col("i") * m + F.col("j")).alias("at"), "v")).alias("cells"))
+
+    def fill(batches):
+        for batch in batches:
+            for row in batch.column(0):
+                data = np.zeros(l * m)
+                data[row.values.field("at").to_numpy()] = row.values.field("v").to_numpy()
+                yield pa.RecordBatch.from_arrays([list_array(data[None, :])], ["data"])
+
     fixed = dict(
         key=F.lit(None), grid_id=F.lit(grid_id), phase=F.lit(0), part=F.lit(0), kind=F.lit("cw"),
         l=F.lit(l), b=F.lit(0), alpha=F.lit(1.0), m=F.lit(m), filled=F.lit(l), n_rows=F.lit(None),
         delta=F.lit(None), delta_first=F.lit(None), mass_lost=F.lit(None), mark=F.lit(None),
-        data=filled,
+        data=F.col("data"),
     )
-    packed = entries.agg(cell.alias("cells"))
-    return packed.select(
+    return map_arrow(cells, fill, "data array<double>").select(
         *[fixed[n].cast(t).alias(n) for n, t in (f.split() for f in STATE.split(", "))]
     )
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..layouts import entries_to_sparse_rows, rows_to_entries
 from ..operators import errors as R
 from ..operators import spectra as X
-from ..operators.algebra import matmul
+from ..operators.algebra import matmul, matmul_small
 from ..operators.kernels import Spec
 from ..operators.sketch import single, sketch
 from ..session import stored
@@ -99,13 +99,17 @@ def sorted_spectrum(spark, sf):
 
 @query(
     "topk_directions",
-    f"WITH {_A} SELECT CAST(x AS INTEGER) AS k, true AS below_total FROM t, (SELECT unnest(range(10)) AS x)",
+    f"WITH {_A} SELECT CAST(x AS INTEGER) AS k, true AS agrees FROM t, (SELECT unnest(range(10)) AS x)",
 )
 def topk_directions(spark, sf):
     rows = embeddings(spark, sf, "float")
-    total = R.sq_frobenius(rows).scalar()
-    top = X.top_directions(X.thin_svd(rows), 10)
-    return top.select("k", (F.col("sigma") * F.col("sigma") <= total).alias("below_total"))
+    """sigma is the length of A v for each of the leading directions."""
+    svd = stored(X.thin_svd(rows), "svd")
+    top = X.top_directions(svd, 10)
+    _, v = X.small_svd(top)
+    lengths = matmul_small(rows, v.T).select(F.posexplode("vec").alias("k", "x")).groupBy("k").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("length"))
+    close = F.abs(F.col("length") / F.col("sigma") - 1) < 1e-6
+    return top.join(lengths, "k").select("k", (close & (F.col("sigma") > 0)).alias("agrees"))
 
 
 @query(
@@ -127,17 +131,15 @@ def randomized_svd(spark, sf):
 
 @query(
     "randomized_svd_sparse",
-    f"SELECT CAST(8 AS BIGINT) AS k, true AS below_total FROM {ACCOUNT_MASS}",
+    f"SELECT CAST(8 AS BIGINT) AS k, true AS agrees FROM {ACCOUNT_MASS}",
 )
 def randomized_svd_sparse(spark, sf):
     entries = account_entries(spark, sf)
-    total = R.sq_frobenius(entries).scalar()
     sparse = stored(entries_to_sparse_rows(entries, summed=True), "sparse")
-    svd = X.randomized_svd(sparse, 8, HOURS, power=1)
-    return svd.agg(
-        F.count("*").alias("k"),
-        (F.sum(F.col("sigma") * F.col("sigma")) <= F.max(total)).alias("below_total"),
-    )
+    svd = X.randomized_svd(sparse, 8, HOURS, power=2)
+    exact = X.thin_svd(sparse, HOURS).select("k", F.col("sigma").alias("exact"))
+    ratio = F.col("sigma") / F.col("exact")
+    return svd.join(exact, "k").agg(F.count("*").alias("k"), F.min(ratio.between(0.9, 1 + 1e-9)).alias("agrees"))
 
 
 @query(
@@ -172,13 +174,17 @@ def cov_error_sparse(spark, sf):
 
 @query(
     "low_rank_sketch",
-    f"WITH {_A} SELECT CAST(x AS INTEGER) AS k, true AS below_total FROM t, (SELECT unnest(range(8)) AS x)",
+    f"WITH {_A} SELECT CAST(x AS INTEGER) AS k, true AS agrees FROM t, (SELECT unnest(range(8)) AS x)",
 )
 def low_rank_sketch(spark, sf):
     rows = embeddings(spark, sf, "float")
-    total = R.sq_frobenius(rows).scalar()
-    part = X.low_rank_sketch(sketch(rows, Spec("fd", 16)), 8)
-    return part.select("k", (F.col("sigma") * F.col("sigma") <= total).alias("below_total"))
+    """Each squared value is within delta below that of the matrix, and not above it."""
+    states = stored(sketch(rows, Spec("fd", 16)), "states")
+    exact = X.thin_svd(rows).select("k", F.col("sigma").alias("exact"))
+    delta = states.first()["delta"]
+    part = X.low_rank_sketch(states, 8).join(exact, "k")
+    square, true = F.col("sigma") * F.col("sigma"), F.col("exact") * F.col("exact")
+    return part.select("k", square.between(true * (1 - 1e-9) - delta, true * (1 + 1e-9)).alias("agrees"))
 
 
 @query("projection_matrix", f"WITH {_A} SELECT 8.0::DOUBLE AS trace, CAST(m * m AS BIGINT) AS cells, 8.0::DOUBLE AS sq_norm FROM a")
@@ -246,7 +252,7 @@ def fd_bounds(spark, sf):
     sizes = F.explode(F.array(F.lit(16), F.lit(32), F.lit(48))).alias("l")
     bound = R.fd_bound(F.col("sq_norm"), F.col("l"))
     return R.sq_frobenius(rows).select("sq_norm", sizes).select(
-        "l", rounded(bound).alias("bound"), (tail / (F.col("l") - 8) < bound).alias("rank_bound_smaller")
+        "l", rounded(bound).alias("bound"), (R.fd_rank_bound(tail, F.col("l"), 8) < bound).alias("rank_bound_smaller")
     )
 
 

@@ -20,14 +20,15 @@ from .registry import (
 RANDOMIZED = ("rand_batch_pfd", "sparse_rand_batch_pfd")
 
 
-def certificate(scored, digits: int = 4):
+def certificate(scored, digits: int = 4, extra=()):
     """(l, m, mass, err_le_delta); a randomized shrink certifies the lost mass instead of delta."""
     limit = F.when(F.col("kind").isin(*RANDOMIZED), F.col("mass_lost")).otherwise(F.col("delta"))
     return scored.select(
+        *extra,
         "l",
         "m",
         rounded(F.col("sketch_mass") + F.col("mass_lost"), digits).alias("mass"),
-        (F.col("abs_err") <= limit + 1e-9 * F.col("sq_norm")).alias("err_le_delta"),
+        ((F.col("abs_err") <= limit + 1e-9 * F.col("sq_norm")) & F.col("certified")).alias("err_le_delta"),
     )
 
 
@@ -154,13 +155,13 @@ def certificate_columns():
     return [
         "l",
         rounded(F.col("sketch_mass") + F.col("mass_lost"), 4).alias("mass"),
-        (F.col("abs_err") <= F.col("delta") + 1e-9 * F.col("sq_norm")).alias("err_le_delta"),
+        ((F.col("abs_err") <= F.col("delta") + 1e-9 * F.col("sq_norm")) & F.col("certified")).alias("err_le_delta"),
     ]
 
 
 @query(
     "sketch_registry",
-    f"SELECT kind, CAST(16 AS INTEGER) AS l, CAST({_EMB_M} AS INTEGER) AS m, {sql_rounded('s', 4)} AS sq_norm FROM {EMB_MASS}, (SELECT unnest(['fd', 'fast_fd', 'batch_fd', 'fd_median', 'pfd', 'batch_pfd', 'rand_batch_pfd', 'tweak_fast', 'tweak_slow', 'jlt']) AS kind)",
+    f"SELECT kind, CAST(16 AS INTEGER) AS l, CAST({_EMB_M} AS INTEGER) AS m, {sql_rounded('s', 4)} AS mass, true AS certified FROM {EMB_MASS}, (SELECT unnest(['fd', 'fast_fd', 'batch_fd', 'fd_median', 'pfd', 'batch_pfd', 'rand_batch_pfd', 'tweak_fast', 'tweak_slow', 'jlt']) AS kind)",
 )
 def sketch_registry(spark, sf):
     """Every dense kind by name, all from one pass."""
@@ -170,7 +171,22 @@ def sketch_registry(spark, sf):
     )
     specs = [Spec(kind, 16, b=20, alpha=0.4, grid_id=n) for n, kind in enumerate(kinds)]
     scored = sketch_and_score(embeddings(spark, sf, "float"), specs)
-    return scored.select("kind", "l", "m", rounded("sq_norm", 4).alias("sq_norm"))
+    mass = F.when(F.col("kind") == "jlt", F.col("sq_norm")).otherwise(F.col("sketch_mass") + F.col("mass_lost"))
+    return scored.select("kind", "l", "m", rounded(mass, 4).alias("mass"), "certified")
+
+
+@query(
+    "dynamic_fd_keyed",
+    f"SELECT CASE WHEN i < 100 THEN 'early' ELSE CAST(label % 2 AS VARCHAR) END AS key, count(DISTINCT i) AS n_rows, {sql_rounded('sum(v * v)', 4)} AS mass, true AS err_le_delta FROM {EMB} GROUP BY 1",
+)
+def dynamic_fd_keyed(spark, sf):
+    """Keys before, around and after the change point; one lies wholly before it."""
+    key = F.when(F.col("vec_id") < 100, "early").otherwise((F.col("label") % 2).cast("string"))
+    rows = table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<float>").alias("vec"), key.alias("key")
+    )
+    scored = sketch_and_score(rows, Spec("dynamic_fd", 16, b=40, l2=32, change_at=200), key="key")
+    return certificate(scored, extra=["key", "n_rows"]).select("key", "n_rows", "mass", "err_le_delta")
 
 
 _LINE_CELLS = (

@@ -18,7 +18,7 @@ def _checked(results, extra=()):
     loses = F.col("variant").isin("randomized", "rand-batch-pfd")
     limit = F.when(loses, F.col("mass_lost")).otherwise(F.col("delta"))
     linear = F.col("variant").isin("jlt", "cw")
-    fine = F.when(linear, F.col("err") < 1.5).otherwise(
+    fine = F.col("certified") & F.when(linear, F.col("err") < 1.5).otherwise(
         F.col("abs_err") <= limit + 1e-9 * F.col("sq_norm")
     )
     mass = F.when(linear, F.col("sq_norm")).otherwise(F.col("sketch_mass") + F.col("mass_lost"))
