@@ -7,8 +7,9 @@ largest id is the response, others are revisits that refer to it. Spark's text w
 records out, with the two line ends that close a record as its separator, so files are committed as
 any other output.
 
-Reading. Files are cut at the start of the next record, which makes them splittable; the writer ends
-a chunk inside every "WARC/1.1" line that a payload holds, so the cut never falls into a payload.
+Reading. Files are cut at the version line that starts a record, which makes them splittable; the
+writer ends a chunk inside every such line that a payload holds, so the cut never falls into one.
+(The line has no part that is both its start and its end, which the reader's search needs.)
 ``Content-Length`` is checked for every record. Segments are grouped by the id of their origin,
 ordered by number and checked for gaps and for the total length before the chunks are decoded; a
 group is one page. Payloads are checked against their digests, and revisits are resolved by a join
@@ -164,7 +165,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 def read_records(spark: SparkSession, folder: str) -> DataFrame:
     """One row per record: the header fields of _FIELDS and the block."""
-    raw = spark.read.option("lineSep", (END + VERSION).decode()).text(folder).select(F.col("value").cast("binary"))
+    raw = spark.read.option("lineSep", VERSION.decode()).text(folder).select(F.col("value").cast("binary"))
 
     def run(batches):
         for batch in batches:
