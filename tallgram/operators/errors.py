@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gaussian_hash, required
-from ..session import check_bytes, map_arrow
+from ..session import check_bytes, map_arrow, matrix_budget
 from .kernels import LINEAR, SHRINKING, Spec, orthonormal
 from .sketch import single, sketch
 
@@ -136,11 +136,13 @@ def spectral_norm_wide(
 
     For matrices too wide for an m x m Gram matrix: block Krylov steps, each one pass that ships an
     m x block matrix X to the tasks and adds up A'(A X). Blocks keep the number of passes over the
-    data low. Stops when the estimate moves by less than ``tol``. ``matrix`` is read once per pass,
-    so a costly plan should be stored first.
+    data low. Stops when the estimate moves by less than ``tol``. The basis starts again from its
+    leading block when it would outgrow the byte budget. ``matrix`` is read once per pass, so a costly
+    plan should be stored first.
     """
     block = min(block, m)
-    check_bytes(16 * m * block * passes, "the Krylov basis")
+    check_bytes(48 * m * block, "the Krylov basis")
+    widest = max(2 * block, matrix_budget() // (24 * m))
     x = orthonormal(gaussian_hash(np.arange(m)[:, None], np.arange(block)[None, :], seed))
     basis, images = np.zeros((m, 0)), np.zeros((m, 0))
     best, settled = 0.0, False
@@ -156,6 +158,11 @@ def spectral_norm_wide(
         best = estimate
         if settled or basis.shape[1] >= m:
             break
+        if basis.shape[1] + block > widest:
+            values, w = np.linalg.eigh((small + small.T) / 2)
+            w = w[:, np.argsort(-np.abs(values))[:block]]
+            basis, images = basis @ w, images @ w
+            y = images
         rest = y - basis @ (basis.T @ y)
         rest -= basis @ (basis.T @ rest)
         fresh, r = np.linalg.qr(rest)
@@ -167,6 +174,20 @@ def spectral_norm_wide(
     return best
 
 
+def projection_error_wide(matrix: DataFrame, m: int, vectors: np.ndarray, k: int) -> tuple[float, float]:
+    """(energy of A outside the first k of the given orthonormal rows, energy beyond A's own first k)
+    without an m x m matrix: |A|^2 - |A V'|^2 from one pass, and leading singular values from the
+    range finder, whose values are never too large, so the second number is never too small."""
+    from .spectra import randomized_svd
+
+    v = vectors[:k]
+    row, data = single(sketch(matrix, Spec("product", len(v)), m=m, aux={0: v.T}, strict=False))
+    total = row["mass_lost"]
+    outside = max(total - float((data.reshape(len(v), m) * v).sum()), 0.0)
+    best = randomized_svd(matrix, k, m).agg(F.sum(F.col("sigma") * F.col("sigma")).alias("s")).first().s
+    return outside, max(total - best, 0.0)
+
+
 def fd_bound(sq_norm, l: int):
     """2 |A|_F^2 / l, an upper bound on the unnormalised covariance error."""
     return 2.0 * sq_norm / l

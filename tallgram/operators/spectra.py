@@ -119,12 +119,13 @@ def randomized_svd(
 
 def small_svd(svd: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """sigma and the rows v of a spectrum table, on the driver (it is at most m x m)."""
-    rows = small_rows(svd.select("k", "sigma", "v"), MAX_DIRECTIONS, "the spectrum")
-    if not rows:
+    size = svd.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("m")).first()
+    if not size.n:
         raise ValueError("empty spectrum")
-    check_bytes(8 * len(rows) * len(rows[0].v), "the singular vectors")
-    rows.sort(key=lambda r: r.k)
-    return np.array([r.sigma for r in rows]), np.array([r.v for r in rows])
+    check_bytes(8 * size.n * size.m, "the singular vectors")
+    table = svd.select("k", "sigma", "v").toArrow().sort_by("k")
+    v = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(size.n, size.m)
+    return table["sigma"].to_numpy(), v
 
 
 def top_directions(svd: DataFrame, k: int) -> DataFrame:
@@ -152,6 +153,7 @@ def leading_vectors(svd: DataFrame, k: int, tol: float = 1e-7) -> np.ndarray:
 def projection_matrix(svd: DataFrame, k: int) -> np.ndarray:
     """Orthogonal projector on the span of the first k right vectors; never inverts A A'."""
     v = leading_vectors(svd, k)
+    check_bytes(8 * v.shape[1] ** 2, "the projector")
     return v.T @ v
 
 

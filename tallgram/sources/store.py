@@ -13,10 +13,11 @@ RESULTS = (
 
 
 def save_sketches(states: DataFrame, path: str, dataset: str) -> None:
-    """Append sketch states to the catalog at ``path``, laid out by (dataset, kind, l)."""
-    states.withColumn("dataset", F.lit(dataset)).write.mode("append").partitionBy(
-        "dataset", "kind", "l"
-    ).parquet(path)
+    """Write sketch states to the catalog at ``path``, laid out by (dataset, kind, l); what was saved
+    for the same three before is replaced."""
+    states.withColumn("dataset", F.lit(dataset)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("dataset", "kind", "l").parquet(path)
 
 
 def load_sketches(

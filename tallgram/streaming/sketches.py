@@ -16,6 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.kernels import Spec, merger
 from ..operators.linear import count_sketch
 from ..operators.sketch import STATE, _labelled, merge_pair, partial_states, sketch
+from ..session import delete_path
 
 _VERSION = STATE + ", batch bigint"
 #: Versions of a running sketch kept on disk, in a ring.
@@ -62,6 +63,8 @@ def stream_sketch(stream: DataFrame, spec: Spec, path: str, schedule=None):
         spark = batch.sparkSession
         size = schedule(batch_id) if schedule else spec.l
         now = Spec(spec.kind, size, b=spec.b, alpha=spec.alpha, svd=spec.svd, seed=spec.seed)
+        if batch_id == 0:  # a new stream: versions of an older one under this path don't count
+            delete_path(spark, path)
         fresh = sketch(batch, now, strict=False)
         before = _read_version(spark, path, batch_id - 1) if batch_id > 0 else None
         if batch_id > 0 and before is None:

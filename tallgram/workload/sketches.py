@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..api import SketchResult, sketch_matrix
 from ..layouts import entries_to_sparse_rows
 from ..operators.algebra import row_slice
 from ..operators.errors import score, sketch_and_score
@@ -12,6 +13,7 @@ from ..operators.kernels import Spec
 from ..operators.linear import count_sketch, gaussian_sketch
 from ..operators.sketch import realised_size, sketch, update_sketch
 from ..operators.spectra import gram_state
+from ..session import stored
 from .registry import (
     ACCOUNT_MASS, ACCOUNTS, EMB, EMB_MASS, HOURS, LINE_MASS, LINES, account_entries, embeddings,
     entries_out, line_matrix, query, rounded, sql_bucket, sql_gaussian, sql_rounded, sql_sign, table,
@@ -159,6 +161,51 @@ def certificate_columns():
     ]
 
 
+WIDE = 50_000
+_WORDS = (
+    "(SELECT doc_id AS i, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 50000 AS INTEGER) AS j, count(*) AS v "
+    "FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) AS w FROM documents) WHERE w <> '' GROUP BY ALL)"
+)
+
+
+@query(
+    "wide_sparse_errors",
+    f"SELECT CAST({WIDE} AS INTEGER) AS m, {sql_rounded('CAST(sum(v * v) AS DOUBLE)', 2)} AS mass, true AS err_fits, true AS projection_fits FROM {_WORDS}",
+)
+def wide_sparse_errors(spark, sf):
+    """Word counts hashed to a width that allows no m x m matrix; both errors without one."""
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "[ \n]+")).alias("w")).filter("w <> ''")
+    column = (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint") % WIDE).cast("int")
+    entries = words.groupBy(F.col("doc_id").alias("i"), column.alias("j")).agg(F.count("*").cast("double").alias("v"))
+    sparse = stored(entries_to_sparse_rows(entries), "words")
+    result = sketch_matrix(sparse, "auto_pfd", 16, m=WIDE, b=16, alpha=0.5)
+    state = stored(result.state(), "state")
+    result = SketchResult(sparse, result.spec, WIDE, state)
+    worst, outside = result.cov_error(normalized=False), result.projection_error(k=4)
+    kept = F.aggregate("data", F.lit(0.0), lambda t, x: t + x * x)
+    return state.select(
+        "m", rounded(kept + F.col("mass_lost"), 2).alias("mass"),
+        (F.lit(worst) <= F.col("delta") * (1 + 1e-6)).alias("err_fits"), F.lit(1 - 1e-9 <= outside < 4).alias("projection_fits"),
+    )
+
+
+@query(
+    "object_api",
+    f"SELECT CAST(16 AS INTEGER) AS l, CAST({_EMB_M} AS BIGINT) AS directions, {sql_rounded('s', 4)} AS mass, true AS err_fits, true AS projection_fits FROM {EMB_MASS}",
+)
+def object_api(spark, sf):
+    """One call per matrix: state, entries, spectrum and errors from the result object."""
+    result = sketch_matrix(embeddings(spark, sf, "float"), "batch_pfd", 16, b=40, alpha=0.2)
+    err, outside = result.cov_error(normalized=False), result.projection_error(k=4)
+    columns = result.entries().agg(F.countDistinct("j")).first()[0]
+    top = result.spectrum().agg(F.max("sigma")).first()[0]
+    kept = F.aggregate("data", F.lit(0.0), lambda t, x: t + x * x)
+    return result.state().select(
+        "l", F.lit(columns).cast("bigint").alias("directions"), rounded(kept + F.col("mass_lost"), 4).alias("mass"),
+        (F.lit(err) <= F.col("delta") * (1 + 1e-9)).alias("err_fits"), F.lit(top > 0 and 1 - 1e-9 <= outside < 4).alias("projection_fits"),
+    )
+
+
 @query(
     "sketch_registry",
     f"SELECT kind, CAST(16 AS INTEGER) AS l, CAST({_EMB_M} AS INTEGER) AS m, {sql_rounded('s', 4)} AS mass, true AS certified FROM {EMB_MASS}, (SELECT unnest(['fd', 'fast_fd', 'batch_fd', 'fd_median', 'pfd', 'batch_pfd', 'rand_batch_pfd', 'tweak_fast', 'tweak_slow', 'jlt']) AS kind)",

@@ -116,3 +116,38 @@ def test_merges_shrink_once_per_state(rng, kind):
         block = rng.standard_normal((8, 12))
         acc.merge(dict(n_rows=8, delta=0.0, delta_first=0.0, mass_lost=0.0, data=block.ravel()))
     assert acc.shrinks <= 4 * 20
+
+
+def test_wide_errors_agree_with_the_gram_matrix(spark, to_entries, rng):
+    from tallgram.api import SketchResult, sketch_matrix
+    from tallgram.layouts import entries_to_sparse_rows
+
+    a = rng.standard_normal((80, 60)) * (rng.random((80, 60)) < 0.3) * np.linspace(3, 0.1, 60)
+    sparse = entries_to_sparse_rows(to_entries(a)).cache()
+    result = sketch_matrix(sparse, "auto_pfd", 6, m=60, b=6, alpha=0.5)
+    assert result.spec.kind == "sparse_batch_pfd" and not result.wide
+    exact = result.cov_error(), result.projection_error(k=3)
+    spark.conf.set("spark.tallgram.matrix.bytes", "28000")  # below 8 m^2, and the Krylov basis starts again
+    try:
+        wide = SketchResult(sparse, result.spec, 60, result.state())
+        assert wide.wide
+        from tallgram.operators.errors import spectral_norm_wide
+        from tallgram.operators.sketch import single
+
+        b = single(wide.state())[1].reshape(-1, 60)
+        norm = spectral_norm_wide(sparse, 60, b, block=6, passes=80)
+        outside = wide.projection_error(k=3)
+    finally:
+        spark.conf.unset("spark.tallgram.matrix.bytes")
+    assert norm / (a**2).sum() == pytest.approx(exact[0], rel=1e-4)
+    assert outside == pytest.approx(exact[1], rel=1e-3)
+
+
+def test_a_second_save_replaces_the_first(spark, to_rows, rng, tmp_path):
+    from tallgram.sources import load_sketches, save_sketches
+
+    states = sketch(to_rows(rng.standard_normal((30, 6))), Spec("fd", 3))
+    for _ in range(2):
+        save_sketches(states, str(tmp_path / "s"), "one")
+    save_sketches(states, str(tmp_path / "s"), "two")
+    assert load_sketches(spark, str(tmp_path / "s")).count() == 2
