@@ -7,8 +7,8 @@ sampled short window occurs in two documents are extended to the full length, ha
 what is repeated there is exact for every position. Levels end early when no candidate survives.
 
 Per level the windows are shuffled once, by hash. Passages in very many documents, which a sample of
-the documents tells, are kept out of that: the smallest and the largest id of their windows are
-aggregated before the shuffle and joined back. Texts are read again instead of being shuffled: the
+the documents tells, are kept out of that: tasks hand over the smallest and the largest id of their
+windows, a table whose size is bounded, and look their documents' windows up in it. Texts are read again instead of being shuffled: the
 surviving stretches of each document travel to them, by broadcast while their bytes are within the
 limit of ``session.lookup`` and by a join on the id beyond it.
 
@@ -23,7 +23,9 @@ Empty tables stay empty; other columns pass through, those named like an output
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import compress
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +33,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import lookup, map_arrow
+from ..session import fits_broadcast, lookup, map_arrow, stored
 from .bpe import pieces, schema_with, with_column
 from .text import Words, each_slice, separators, window_hashes, window_text
 
 MIN_WORDS = 13
-#: A window is taken to be frequent if it is found HOT times in one of SHARE parts of the documents.
-SHARE, HOT = 32, 32
+#: A window is taken to be frequent if one of SHARE parts of the documents has it HOT times at least, and
+#: in one of COMMON documents.
+SHARE, HOT, COMMON = 32, 32, 4096
 
 
 def sampled(words: Words, short: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -62,30 +65,89 @@ def _plain(docs: DataFrame, id: str, text: str) -> DataFrame:
     ).filter("id IS NOT NULL")
 
 
-def _rows(batch: pa.RecordBatch, at: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    at = pa.array(at)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(hashes.view(np.int64)), batch.column(0).take(at), batch.column(1).take(at), pa.array(places.astype(np.int32))],
-        names=["hash", "id", "row", "place"],
-    )
+_WINDOWS = "hash long, id long, row long, place int"
 
 
-_WINDOWS = "hash long, id long, row long, place int"
+class Frequent(NamedTuple):
+    """Windows in very many documents: their hashes in order, and the ids' range once it is known."""
 
+    hashes: np.ndarray
+    least: np.ndarray | None = None
+    most: np.ndarray | None = None
 
-def short_windows(docs: DataFrame, short: int, length: int) -> DataFrame:
-    """The sampled short windows of every document: hash, id, row, place (number among them)."""
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether each hash is one of them, its place among them)."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes, at
 
-    def run(batches):
+
+def rows_without(hot: Frequent):
+    """Windows one by one, but for the frequent ones: _WINDOWS."""
+
+    def emit(windows):
+        for batch, at, hashes, places in windows:
+            keep = ~hot.find(hashes)[0]
+            if keep.any():
+                at = pa.array(at[keep])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[keep]), batch.column(0).take(at), batch.column(1).take(at), pa.array(places[keep].astype(np.int32))],
+                    names=["hash", "id", "row", "place"],
+                )
+
+    return emit
+
+
+def ranges_of(hot: Frequent):
+    """Per task the smallest and the largest id of each frequent window: hash, least, most."""
+
+    def emit(windows):
+        far = np.iinfo(np.int64).max
+        least, most = np.full(len(hot.hashes), far), np.full(len(hot.hashes), -far)
+        for batch, at, hashes, _ in windows:
+            found, k = hot.find(hashes)
+            ids = batch.column(0).to_numpy()[at[found]]
+            np.minimum.at(least, k[found], ids)
+            np.maximum.at(most, k[found], ids)
+        seen = least < far
+        if seen.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[seen]) for x in (hot.hashes, least, most)], names=["hash", "least", "most"])
+
+    return emit
+
+
+def places_of(hot: Frequent, smaller: bool):
+    """Per document the places of its frequent windows that are repeated: id, row, places."""
+
+    def emit(windows):
+        for batch, at, hashes, places in windows:
+            found, k = hot.find(hashes)
+            ids = batch.column(0).to_numpy()[at]
+            found &= (hot.least[k] < (ids if smaller else hot.most[k])) if len(hot.hashes) else False
+            if found.any():
+                at, places = at[found], places[found].astype(np.int32)
+                heads = np.flatnonzero(first_of_run(at))
+                lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(at)).astype(np.int32)), pa.array(places))
+                rows = pa.array(at[heads])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), lists], names=["id", "row", "places"])
+
+    return emit
+
+
+def short_windows(docs: DataFrame, short: int, length: int, emit, schema: str) -> DataFrame:
+    """The sampled short windows of every document; place is the number among them."""
+
+    def windows(batches):
         for batch in batches:
             for words in each_slice(batch.column(2), separators()):
                 _, text, place, hashes = sampled(words, short, length)
                 new = first_of_run(place)
                 place, text = place[new], text[new]
                 if len(place):
-                    yield _rows(batch, words.first + text, hashes[place], np.arange(len(text)) - np.searchsorted(text, text))
+                    yield batch, words.first + text, hashes[place].view(np.int64), np.arange(len(text)) - np.searchsorted(text, text)
 
-    return map_arrow(docs, run, _WINDOWS)
+    return map_arrow(docs, lambda batches: emit(windows(batches)), schema)
 
 
 def first_of_run(values: np.ndarray) -> np.ndarray:
@@ -102,11 +164,11 @@ def covered(runs: pa.ListArray, sizes: np.ndarray) -> np.ndarray:
     return np.cumsum(marks[:-1]) > 0
 
 
-def long_windows(docs: DataFrame, known: DataFrame, short: int, length: int) -> DataFrame:
+def long_windows(docs: DataFrame, known: DataFrame, short: int, length: int, emit, schema: str) -> DataFrame:
     """Windows of ``length`` words whose sampled short window is in one of the row's runs; place is
     the window's first word."""
 
-    def run(batches):
+    def windows(batches):
         for batch in batches:
             for words in each_slice(batch.column(2), separators()):
                 starts, text, place, _ = sampled(words, short, length)
@@ -118,35 +180,40 @@ def long_windows(docs: DataFrame, known: DataFrame, short: int, length: int) ->
                 keep = marks[np.cumsum(new) - 1]
                 starts, text = starts[keep], text[keep]
                 if len(starts):
-                    yield _rows(batch, words.first + text, window_hashes(words.hashes, length)[starts], starts - words.text_starts[text])
+                    hashes = window_hashes(words.hashes, length)[starts].view(np.int64)
+                    yield batch, words.first + text, hashes, starts - words.text_starts[text]
 
-    return map_arrow(docs.join(known, ["id", "row"]).select("id", "row", "text", "runs"), run, _WINDOWS)
+    joined = docs.join(known, ["id", "row"]).select("id", "row", "text", "runs")
+    return map_arrow(joined, lambda batches: emit(windows(batches)), schema)
 
 
-def frequent(windows_of, docs: DataFrame) -> DataFrame:
-    """Hashes that are probably in very many documents: those found ``HOT`` times in a ``1 / SHARE`` part
-    of them. Which hashes these are affects the cost only."""
+def frequent(windows_of, docs: DataFrame) -> Frequent:
+    """Windows that are probably in a ``1 / COMMON`` part of the documents or more, from a sample of
+    these. There are at most COMMON times as many as a document has windows. Which ones they are
+    affects the cost only; if they take more bytes than may be broadcast, none is treated apart."""
     some = docs.filter(F.pmod(F.xxhash64("id"), F.lit(SHARE)) == 0)
-    return lookup(windows_of(some).groupBy("hash").count().filter(F.col("count") >= HOT).select("hash"), "frequent")
+    least = max(HOT, some.select("id").count() // COMMON)
+    found = stored(windows_of(some, rows_without(Frequent(np.zeros(0, np.int64))), _WINDOWS).groupBy("hash").count().filter(F.col("count") >= least).select("hash"), "frequent")
+    hashes = found.toArrow()["hash"].to_numpy() if fits_broadcast(found) else np.zeros(0)
+    return Frequent(np.sort(hashes.astype(np.int64)))
 
 
 def repeated(windows_of, docs: DataFrame, smaller: bool) -> DataFrame:
     """Runs (id, row, runs) of the windows that occur in two documents, or with ``smaller`` in a
     document with a smaller id. Most windows are shuffled once, by hash, and see the ids of their
-    hash there. Frequent ones are reduced to their ids' range first and take part in a join."""
-    windows = windows_of(docs)
+    hash there. Of frequent ones each task hands over the ids' range, and every document's are then
+    looked up where it is read."""
     hot = frequent(windows_of, docs)
-    test = "least < id" if smaller else "least < most"
+    if len(hot.hashes):
+        ranges = windows_of(docs, ranges_of(hot), "hash long, least long, most long")
+        table = ranges.groupBy("hash").agg(F.min("least").alias("least"), F.max("most").alias("most")).toArrow().sort_by("hash")
+        hot = Frequent(*(table[c].to_numpy() for c in ("hash", "least", "most")))
     same = Window.partitionBy("hash")
-    if hot.isEmpty():
-        found = windows.withColumn("least", F.min("id").over(same)).withColumn("most", F.max("id").over(same)).filter(test)
-    else:
-        cold = windows.join(hot, "hash", "left_anti")
-        cold = cold.withColumn("least", F.min("id").over(same)).withColumn("most", F.max("id").over(same)).filter(test)
-        ranges = windows.join(hot, "hash").groupBy("hash").agg(F.min("id").alias("least"), F.max("id").alias("most"))
-        common = windows.join(lookup(ranges, "frequent-ranges"), "hash").filter(test)
-        found = cold.select("id", "row", "place").unionByName(common.select("id", "row", "place"))
-    lists = found.groupBy("id", "row").agg(F.collect_list("place").alias("places"))
+    rows = windows_of(docs, rows_without(hot), _WINDOWS).withColumn("least", F.min("id").over(same)).withColumn("most", F.max("id").over(same))
+    found = rows.filter("least < id" if smaller else "least < most").groupBy("id", "row").agg(F.collect_list("place").alias("places"))
+    if len(hot.hashes):
+        found = found.unionByName(windows_of(docs, places_of(hot, smaller), "id long, row long, places array<int>"))
+        found = found.groupBy("id", "row").agg(F.flatten(F.collect_list("places")).alias("places"))
 
     def run(batches):
         for batch in batches:
@@ -158,7 +225,15 @@ def repeated(windows_of, docs: DataFrame, smaller: bool) -> DataFrame:
                 runs.append(edges.astype(np.int32).ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(runs, pa.list_(pa.int32()))], names=["id", "row", "runs"])
 
-    return map_arrow(lists, run, "id long, row long, runs array<int>")
+    return map_arrow(found, run, "id long, row long, runs array<int>")
+
+
+def _short(short: int, length: int, docs: DataFrame, emit, schema: str) -> DataFrame:
+    return short_windows(docs, short, length, emit, schema)
+
+
+def _long(known: DataFrame, short: int, length: int, docs: DataFrame, emit, schema: str) -> DataFrame:
+    return long_windows(docs, known, short, length, emit, schema)
 
 
 def removable(docs: DataFrame, min_words: int = MIN_WORDS, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,11 +241,11 @@ def removable(docs: DataFrame, min_words: int = MIN_WORDS, id: str = "doc_id", t
     ``min_words`` words that also start in a document with a smaller id."""
     plain = _plain(docs, id, text)
     length = max(1, (min_words + 1) // 2)
-    known = lookup(repeated(lambda d: short_windows(d, length, min_words), plain, length == min_words), "runs")
+    known = lookup(repeated(partial(_short, length, min_words), plain, length == min_words), "runs")
     while length < min_words and not known.isEmpty():
         short, length = length, min(2 * length, min_words)
         last = known
-        known = lookup(repeated(lambda d: long_windows(d, last, short, length), plain, length == min_words), "runs")
+        known = lookup(repeated(partial(_long, last, short, length), plain, length == min_words), "runs")
     return known
 
 
