@@ -6,7 +6,8 @@ Estimates that lie within ``BAND`` relative standard errors of the threshold are
 distinct counts of those lines only. Lines on ``min_sites`` sites or more are removed from every
 document but the one with the smallest id that has them, so that no content is lost altogether. A
 text of which more than ``max_share`` of the lines would go is a copy of a document rather than a
-page with boilerplate; it stays as it is, for near-duplicate detection to judge.
+page with boilerplate; it stays as it is, for near-duplicate detection to judge. With ``max_share``
+None only texts that would lose every line stay, so a page with a line of its own keeps no boilerplate.
 
 Only DataFrame functions are used. Lines are compared without the blanks around them, by 96 bits of
 hash; blank lines are never removed. What is removed from each document travels to it as a list of
@@ -89,7 +90,7 @@ def without_lines(lines: Column, gone: Column) -> Column:
 
 
 def without_boilerplate(
-    docs: DataFrame, min_sites: int = MIN_SITES, max_share: float = MAX_SHARE, site: str = "source",
+    docs: DataFrame, min_sites: int = MIN_SITES, max_share: float | None = MAX_SHARE, site: str = "source",
     id: str = "doc_id", text: str = "text", n_lines: str = "n_lines", n_removed: str = "n_removed",
 ) -> DataFrame:
     """``docs`` with boilerplate lines taken out of the text, and the numbers of lines and of lines
@@ -108,7 +109,8 @@ def without_boilerplate(
     )
     lines = line_array(text)
     full = F.size(F.filter(lines, lambda x: stripped(x) != ""))
-    cut = F.col("__gone").isNotNull() & (F.size("__gone") <= max_share * full)
+    gone = F.size("__gone")
+    cut = F.col("__gone").isNotNull() & (gone < full if max_share is None else gone <= max_share * full)
     columns = {text: F.when(cut, F.array_join(without_lines(lines, F.col("__gone")), "\n")).otherwise(F.col(text))}
     columns[n_lines] = F.coalesce(F.size(lines), F.lit(0)).cast("long")
     columns[n_lines] = F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(columns[n_lines])

@@ -76,3 +76,9 @@ def test_columns_empty_table_and_native_plan(spark):
     assert out.count() == df.count()
     assert L.without_boilerplate(df.limit(0)).count() == 0
     assert not re.search("Python|Pandas|Arrow", out._jdf.queryExecution().toString())
+
+
+def test_pages_with_a_line_of_their_own_keep_no_boilerplate(spark):
+    rows = [(i, f"menu\nfooter\nown {i}", f"s{i}") for i in range(20)] + [(50, "menu\n\nfooter", "s50"), (51, "own\n menu", "s51")]
+    got = {i: (t, k) for i, t, _, k in result(L.without_boilerplate(frame(spark, rows), max_share=None))}
+    assert got == {0: (rows[0][1], 0), 50: ("menu\n\nfooter", 0), 51: ("own", 1)} | {i: (f"own {i}", 2) for i in range(1, 20)}
