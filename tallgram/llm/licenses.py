@@ -6,11 +6,17 @@ paragraph and each line is compared, as a set of bigrams, with every template:
 t / (2 - t) times and (2 - t) / t times that of the unit, and a unit only if enough of its bigrams occur in any
 template; these bounds are checked on the counts before any set is built.
 
+A licence that none of these units shows is sought in every run of consecutive words of the text, over
+lines and paragraphs: the run most similar to a template counts. Only texts that hold enough distinct
+bigrams of a template are searched. A best run starts and ends with a bigram of the template, its first
+bigram doesn't come again in it, and few of its bigrams are foreign, so every such run is looked at.
+
 The templates are a bounded table in the code or given by the caller and travel with the tasks. A
 text is worked on by itself: no shuffle, nothing shared, and a lost executor costs its tasks only.
 
 Defined results: null and empty texts, and units of fewer than two words, match nothing; of equal
-similarities for one licence the first unit counts, whole texts before paragraphs before lines;
+similarities for one licence the first unit counts, whole texts before paragraphs before lines, and
+runs only where these show no such licence;
 repeated rows get equal results; other columns pass through, those named like the output are
 replaced; an empty table stays empty; without templates nothing matches.
 """
@@ -67,7 +73,7 @@ not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0
     ("proprietary", "All rights reserved."),
 ]
 
-UNITS = ("text", "paragraph", "line")
+UNITS = ("text", "paragraph", "line", "run")
 
 
 def word_bytes() -> np.ndarray:
@@ -87,6 +93,8 @@ class Templates:
         sizes = [len(s) for s in self.sets if len(s)]
         bound = threshold / (2 - threshold)
         self.least = min(sizes) * bound if sizes else np.inf  # fewest shared bigrams that can be enough
+        self.needs = np.array([max(len(s) * bound, 1) for s in self.sets]) - 1e-9  # the same of each template
+        self.holds = np.stack([is_in(self.all, s) for s in self.sets], axis=1) if self.sets else np.zeros((0, 0), dtype=bool)
 
 
 def bigrams_of(text: str) -> np.ndarray:
@@ -133,7 +141,8 @@ def matches(words: Words, known: Templates):
     text = np.repeat(np.arange(len(words.counts)), words.counts)
     hits = is_in(pairs, known.all)
     bound = known.threshold / (2 - known.threshold)
-    for kind, unit in enumerate(UNITS):
+    seen = set()
+    for kind, unit in enumerate(UNITS[:3]):
         number = unit_starts(words, unit)
         inside = number[1:] == number[:-1]
         shared = np.bincount(number[:-1][inside & hits], minlength=number[-1] + 1)
@@ -158,7 +167,51 @@ def matches(words: Words, known: Templates):
             similarity = 2 * common / np.maximum(sizes + len(content), 1)
             for u in np.flatnonzero(fits & (similarity >= known.threshold)).tolist():
                 t = int(text[heads[u]])
+                seen.add((t, known.names[template]))
                 yield t, kind, u - int(first_of_text[t]), template, float(similarity[u])
+    inside = text[1:] == text[:-1]
+    for t, template in run_candidates(text[:-1][inside & hits], pairs[inside & hits], known):
+        if (t, known.names[template]) not in seen:
+            low, high = words.text_starts[t : t + 2]
+            similarity, place = best_run(pairs[low : high - 1], known.sets[template], known.threshold)
+            if similarity >= known.threshold:
+                yield t, len(UNITS) - 1, place, template, similarity
+
+
+def run_candidates(text: np.ndarray, values: np.ndarray, known: Templates) -> list[tuple[int, int]]:
+    """(text, template) where the text has enough distinct bigrams of the template; ``values`` are bigrams of any."""
+    if not len(values):
+        return []
+    keys = np.unique(text * len(known.all) + np.searchsorted(known.all, values))
+    of = keys // len(known.all)
+    heads = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+    shared = np.add.reduceat(known.holds[keys % len(known.all)], heads, axis=0, dtype=np.int32)
+    rows, templates = np.nonzero(shared >= known.needs)
+    return list(zip(of[heads[rows]].tolist(), templates.tolist()))
+
+
+def best_run(pairs: np.ndarray, content: np.ndarray, threshold: float) -> tuple[float, int]:
+    """Similarity and first word of the run of a text's bigrams that is most like ``content``."""
+    n, size = len(pairs), len(content)
+    order = np.argsort(pairs, kind="stable")
+    same = pairs[order[1:]] == pairs[order[:-1]]
+    before, after = np.full(n, -1), np.full(n, n)
+    before[order[1:][same]], after[order[:-1][same]] = order[:-1][same], order[1:][same]
+    hit = is_in(pairs, content)
+    left = np.cumsum((hit & (after == n))[::-1])[::-1]  # distinct bigrams of the template from here on
+    best, place = 0.0, 0
+    for start in np.flatnonzero(hit & (left >= size * threshold / (2 - threshold) - 1e-9)).tolist():
+        at, distinct, common = start, 0, 0
+        while at < after[start] and common < size and threshold * (distinct - common) <= 2 * size * (1 - threshold) + 1e-9:
+            end = min(int(after[start]), at + 2 * size)
+            new = before[at:end] < start
+            sizes, commons = distinct + np.cumsum(new), common + np.cumsum(new & hit[at:end])
+            similarity = 2 * commons / (sizes + size)
+            k = int(np.argmax(similarity))
+            if similarity[k] > best:
+                best, place = float(similarity[k]), start
+            at, distinct, common = end, int(sizes[-1]), int(commons[-1])
+    return best, place
 
 
 FOUND = T.ArrayType(
@@ -174,7 +227,8 @@ def with_licenses(
     docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD, text: str = "text", out: str = "licenses"
 ) -> DataFrame:
     """``docs`` with the licences found in each text, by name: the best similarity, the unit it was
-    found in ('text', 'paragraph' or 'line') and the number of that unit among those with words."""
+    found in ('text', 'paragraph', 'line' or 'run') and the number of that unit among those with words,
+    of a run that of its first word in the text."""
 
     def run(batches):
         known, kinds, fold = Templates(templates, threshold), word_bytes(), lower_ascii()

@@ -58,3 +58,56 @@ def test_edges(docs):
     assert L.with_licenses(df.limit(0)).count() == 0
     assert [list(r.licenses) for r in L.with_licenses(df, templates=[]).collect()] == [[]] * 3
     assert [list(r.licenses) for r in L.with_licenses(df, templates=[("one", "word"), ("none", "")]).collect()] == [[]] * 3
+
+
+def brute_run(text, template, threshold=0.9):
+    """Best similarity of any run of consecutive words."""
+    w, b = WORD.findall(text.translate(UPPER)), pairs(template)
+    best = 0
+    for i in range(len(w)):
+        a = set()
+        for j in range(i + 1, len(w)):
+            a.add((w[j - 1], w[j]))
+            best = max(best, 2 * len(a & b) / (len(a) + len(b)))
+    return best if best >= threshold else None
+
+
+def test_licences_in_their_usual_layout_inside_long_documents(docs):
+    prose = " ".join(f"word{i} of the text" for i in range(400))
+    texts = []
+    for name, template in L.TEMPLATES:
+        w = template.split()
+        k = -(-len(w) // 3)
+        texts.append(prose + "\n\nCopyright 2020 Foo Inc. " + "\n\n".join(" ".join(w[i : i + k]) for i in range(0, len(w), k)) + "\n\n" + prose)
+    got = [{x.license: (x.similarity, x.unit) for x in r.licenses} for r in L.with_licenses(docs(texts)).orderBy("doc_id").collect()]
+    assert [g.get(name) for g, (name, _) in zip(got, L.TEMPLATES)] == [(1.0, "run")] * len(texts)
+    short = ["Copyright 2020 Foo Inc. All rights reserved.", "Released under the MIT License. See LICENSE for details."]
+    got = [[(x.license, x.unit, x.place) for x in r.licenses] for r in L.with_licenses(docs(short)).orderBy("doc_id").collect()]
+    assert got == [[("proprietary", "run", 4)], [("MIT", "run", 0)]]
+
+
+def test_runs_against_brute_force(docs):
+    import random
+
+    rng = random.Random(2)
+    words = "a b c d e f g h i j k l m n o p".split()
+    templates = [(f"t{n}", " ".join(rng.choices(words, k=n))) for n in (2, 3, 8, 15, 30)]
+    texts = []
+    for _ in range(120):
+        w = rng.choices(words + ["x", "y"], k=rng.randint(0, 20))
+        for _ in range(rng.randint(1, 3)):
+            part = rng.choice(templates)[1].split() * rng.randint(1, 2)
+            for _ in range(rng.randint(0, 3)):
+                part[rng.randrange(len(part))] = rng.choice(words)
+            w += part + rng.choices(words, k=rng.randint(0, 12))
+        texts.append("".join(x + rng.choice([" ", " ", "\n", "\n\n"]) for x in w))
+    found = 0
+    for r in L.with_licenses(docs(texts), templates=templates).collect():
+        got = {x.license: x for x in r.licenses}
+        for name, template in templates:
+            best = brute_run(texts[r.doc_id], template)
+            assert (name in got) == (best is not None)
+            if best and got[name].unit == "run":
+                found += 1
+                assert abs(got[name].similarity - best) < 1e-12
+    assert found > 50
