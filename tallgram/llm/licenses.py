@@ -4,7 +4,8 @@ Texts are normalised to lower-case words (ASCII case folded, marks dropped). Eac
 paragraph and each line is compared, as a set of bigrams, with every template:
 2 |A and B| / (|A| + |B|). A template can only reach the threshold t if its size is within
 t / (2 - t) times and (2 - t) / t times that of the unit, and a unit only if enough of its bigrams occur in any
-template; these bounds are checked on the counts before any set is built.
+template; texts without enough distinct bigrams of any template are passed over, and the size bounds are
+checked on the counts before any set is built.
 
 A licence that none of these units shows is sought in every run of consecutive words of the text, over
 lines and paragraphs: the run most similar to a template counts. Only texts that hold enough distinct
@@ -30,11 +31,12 @@ from pyspark.sql import types as T
 
 from ..session import map_arrow
 from .bpe import schema_with, with_column
+from .license_texts import COMMON
 from .text import Words, lower_ascii, text_slices, window_hashes, words_of
 
 THRESHOLD = 0.9
 
-#: Notices and short licence texts by their SPDX names.
+#: Notices and licence texts by their SPDX names; callers extend them by TEMPLATES + [(name, text)].
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
@@ -71,6 +73,7 @@ TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR TH
     ("MPL-2.0", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was
 not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
     ("proprietary", "All rights reserved."),
+    *COMMON,
 ]
 
 UNITS = ("text", "paragraph", "line", "run")
@@ -140,13 +143,21 @@ def matches(words: Words, known: Templates):
     pairs = window_hashes(words.hashes, 2)
     text = np.repeat(np.arange(len(words.counts)), words.counts)
     hits = is_in(pairs, known.all)
+    within = text[1:] == text[:-1]
+    promising = candidate_texts(text[:-1][within & hits], pairs[within & hits], known)
+    if not promising:
+        return
+    texts = np.zeros(len(words.counts), dtype=bool)
+    texts[[t for t, _ in promising]] = True
+    of_template = {template for _, template in promising}
     bound = known.threshold / (2 - known.threshold)
     seen = set()
     for kind, unit in enumerate(UNITS[:3]):
         number = unit_starts(words, unit)
         inside = number[1:] == number[:-1]
         shared = np.bincount(number[:-1][inside & hits], minlength=number[-1] + 1)
-        candidates = shared >= known.least
+        heads = np.searchsorted(number, np.arange(number[-1] + 1))
+        candidates = (shared >= known.least) & texts[text[heads]]
         if not candidates.any():
             continue
         take = inside & candidates[number[:-1]]
@@ -156,9 +167,10 @@ def matches(words: Words, known: Templates):
         first = np.concatenate([[True], (of[1:] != of[:-1]) | (values[1:] != values[:-1])])
         of, values = of[first], values[first]
         sizes = np.bincount(of, minlength=number[-1] + 1)
-        heads = np.searchsorted(number, np.arange(number[-1] + 1))
         first_of_text = number[np.minimum(words.text_starts[:-1], n - 1)]
         for template, content in enumerate(known.sets):
+            if template not in of_template:
+                continue
             fits = (sizes >= bound * len(content)) & (sizes * bound <= len(content)) & (sizes > 0)
             if not len(content) or not fits.any():
                 continue
@@ -169,8 +181,7 @@ def matches(words: Words, known: Templates):
                 t = int(text[heads[u]])
                 seen.add((t, known.names[template]))
                 yield t, kind, u - int(first_of_text[t]), template, float(similarity[u])
-    inside = text[1:] == text[:-1]
-    for t, template in run_candidates(text[:-1][inside & hits], pairs[inside & hits], known):
+    for t, template in promising:
         if (t, known.names[template]) not in seen:
             low, high = words.text_starts[t : t + 2]
             similarity, place = best_run(pairs[low : high - 1], known.sets[template], known.threshold)
@@ -178,7 +189,7 @@ def matches(words: Words, known: Templates):
                 yield t, len(UNITS) - 1, place, template, similarity
 
 
-def run_candidates(text: np.ndarray, values: np.ndarray, known: Templates) -> list[tuple[int, int]]:
+def candidate_texts(text: np.ndarray, values: np.ndarray, known: Templates) -> list[tuple[int, int]]:
     """(text, template) where the text has enough distinct bigrams of the template; ``values`` are bigrams of any."""
     if not len(values):
         return []

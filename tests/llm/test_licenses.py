@@ -111,3 +111,21 @@ def test_runs_against_brute_force(docs):
                 found += 1
                 assert abs(got[name].similarity - best) < 1e-12
     assert found > 50
+
+
+def test_common_licences_with_their_full_texts(docs):
+    full = {n for n, t in L.TEMPLATES if len(t.split()) > 150}
+    assert full >= {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0", "Unlicense"}
+    named = {}
+    for n, t in L.TEMPLATES:
+        if n in full and len(t) > len(named.get(n, "")):
+            named[n] = t
+    texts = [f"Foo {n}\n\nCopyright (c) 2020 Foo Inc.\n\n{t}\n\nsee the manual" for n, t in named.items()]
+    rows = L.with_licenses(docs(texts)).orderBy("doc_id").collect()
+    for n, r in zip(named, rows):
+        best = max(x.similarity for x in r.licenses)
+        assert n in {x.license for x in r.licenses if x.similarity == best}
+    notice = "This library is free software; you can redistribute it under the terms of the GNU Affero General Public License"
+    assert [list(r.licenses) for r in L.with_licenses(docs([notice])).collect()] == [[]]
+    own = [*L.TEMPLATES, ("own", "the licence of the house")]
+    assert [x.license for x in L.with_licenses(docs(["under the licence of the house"]), own).first().licenses] == ["own"]
