@@ -13,8 +13,10 @@ with the smaller number visits the other, so a pair is met once. Cells and their
 into blocks of about ``BLOCK`` rows by a hash of the id, so that no task holds a whole cell. A block
 pair gives counts and a spanning star of its links, not the links, so its output is linear too.
 
-Defined results: a vector that is null, zero, holds a null or non-finite component, or has another
-length than most vectors links with nothing. Rows with one id are one vector for linking. Rows
+Vectors of each length are indexed by themselves, one length after the other.
+
+Defined results: a vector that is null, empty, zero, or holds a null or non-finite component links with
+nothing, and so do vectors of different lengths. Rows with one id are one vector for linking. Rows
 without id get the component of their equals, null if these have none. An empty table gives an empty
 result; only id and vector are read, whatever other columns are there.
 """
@@ -25,6 +27,7 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -158,31 +161,31 @@ def clusters(vectors: DataFrame, cosine: float = COSINE, recall: float = RECALL,
     """One row per row of ``vectors``: id (named as there), n_links, component_id and kept."""
     spark = vectors.sparkSession
     plain = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v"))
-    lengths = plain.filter("v IS NOT NULL").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    width = lengths["n"] if lengths else 0
     classes = stored(
         plain.filter("v IS NOT NULL").groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vector-classes"
     )
 
     def unit_rows(batches):
         for batch in batches:
-            places, a = units(batch.column(2), width)
-            at = pa.array(places)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(at), batch.column(1).take(at), pa.array([x.tobytes() for x in a], pa.binary())],
-                names=["id", "copies", "unit"],
-            )
+            for width in sorted(set(pc.list_value_length(batch.column(2)).to_pylist()) - {0, None}):
+                places, a = units(batch.column(2), width)
+                at = pa.array(places)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array([x.tobytes() for x in a], pa.binary())],
+                    names=["id", "copies", "unit"],
+                )
 
     reps = stored(map_arrow(classes.select("id", "copies", "v").filter("id IS NOT NULL"), unit_rows, "id long, copies long, unit binary"), "units")
-    n = reps.count()
-    counts, links = None, None
-    if n > 1 and width > 0:
-        picked = reps.select("id", "unit").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
-        sample = np.frombuffer(b"".join(bytes(r["unit"]) for r in picked), dtype="<f8").reshape(len(picked), width)
-        counts, links = met(reps, Grid(sample, n, cosine, recall), cosine)
-    else:
-        counts = spark.createDataFrame([], "id long, links long")
-        links = spark.createDataFrame([], "a long, b long")
+    counts = spark.createDataFrame([], "id long, links long")
+    links = spark.createDataFrame([], "a long, b long")
+    lengths = reps.groupBy(F.octet_length("unit").alias("bytes")).agg(F.count("*").alias("n")).filter("n > 1").orderBy("bytes").collect()
+    for length in lengths:
+        part = reps.filter(F.octet_length("unit") == length["bytes"])
+        picked = part.select("id", "unit").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
+        sample = np.frombuffer(b"".join(bytes(r["unit"]) for r in picked), dtype="<f8").reshape(len(picked), -1)
+        found = met(part, Grid(sample, length["n"], cosine, recall), cosine)
+        counts, links = counts.unionByName(found[0]), links.unionByName(found[1])
+    counts = counts.groupBy("id").agg(F.sum("links").alias("links")) if len(lengths) > 1 else counts
     labels = stored(connected(links), "vector-labels")
     of_class = (
         reps.select("id", "copies").join(counts, "id", "left").join(labels, "id", "left")

@@ -80,3 +80,20 @@ def test_repeated_rows_missing_ids_and_columns(spark):
     assert got == sorted([(4, 3, 4, True), (4, 3, 4, True), (9, 3, 4, False), (0, 3, 4, False), (0, 0, None, True)], key=str)
     assert X.clusters(df.limit(0)).count() == 0
     assert X.clusters(frame(spark, ODD[:2])).count() == 2
+
+
+def test_vectors_of_every_length_are_linked(spark):
+    rng = np.random.default_rng(6)
+    rows, expected = [], []
+    for width, n in ((16, 300), (3, 60), (2, 5), (1, 4), (7, 1)):
+        base = rng.normal(size=(n, width))
+        base[1::2] = base[: 2 * (n // 2) : 2] + 0.02 * rng.normal(size=(n // 2, width))
+        part = [(width * 1000 + i, v) for i, v in enumerate(base.astype(np.float32).tolist())]
+        part += [(width * 1000 + 999, part[0][1])]
+        rows += part
+        a = np.array([v for _, v in part], dtype=np.float64)
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        expected += zip((i for i, _ in part), ((a @ a.T >= 0.95).sum(1) - 1).tolist())
+    got = result(X.clusters(frame(spark, rows), recall=0.9999))
+    assert [(i, n) for i, n, _, _ in got] == sorted(expected)
+    assert all(i // 1000 == c // 1000 for i, _, c, _ in got) and sum(not k for *_, k in got) > 150
