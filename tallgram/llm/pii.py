@@ -9,8 +9,9 @@ until they are inside, which keeps the map one-to-one.
 
 Kinds: payment card numbers (13 to 19 digits with a valid check digit, which is recomputed), IBANs (check
 digits recomputed), IPv4 addresses, phone numbers with a country code or in US form, US social security numbers,
-dates (ISO, and day.month.year or day/month/year) from 1900 to 2099, e-mail addresses, and secrets
-after a key word. Numbers that fail their validation are left alone.
+dates from 1900 to 2099 (year, month, day or day, month, year with dashes, dots or slashes between, and
+month, day, year where the day is over 12), e-mail addresses, and secrets after a key word, whatever
+stands before it. Numbers that fail their validation are left alone.
 
 Each text is worked on by itself, in any order and any number of times with the same result, so
 nothing is shuffled and a lost executor costs its tasks only.
@@ -160,28 +161,38 @@ def social_security(text: str, key: bytes) -> str | None:
 
 
 def day(text: str, key: bytes) -> str | None:
-    """Iso or day-first dates; the order, the separators and the leading zeros' widths stay."""
+    """Year-first and day-first dates, and month-first ones that are no day-first date; the order, the
+    separators and the leading zeros' widths stay."""
     parts = re.split(r"[-./]", text)
-    iso = len(parts[0]) == 4
-    try:
-        found = date(*map(int, parts if iso else parts[::-1]))
-    except ValueError:
+    orders = [(0, 1, 2)] if len(parts[0]) == 4 else [(2, 1, 0), (2, 0, 1)]  # places of year, month and day
+    for order in orders:
+        try:
+            found = date(*(int(parts[k]) for k in order))
+            break
+        except ValueError:
+            continue
+    else:
         return None
     days = (_LAST_DAY - _FIRST_DAY).days + 1
     if not _FIRST_DAY <= found <= _LAST_DAY:
         return None
-    short = not iso and (len(parts[0]) < 2 or len(parts[1]) < 2)
+    month, of_month = (len(parts[k]) for k in order[1:])
+    short, american = min(month, of_month) < 2, order == (2, 0, 1)
 
     def valid(d: list[int]) -> bool:
         at = d[0] * 300 + d[1]
-        return at < days and (not short or len(str((_FIRST_DAY + timedelta(at)).day)) == len(parts[0]) and len(str((_FIRST_DAY + timedelta(at)).month)) == len(parts[1]))
+        if at >= days:
+            return False
+        fresh = _FIRST_DAY + timedelta(at)
+        fits = not short or len(str(fresh.day)) == of_month and len(str(fresh.month)) == month
+        return fits and (not american or fresh.day > 12)
 
-    tweak = f"day|{len(parts[0])}{len(parts[1])}" if short else "day"
+    tweak = ("day|us" if american else "day") + (f"|{of_month}{month}" if short else "")
     at = walk(list(divmod((found - _FIRST_DAY).days, 300)), [days // 300 + 1, 300], key, tweak, valid)
     fresh = _FIRST_DAY + timedelta(at[0] * 300 + at[1])
-    values = [fresh.year, fresh.month, fresh.day] if iso else [fresh.day, fresh.month, fresh.year]
+    values = dict(zip(order, (fresh.year, fresh.month, fresh.day)))
     marks = re.findall(r"[-./]", text)
-    out = [f"{v:0{len(p)}d}" for v, p in zip(values, parts)]
+    out = [f"{values[k]:0{len(p)}d}" for k, p in enumerate(parts)]
     return out[0] + marks[0] + out[1] + marks[1] + out[2]
 
 
@@ -202,12 +213,12 @@ def secret(text: str, key: bytes) -> str | None:
 
 #: Kind, pattern of the value (its group 1 if it has one), and the validating permutation.
 KINDS: list[tuple[str, str, Callable[[str, bytes], str | None]]] = [
-    ("secret", r"\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\"?\s*[=:]\s*[\"']?([A-Za-z0-9+/_\-]{16,})", secret),
+    ("secret", r"(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\"?\s*[=:]\s*[\"']?((?=[A-Za-z0-9+/_.\-]{16})[A-Za-z0-9+/_\-]+(?:\.[A-Za-z0-9+/_\-]+)*)", secret),
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}", email),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
     ("phone", r"\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|\+(?!1[ .\-(])\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?![ .\-]?\d)"
-     r"|(?<![\d+(.\-])(?<!\d )\(?\d{3}\)?[ .\-]\d{3}[.\-]\d{4}(?![\d\-])", phone),
-    ("date", r"(?<![\d.])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4})(?!\.?\d)", day),
+     r"|(?<![\d+(.\-])(?<!\d )\(?\d{3}\)?[ .\-]\d{3}(?:[.\-]\d{4}(?![\d\-])| \d{4}(?![ .\-]?\d))", phone),
+    ("date", r"(?<![\d.])(?:\d{4}-\d{2}-\d{2}|\d{1,2}([./])\d{1,2}\1\d{4}|(?<!\d-)(?:\d{4}([-./])\d{1,2}\2\d{1,2}|\d{1,2}-\d{1,2}-\d{4})(?!-\d))(?!\.?\d)", day),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", social_security),
     ("ipv4", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)", address),
     ("card", r"(?<![\d\-])\d(?:[ \-]?\d){12,18}(?![\d\-])", card),

@@ -1,4 +1,5 @@
 import random
+import re
 from datetime import date, timedelta
 
 from hypothesis import given, settings
@@ -77,3 +78,33 @@ def test_operator(spark, docs):
     values = {v.value for r in got for v in r.found if v.kind == "phone"}
     assert len(values) == 1  # equal values stay linked
     assert P.pseudonymise(df.limit(0), KEY).count() == 0
+
+
+def test_dates_in_other_orders():
+    for text in ("03/25/1987", "2020/03/25", "25-03-1987", "03-25-1987", "2020.03.25", "2020/3/5", "3/25/1987"):
+        out, found = P.pseudonymised(f"born {text}, ok", KEY)
+        assert [k for k, _ in found] == ["date"] and text not in out
+        assert [len(x) for x in re.split("[-./]", found[0][1])] == [len(x) for x in re.split("[-./]", text)]
+        assert re.sub(r"\d", "", found[0][1]) == re.sub(r"\d", "", text)
+    assert P.day("2020/03/25", KEY).replace("/", "-") == P.day("2020-03-25", KEY)
+    assert P.day("25-03-1987", KEY).replace("-", ".") == P.day("25.03.1987", KEY)
+    late = [date(1900, 1, 1) + timedelta(k) for k in range(73_049)]
+    late = {f"{d:%m/%d}/{d.year}" for d in late if d.day > 12}
+    assert {P.day(d, KEY) for d in late} == late
+    for text in ("13/32/1987", "555-10-12-1999", "10-12-1999-5", "078-05-11200", "2020/13/25"):
+        assert P.pseudonymised(text, KEY)[0] == text
+
+
+def test_secrets_after_longer_names_and_with_dots():
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9PlFUP0THsR8U"
+    for name in ("token", "auth_token", "client_secret", "aws_secret_access_key", "clientSecret"):
+        out, found = P.pseudonymised(f"{name}={token}. Next", KEY)
+        assert [k for k, _ in found] == ["secret"] and out == f"{name}={found[0][1]}. Next"
+        assert not any(part in out for part in token.split(".")) and [len(x) for x in found[0][1].split(".")] == [len(x) for x in token.split(".")]
+
+
+def test_us_numbers_with_blanks():
+    for text in ("555 123 4567", "(555) 123 4567"):
+        out, found = P.pseudonymised(f"call {text} now", KEY)
+        assert [k for k, _ in found] == ["phone"] and text not in out
+    assert P.pseudonymised("555 123 4567 8", KEY)[1] == [] and P.pseudonymised("5 555 123 4567", KEY)[1] == []
