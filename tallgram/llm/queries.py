@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_path
-from . import bpe, decontaminate, licenses, lines, minhash, multiindex, pii, quality, substrings, warc
+from . import bpe, decontaminate, divergence, licenses, lines, minhash, mixing, multiindex, phrases, pii, quality, substrings, warc
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -239,3 +239,85 @@ def op5_licenses(spark: SparkSession, sf: str) -> DataFrame:
         F.array_join(F.transform("licenses", lambda x: x["license"]), ",").alias("licenses"),
         F.round(F.coalesce(best, F.lit(0.0)), 9).alias("similarity"),
     )
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+    substr(md5(concat('mix:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', coalesce(text, ''))), 1, 15) AS k FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS w
+  FROM d GROUP BY source),
+caps AS (SELECT *, 2 * source_size AS cap, CAST(2 * source_size AS DOUBLE) / w AS fills FROM s),
+levels AS (SELECT (1.5::DOUBLE * (SELECT sum(source_size) FROM s) - coalesce(sum(cap) OVER (ORDER BY fills, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY fills, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM caps),
+t AS (SELECT source, source_size, least(w * (SELECT max(level) FROM levels), CAST(cap AS DOUBLE)) AS target FROM caps),
+r AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+o AS (SELECT doc_id, size, source_size, target, whole, target - whole * source_size AS missing,
+    sum(size) OVER (PARTITION BY d.source ORDER BY k ROWS UNBOUNDED PRECEDING) AS upto FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+  CAST(size * (whole + CASE WHEN missing > 0 AND 2 * upto - size < 2 * missing THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o
+"""
+
+
+@query("op11_mix", OP11_SQL)
+def op11_mix(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf, "documents").select("doc_id", "text", "source"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT k, lang, source, unnest(w) AS term FROM d),
+v AS (SELECT lang, term FROM x GROUP BY ALL HAVING count(DISTINCT k) >= 10),
+size AS (SELECT lang, count(*) AS v FROM v GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS c FROM x JOIN v USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, CAST(coalesce(sum(c), 0) AS BIGINT) AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT n.lang, n.source, v.term, coalesce(c.c, 0) AS c, CAST(1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 2)) // (n.n + 2 * size.v) AS BIGINT) AS p
+  FROM n JOIN v ON n.lang = v.lang JOIN size ON n.lang = size.lang LEFT JOIN c ON c.lang = n.lang AND c.source = n.source AND c.term = v.term),
+lc AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY ALL),
+ln AS (SELECT lang, sum(c) AS n FROM lc GROUP BY lang),
+q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (lc.c + 2)) // (ln.n + 2 * size.v) AS BIGINT) AS q FROM lc JOIN ln USING (lang) JOIN size USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+terms AS (SELECT p.lang, p.source, p.term AS item, (p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS value
+  FROM p JOIN q USING (lang, term) WHERE p.c > 0 AND p.p > q.q),
+parts AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', item, CAST(value AS BIGINT) FROM terms),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 10
+"""
+
+
+@query("op12_divergence", OP12_SQL)
+def op12_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
+
+
+OP13_SQL = r"""
+WITH pieces AS (SELECT row_number() OVER () AS p, * FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents)),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM pieces),
+sizes AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, s, m, count(*) AS f FROM (
+    SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS s FROM w, unnest([1, 2, 3, 4]) AS u(m) WHERE len(w) >= m)
+  GROUP BY ALL HAVING count(*) >= 30),
+cut AS (SELECT lang, s, f, m, k, array_to_string(string_split(s, ' ')[1:k], ' ') AS s1, array_to_string(string_split(s, ' ')[k + 1:], ' ') AS s2
+  FROM f, unnest([1, 2, 3]) AS u(k) WHERE k < m),
+scored AS (SELECT cut.lang, cut.s, cut.f AS a, cut.k, x.f AS l, y.f AS r, CAST(2000000::HUGEINT * cut.f // (x.f + y.f) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.s = cut.s1 JOIN f y ON y.lang = cut.lang AND y.s = cut.s2),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, s ORDER BY score, k) = 1),
+inner_ AS (SELECT lang, f, array_to_string(string_split(s, ' ')[b:b + z - 1], ' ') AS s FROM f, unnest([2, 3]) AS u(z), unnest([1, 2, 3]) AS o(b)
+  WHERE z < m AND b + z - 1 <= m),
+kept AS (SELECT best.* FROM best ANTI JOIN inner_ ON inner_.lang = best.lang AND inner_.s = best.s AND 100 * inner_.f >= 80 * best.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, s) AS rank FROM kept)
+SELECT ranked.lang, rank, s AS phrase, a, l, r, n, score FROM ranked JOIN sizes USING (lang) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrases", OP13_SQL)
+def op13_phrases(spark: SparkSession, sf: str) -> DataFrame:
+    return phrases.mine(table(spark, sf, "documents").select("text", "lang"))
