@@ -72,11 +72,67 @@ def test_chains_that_a_star_leaves_open(docs, monkeypatch):
     rows += [(1000 + i, shared + " " + " ".join(f"{i}x{j}" for j in range(30))) for i in range(40)]
     expected = brute(rows)
     assert result(M.clusters(docs(rows, 4))) == expected
-    monkeypatch.setattr(M, "OPEN_MEMBERS", 2)
-    monkeypatch.setattr(M, "WORTHWHILE", 2.0)
+    # the same with blocks of a few members, so that most pairs are of two blocks
+    monkeypatch.setattr(M, "BLOCK", 3)
+    monkeypatch.setattr(M, "SET_ROWS", 5)
     assert result(M.clusters(docs(rows, 4))) == expected
 
 
+def test_small_sets_exactly_at_the_threshold(docs):
+    """Sets of 3 to 28 shingles, each with one that has exactly 0.75 in common, and one just below."""
+    rows, n = [], 0
+    for k in range(60):
+        for size in (4, 8, 12, 16, 20, 28):
+            words = [f"k{k}s{size}w{i}" for i in range(size + 4)]
+            rows.append((n, " ".join(words)))
+            rows.append((n + 1, " ".join(words[: 3 * size // 4 + 4])))  # a prefix: 3/4 of the shingles
+            rows.append((n + 2, " ".join(words[: 3 * size // 4 + 3])))  # one shingle less: linked with the second at most
+            n += 3
+    for k in range(60):
+        for size in (7, 14, 21):  # both ends changed: 6 of 8 and so on
+            words = [f"q{k}s{size}w{i}" for i in range(size + 4)]
+            rows.append((n, " ".join(words)))
+            rows.append((n + 1, " ".join([*words[: size + 4 - size // 7], *(f"x{i}" for i in range(size // 7))])))
+            n += 2
+    assert result(M.clusters(docs(rows, 4))) == brute(rows)
+
+
+def test_edited_copies_that_only_their_original_links(docs, monkeypatch):
+    # copies agree with the original in more than 0.75, with each other in less; the original has no small id
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    rows = [(500, " ".join(base))]
+    for i in range(120):
+        w = list(base)
+        for at in rng.sample(range(300), 8):
+            w[at] = f"e{i}_{at}"
+        rows.append((i if i < 100 else 600 + i, " ".join(w)))
+    expected = brute(rows)
+    assert len({r[2] for r in expected}) < 20
+    assert result(M.clusters(docs(rows, 4))) == expected
+    monkeypatch.setattr(M, "BLOCK", 16)
+    monkeypatch.setattr(M, "second_stars", lambda rows, tasks: rows.limit(0).selectExpr("id AS a", "id AS b"))
+    assert result(M.clusters(docs(rows, 4))) == expected
+
+
+def test_joints_skip_what_is_joined():
+    rng = np.random.default_rng(1)
+    sets = [np.sort(rng.choice(40, 30, replace=False)).astype(np.uint64) for _ in range(30)]
+    bits = np.zeros((30, M.PLANES * M.BINS // 64), dtype=np.int64)
+    is_open = np.array([True] * 15 + [False] * 15)
+    component, n = np.arange(30), np.full(30, 30)
+    found = M.joints(is_open, component, n, bits, sets)
+    state = M.Joints(component)
+    for a, b in found:
+        assert is_open[a] and not is_open[b] and M.linked(sets[a], sets[b]) and state.join(a, b)
+    whole = M.Joints(component)
+    for a in range(15):
+        for b in range(15, 30):
+            if M.linked(sets[a], sets[b]):
+                whole.join(a, b)
+    assert (state.root == whole.root).all()
+
+
 def test_repeated_rows_missing_ids_and_columns(docs):
     text = "one two three four five six seven"
     df = docs([(3, text), (3, text), (5, text), (None, text), (None, "alone here"), (7, "other words entirely")])

@@ -97,7 +97,7 @@ def test_registered_queries_match_their_sql(spark):
     import __spark_entry__ as entry
     from tallgram.llm.queries import ORACLES, QUERIES
 
-    assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in sorted(QUERIES, key=lambda n: int(n[2:].split("_")[0]))] == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= entry.queries().keys()
     con = duckdb.connect()
     for path in glob.glob(f"{SF}/*.parquet"):
