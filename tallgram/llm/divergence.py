@@ -1,13 +1,12 @@
 """Source divergence audit: how far the term distributions of a language's sources are apart.
 
 The terms of a document are its runs of letters and of characters beyond ASCII, with A-Z in lower
-case. A language keeps the terms that stand in at least ``MIN_DOCS`` of its documents. A count vector per
-document is built by a CountVectorizer model over terms marked with their language, so one model holds
-the vocabulary of every language and each document meets its own language's only. The vocabulary is what
-CountVectorizer learns with that minDF and the largest vocabSize, but it is counted by an aggregation,
-so that its bytes are known before it goes to the driver; one beyond the broadcast limit stays a table,
-and the counts are joined with it instead (equal results). Sparse vectors are summed per language and
-source inside the tasks, then by Spark.
+case. A language keeps the terms that stand in at least ``MIN_DOCS`` of its documents. A sparse count
+vector per document is built by a CountVectorizer with the largest vocabSize. One model holds the terms
+that any language keeps, and what another language keeps is taken off the sums. Its minDF is applied per
+language by an aggregation beforehand, so that the vocabulary's bytes are known before it goes to the driver;
+one beyond the broadcast limit stays a table, and the counts are joined with it instead (equal results).
+Sparse vectors are summed per language and source inside the tasks, then by Spark.
 
 A group's smoothed share of a term is p = 1 + floor(SCALE * (count + 2) / (N + 2 V)) with N its kept
 occurrences and V the language's kept terms; the distance of two shares is floor((p - q)^2 / (p + q)),
@@ -32,8 +31,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import fits_broadcast, lookup, map_arrow, ship, stored
+from .text import lower_ascii, text_slices
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 #: Documents of a language that a term must stand in.
 MIN_DOCS = 10
 SCALE = 1_000_000_000
@@ -43,29 +42,69 @@ TOP_TERMS = 10
 BLOCK_COUNTS = 100_000
 STRIPE = 1_000
 #: Summed counts that a task holds before it hands them on.
-HELD = 1 << 20
+HELD = 1 << 21
 
-#: Between language and term; no term holds it.
-_MARK = "\x1f"
 
+#: 1 for the bytes of a term: letters and all bytes beyond ASCII.
+_TERM_BYTES = np.zeros(256, dtype=bool)
+for _low, _high in ((65, 91), (97, 123), (128, 256)):
+    _TERM_BYTES[_low:_high] = True
+_FOLD = lower_ascii()
 
-def tagged(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
-    """lang, source and terms (marked with the language) of each document."""
-    empty = F.lit("")
-    folded = F.translate(F.coalesce(F.col(text), empty), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    plain = docs.select(
-        F.coalesce(F.col(lang).cast("string"), empty).alias("lang"),
-        F.coalesce(F.col(source).cast("string"), empty).alias("source"),
-        F.regexp_extract_all(folded, F.lit(TERM), F.lit(0)).alias("words"),
-    )
-    prefix = F.concat("lang", F.lit(_MARK))
-    return plain.select("lang", "source", F.transform("words", lambda w: F.concat(prefix, w)).alias("terms"))
+
+def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+    """All terms of the texts of one slice in order, and how many each text has."""
+    inside = _TERM_BYTES[data]
+    edge = np.ones(len(data) + 1, dtype=bool)
+    edge[1:-1] = inside[1:] != inside[:-1]
+    edge[offsets[:-1]] = True  # a text starts a term, and ends that of the text before
+    opens, closes = np.flatnonzero(inside & edge[:-1]), np.flatnonzero(inside & edge[1:]) + 1
+    ends = np.concatenate([[0], np.cumsum(closes - opens)]).astype(np.int32)
+    terms = pa.StringArray.from_buffers(len(opens), pa.py_buffer(ends), pa.py_buffer(_FOLD[data[inside]]))
+    return terms, np.diff(np.searchsorted(opens, offsets))
+
+
+def plain_rows(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
+    """text, lang and source, null read as ''."""
+    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((text, "text"), (lang, "lang"), (source, "source"))))
+
+
+def with_terms(rows: DataFrame) -> DataFrame:
+    """lang, source and the array of terms of each document."""
+
+    def run(batches):
+        for batch in batches:
+            for first, data, offsets in text_slices(batch.column(0)):
+                terms, counts = terms_of(data, offsets)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), terms)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(counts)) for k in (1, 2)), lists], names=["lang", "source", "terms"])
+
+    return map_arrow(rows, run, "lang string, source string, terms array<string>")
 
 
 def vocabulary(rows: DataFrame, min_docs: int) -> DataFrame:
-    """Stored table ``term`` of the marked terms in at least ``min_docs`` documents."""
-    once = rows.select(F.explode(F.array_distinct("terms")).alias("term"))
-    return stored(once.groupBy("term").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs).select("term"), "terms")
+    """Stored table (lang, term) of the terms in at least ``min_docs`` documents of a language."""
+
+    def run(batches):
+        for batch in batches:
+            langs = batch.column(1).dictionary_encode()
+            for first, data, offsets in text_slices(batch.column(0)):
+                terms, counts = terms_of(data, offsets)
+                terms = terms.dictionary_encode()
+                if not len(terms):
+                    continue
+                size = len(terms.dictionary)
+                text = np.repeat(np.arange(len(counts)), counts)
+                once = np.unique(text * size + terms.indices.to_numpy())  # each term once a document
+                lang = langs.indices.to_numpy()[first:][once // size].astype(np.int64)
+                key, docs = np.unique(lang * size + once % size, return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [langs.dictionary.take(pa.array(key // size)), terms.dictionary.take(pa.array(key % size)), pa.array(docs.astype(np.int64))],
+                    names=["lang", "term", "docs"],
+                )
+
+    parts = map_arrow(rows.select("text", "lang"), run, "lang string, term string, docs long")
+    return stored(parts.groupBy("lang", "term").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).select("lang", "term"), "terms")
 
 
 def summed(vectors: DataFrame) -> DataFrame:
@@ -116,21 +155,32 @@ def summed(vectors: DataFrame) -> DataFrame:
     return parts.groupBy("lang", "source", "index").agg(F.sum("count").alias("count"))
 
 
-def counted(rows: DataFrame, terms: DataFrame, limit: int | None = None) -> DataFrame:
+def indexed(vectors: DataFrame) -> DataFrame:
+    """term and index of one-term vectors."""
+
+    def run(batches):
+        for batch in batches:
+            index = batch.column(1).field("indices")
+            yield pa.RecordBatch.from_arrays([batch.column(0), index.flatten().cast(pa.int32())], names=["term", "index"])
+
+    return map_arrow(vectors, run, "term string, index int")
+
+
+def counted(rows: DataFrame, kept: DataFrame, limit: int | None = None) -> DataFrame:
     """Stored table lang, source, item, count of the kept terms; count > 0."""
-    item = F.element_at(F.split("term", _MARK), -1).alias("item")
-    if fits_broadcast(terms, limit):
-        if terms.isEmpty():
-            return stored(rows.select("lang", "source", F.lit("").alias("item"), F.lit(0).cast("long").alias("count")).limit(0), "counts")
+    documents = with_terms(rows)
+    terms = stored(kept.select("term").distinct(), "all-terms")
+    if terms.isEmpty() or not fits_broadcast(terms, limit):
+        each = documents.select("lang", "source", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(F.count("*").alias("count"))
+    else:
         # the table holds what reaches minDF, each term once; its bytes were checked
         learner = CountVectorizer(inputCol="terms", outputCol="vector", minDF=1.0, vocabSize=2**31 - 1)
-        model = learner.fit(terms.select(F.array("term").alias("terms")))
-        sums = summed(model.transform(rows).select("lang", "source", "vector"))
-        known = pa.array(model.vocabulary, pa.string())
-        named = rows.sparkSession.createDataFrame(pa.table({"index": pa.array(range(len(known)), pa.int32()), "term": known}))
-        return stored(sums.join(F.broadcast(named), "index").select("lang", "source", item, "count"), "counts")
-    each = rows.select("lang", "source", F.explode("terms").alias("term")).groupBy("lang", "source", "term").agg(F.count("*").alias("count"))
-    return stored(each.join(terms, "term").select("lang", "source", item, "count"), "counts")
+        alone = terms.select("term", F.array("term").alias("terms"))
+        model = learner.fit(alone)
+        sums = summed(model.transform(documents).select("lang", "source", "vector"))
+        each = sums.join(F.broadcast(indexed(model.transform(alone).select("term", "vector"))), "index")
+    known = lookup(kept, "kept-terms")
+    return stored(each.join(known, ["lang", "term"]).select("lang", "source", F.col("term").alias("item"), "count"), "counts")
 
 
 def shares(counts: np.ndarray, total: int, kept: int) -> np.ndarray:
@@ -244,7 +294,7 @@ def audit(
 
     Pairs are listed whole; of terms that a group has more of than its language the first ``top``.
     ``limit`` bounds the bytes of a vocabulary that goes to the driver."""
-    rows = tagged(docs, text, lang, source)
+    rows = plain_rows(docs, text, lang, source)
     counts = counted(rows, vocabulary(rows, min_docs), limit)
     number = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
     groups = rows.select("lang", "source").distinct().join(
