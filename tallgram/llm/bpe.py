@@ -27,8 +27,11 @@ from pyspark.sql import types as T
 
 from ..session import map_arrow
 
-#: Pre-tokens whose ids a task remembers; when there are more it starts afresh. Results don't depend on it.
-CACHE_ENTRIES = 250_000
+#: Pre-tokens whose ids a task remembers, about; when there are more the half that came up last stays.
+#: Results don't depend on it.
+CACHE_ENTRIES = 300_000
+#: Tokens that are decoded at once; a longer row goes by itself.
+DECODE_TOKENS = 1 << 20
 #: Characters of the texts whose pre-tokens are listed at once; a longer text is worked through in parts.
 LIST_CHARS = 3 << 19
 #: Longest pre-token that is remembered and merged together with others; longer ones have a queue each.
@@ -208,10 +211,12 @@ class BatchQueue:
 
 
 class Encoder(dict):
-    """Pre-token -> little-endian int32 ids, filled as pre-tokens come up."""
+    """Pre-token -> little-endian int32 ids, filled as pre-tokens come up. Half of the entries are those
+    of the time before; what comes up again moves over, the rest is forgotten at the next turn."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, entries: int = CACHE_ENTRIES):
         super().__init__()
+        self.before: dict[str, bytes] = {}
         self.queue, self.pattern, self.entries = RankQueue(ranks), regex.compile(pattern), entries
         self.many = BatchQueue(self.queue) if closed(self.queue) else None
 
@@ -220,10 +225,17 @@ class Encoder(dict):
 
     def learn(self, pieces: set[str]) -> None:
         """Remember the ids of the short pieces that are not known yet."""
-        new = [p for p in pieces if p not in self and len(p) <= SHORT_CHARS]
-        if len(self) + len(new) > self.entries:
+        new = pieces.difference(self)
+        if 2 * (len(self) + len(new)) > self.entries:
+            self.before = dict(self)
             self.clear()
-            new = [p for p in pieces if len(p) <= SHORT_CHARS]
+            new = pieces
+        known = self.before
+        if known:
+            again = new.intersection(known)
+            self.update(zip(again, map(known.__getitem__, again)))
+            new = new.difference(again)
+        new = [p for p in new if len(p) <= SHORT_CHARS]
         ranks, coded = self.queue.ranks, [p.encode() for p in new]
         rest = []
         for piece, raw in zip(new, coded):
@@ -237,6 +249,11 @@ class Encoder(dict):
         if rest:
             self.update(zip([p for p, _ in rest], self.many.encode([raw for _, raw in rest])))
 
+    def forget(self) -> None:
+        """Drops what was remembered; the prepared vocabulary stays."""
+        self.clear()
+        self.before = {}
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """ids of each text. Texts are taken together up to LIST_CHARS; a longer one goes in parts."""
         out: list[bytes] = []
@@ -320,38 +337,82 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
         row = end
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
-    """``docs`` with the array of token ids of each text; every match of ``pattern`` is merged by itself.
-
-    The rank file is read on the driver and broadcast: its size is that of a vocabulary and doesn't
-    depend on the data.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
-
-    def run(batches):
-        encoder = encoder_of(shared.value, pattern)
+def encoded_batches(batches, ranks: dict[bytes, int], pattern: str, text: str, out: str):
+    """Batches with the ids of each text. What was remembered is dropped at the end, as idle workers
+    would hold it."""
+    encoder = encoder_of(ranks, pattern)
+    try:
         for batch in batches:
             if not batch.num_rows:
                 continue
             for part in pieces(batch, text):
                 texts = part.column(part.schema.get_field_index(text)).to_pylist()
                 yield with_column(part, out, list_array(encoder.encode_all([t or "" for t in texts])))
+    finally:
+        encoder.forget()
+
+
+def byte_strings(ranks: dict[bytes, int]) -> pa.Array:
+    """The bytes of each rank, null where there is none."""
+    strings: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        strings[rank] = token
+    return pa.array(strings, pa.binary())
+
+
+def decoded_batches(batches, strings: pa.Array, ids: str, out: str):
+    """Batches with the bytes of each array of ids: all tokens are taken at once, and the rows cut out of them."""
+    for batch in batches:
+        column = batch.column(batch.schema.get_field_index(ids))
+        counts = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        row = 0
+        while row < batch.num_rows:
+            done = counts[row - 1] if row else 0
+            end = max(row + 1, int(np.searchsorted(counts, done + DECODE_TOKENS, side="right")))
+            flat = column.slice(row, end - row).flatten()
+            if not len(flat):
+                yield with_column(batch.slice(row, end - row), out, pa.array([b""] * (end - row), pa.binary()))
+                row = end
+                continue
+            tokens = strings.take(flat)
+            if tokens.null_count:
+                raise ValueError("null or unknown token ids")
+            cuts = np.concatenate([[0], counts[row:end] - done])
+            at = np.frombuffer(tokens.buffers()[1], dtype=np.int32)[tokens.offset :][: len(tokens) + 1][cuts]
+            rows = pa.BinaryArray.from_buffers(pa.binary(), end - row, [None, pa.py_buffer(at.copy()), tokens.buffers()[2]])
+            yield with_column(batch.slice(row, end - row), out, rows)
+            row = end
 
-    return map_arrow(docs, run, schema_with(docs.schema, out, T.ArrayType(T.IntegerType())))
+
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
+    """``docs`` with the array of token ids of each text; every match of ``pattern`` is merged by itself.
+
+    The rank file is read on the driver and broadcast: its size is that of a vocabulary and doesn't
+    depend on the data.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    return map_arrow(
+        docs, lambda batches: encoded_batches(batches, shared.value, pattern, text, out), schema_with(docs.schema, out, T.ArrayType(T.IntegerType()))
+    )
 
 
 def decode(df: DataFrame, ranks_path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes that each array of token ids stands for."""
     shared = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    return map_arrow(df, lambda batches: decoded_batches(batches, byte_strings(shared.value), ids, out), schema_with(df.schema, out, T.BinaryType()))
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+    """``docs`` without the text, with its ids and what these decode to, in one Python worker a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+    coded = schema_with(docs.schema, ids, T.ArrayType(T.IntegerType()))
+    schema = schema_with(T.StructType([f for f in coded.fields if f.name != text]), out, T.BinaryType())
 
     def run(batches):
-        strings = {rank: token for token, rank in shared.value.items()}
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            texts = [b"".join(map(strings.__getitem__, x)) if x else b"" for x in (v.as_py() for v in lists)]
-            yield with_column(batch, out, pa.array(texts, type=pa.binary()))
+        done = (b.drop_columns([text]) for b in encoded_batches(batches, shared.value, pattern, text, ids))
+        yield from decoded_batches(done, byte_strings(shared.value), ids, out)
 
-    return map_arrow(df, run, schema_with(df.schema, out, T.BinaryType()))
+    return map_arrow(docs, run, schema)
 
 
 def default_pattern() -> str:
