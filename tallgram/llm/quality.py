@@ -13,7 +13,7 @@ of the id), and its logits are divided by a temperature fitted on a part that tr
 
 Defined results: null and empty texts are documents without words (the zero vector) and get a score
 like any other; repeated rows are scored row by row; null labels and null ids are not learnt from;
-of several labels for one id the largest counts. With labels of one kind only every score is that
+of several labels for one id the largest counts, of several texts one. With labels of one kind only every score is that
 kind's smoothed share; with none at all every score is 1, as nothing tells against a document. An
 empty table stays empty. Columns named like the output are replaced.
 """
@@ -44,7 +44,8 @@ HIDDEN = 32
 FEATURES = 3 * WIDTH
 
 _BLOCKS = 64
-_STEP = 1 << 17
+#: Words whose neighbours are counted, and whose vectors are pooled, at once.
+_STEP, _POOLED = 1 << 17, 1 << 14
 
 
 class Model(NamedTuple):
@@ -128,8 +129,8 @@ def pooled(words: Words, vectors: np.ndarray) -> np.ndarray:
     with the one before it, which tells texts that repeat themselves: texts x FEATURES."""
     bucket, starts = bucket_of(words), words.text_starts
     sums = np.zeros((len(words.counts), FEATURES))
-    for start in range(0, len(bucket), _STEP):
-        stop = min(start + _STEP, len(bucket))
+    for start in range(0, len(bucket), _POOLED):
+        stop = min(start + _POOLED, len(bucket))
         part = vectors[bucket[start:stop]]
         previous = vectors[bucket[np.maximum(np.arange(start, stop) - 1, 0)]]
         first = int(np.searchsorted(starts, start, side="right")) - 1
@@ -215,8 +216,9 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "qu
         .limit(sample_rows)
     )
     texts = docs.select(F.col(id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(known), "__id")
-    rows = with_features(texts, vectors).select("__id", "__y", "features").collect()
-    rows.sort(key=lambda r: (r["__id"], r["features"]))
+    # one row an id, whatever rows share it, so that sample_rows bounds what the driver gets
+    rows = with_features(texts, vectors).groupBy("__id", "__y").agg(F.min("features").alias("features")).collect()
+    rows.sort(key=lambda r: r["__id"])
     x = np.array([r["features"] for r in rows]).reshape(len(rows), FEATURES)
     y = np.array([r["__y"] for r in rows])
     centre, scale = np.zeros(FEATURES), np.ones(FEATURES)
@@ -241,15 +243,15 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", out: str = "sc
         known = shared.value
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
-            scores = []
             for words in each_slice(column, words_and_marks()):
                 if len(known.layers) == 1:
-                    scores.append(np.full(len(words.counts), float(known.layers[0])))
-                    continue
-                x = (pooled(words, known.vectors) - known.centre) / known.scale
-                scores.append(1 / (1 + np.exp(-np.clip(logits(x, known.layers) / known.temperature, -700, 700))))
-            if scores:
-                yield with_column(batch, out, pa.array(np.round(np.concatenate(scores), 12)))
+                    scores = np.full(len(words.counts), float(known.layers[0]))
+                else:
+                    x = (pooled(words, known.vectors) - known.centre) / known.scale
+                    scores = 1 / (1 + np.exp(-np.clip(logits(x, known.layers) / known.temperature, -700, 700)))
+                # slice by slice, so that what goes back is bounded in bytes too
+                part = batch.slice(words.first, len(words.counts))
+                yield with_column(part, out, pa.array(np.round(scores, 12)))
 
     return map_arrow(docs, run, schema_with(docs.schema, out, T.DoubleType()))
 
