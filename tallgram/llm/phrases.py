@@ -3,10 +3,12 @@
 Texts in lower case (A-Z) are cut into pieces at punctuation and line ends, pieces into words. Phrases are
 counted per language, one length after the other. A frequent phrase has only frequent parts, so from two
 words on a task counts those phrases whose two parts of one word less are marked in a bitmap of the
-frequent phrases of that length; a bitmap has at most ``BITMAP_BITS`` bits whatever the corpus holds, and its
-false marks cost work, not results, as all counts are exact.
+frequent phrases of that length. Before the phrases of the lengths in ``FILTERED`` are counted, a pass adds up
+how many fall into each of many hash buckets; a phrase in a bucket with fewer than it needs isn't counted
+either. Bitmaps have at most ``BITMAP_BITS`` bits whatever the corpus holds, and their false marks cost work,
+not results, as all counts are exact.
 
-Inside a task phrases are counted in a HAT-trie: a shallow trie over word ids with hash containers as
+Words are counted by Spark from the sums of each slice of texts. Inside a task longer phrases are counted in a HAT-trie: a shallow trie over word ids with hash containers as
 leaves. A container that grows over ``BURST`` entries bursts into one container per next word. When a task
 holds ``HELD`` entries the largest subtrees are spilled whole, each as a run sorted by phrase, into the
 shuffle, where the runs of a prefix partition (language and all words but the last; the last word deals a
@@ -51,9 +53,16 @@ HELD = 400_000
 SALT = 16
 #: Most bits of a bitmap, and bits for each phrase in a smaller one.
 BITMAP_BITS = 1 << 29
-BITS_PER_PHRASE = 16
+BITS_PER_PHRASE = 8
+#: Lengths whose phrases are first counted by hash bucket, words of the corpus for each bucket (fewer than
+#: half of MIN_COUNT, or the buckets tell nothing), and ranges that buckets are merged in.
+FILTERED = (2, 3)
+BUCKET_LOAD = 8
+RANGES = 64
+#: Bucket counts that a task holds.
+HELD_BUCKETS = 1 << 21
 #: Bytes of text worked on at once.
-PART_BYTES = 2 << 20
+PART_BYTES = 4 << 20
 
 _RUN_ROWS = 50_000
 
@@ -141,20 +150,33 @@ class Part:
             pa.large_binary(), len(opens), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(folded)]
         ).dictionary_encode()
         self.ids = column.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.dictionary = column.dictionary
         self.words = column.dictionary.to_pylist()
         self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, self.words), dtype=np.uint64, count=len(self.words))
 
-    def phrases(self, length: int, lang_hashes: np.ndarray, marked) -> tuple[np.ndarray, np.ndarray]:
-        """First place and number of each phrase of ``length`` words whose two shorter parts are ``marked``."""
+    def places(self, length: int, lang_hashes: np.ndarray, parts, whole=None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the phrases of ``length`` words whose two parts of one word less are marked in ``parts``,
+        and which are marked in ``whole`` themselves (where given), and their hashes."""
         n = len(self.ids) - length + 1
         if n <= 0:
-            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        at = np.arange(n) if length == 1 else np.flatnonzero(self.piece[:n] == self.piece[length - 1 :])
-        if length > 1:
-            part = hashes_of([self.hashes[self.ids[at + k]] for k in range(length - 1)], lang_hashes[self.lang[at]])
-            at = at[marked(part)]
-            part = hashes_of([self.hashes[self.ids[at + k]] for k in range(1, length)], lang_hashes[self.lang[at]])
-            at = at[marked(part)]
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        at = np.flatnonzero(self.piece[:n] == self.piece[length - 1 :])
+        word = [self.hashes[self.ids]]
+
+        def hashed(first: int, size: int) -> np.ndarray:
+            return hashes_of([word[0][at + first + k] for k in range(size)], lang_hashes[self.lang[at]])
+
+        if parts is not None:
+            for first in (0, 1):
+                at = at[parts(hashed(first, length - 1))]
+        found = hashed(0, length)
+        if whole is not None:
+            marked = whole(found)
+            at, found = at[marked], found[marked]
+        return at, found
+
+    def phrases(self, length: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and number of each phrase of ``length`` words among those that begin at ``at``."""
         # equal phrases by pairs of exact numbers: language and first word, then one word more each time
         number = self.lang[at] * len(self.words) + self.ids[at]
         for k in range(1, length):
@@ -209,16 +231,110 @@ def marks(bitmap: np.ndarray | None):
     return marked
 
 
-def counted(docs: DataFrame, length: int, bitmap: np.ndarray | None) -> DataFrame:
+def language_hashes(numbers: dict[str, int]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh3_64_intdigest(v.encode()) for v in numbers), dtype=np.uint64, count=len(numbers))
+
+
+def counted_words(docs: DataFrame) -> DataFrame:
+    """lang, phrase and f of all words."""
+
+    def run(batches):
+        numbers: dict[str, int] = {}
+        for batch in batches:
+            for part in parts(batch, numbers):
+                first, times = part.phrases(1, np.arange(len(part.ids)))
+                langs = pa.array(list(numbers), pa.string())
+                words = part.dictionary.cast(pa.binary()).take(pa.array(part.ids[first]))
+                yield pa.RecordBatch.from_arrays([langs.take(pa.array(part.lang[first])), words, pa.array(times)], names=["lang", "phrase", "f"])
+
+    return map_arrow(docs, run, "lang string, phrase binary, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def filled_buckets(docs: DataFrame, length: int, shorter: np.ndarray, n_words: int, least: int) -> np.ndarray | None:
+    """Bitmap of the hash buckets that ``least`` phrases of ``length`` words or more fall into; None if there
+    are so many words that most buckets would be filled."""
+    power = max(16, min(BITMAP_BITS.bit_length() - 1, (n_words // BUCKET_LOAD).bit_length()))
+    if 2 * n_words > least << power:
+        return None
+    shared = docs.sparkSession.sparkContext.broadcast(shorter)
+    width = np.uint8 if least < 256 else np.uint32
+    per_range = (1 << power) // RANGES
+
+    def gather(batches):
+        numbers: dict[str, int] = {}
+        known = marks(shared.value)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def merged():
+            bucket, count = (np.concatenate(x) for x in zip(*held))
+            order = np.argsort(bucket, kind="stable")
+            bucket, first = np.unique(bucket[order], return_index=True)
+            return bucket, np.minimum(np.add.reduceat(count[order], first), least)
+
+        def rows(bucket, count):
+            cuts = np.searchsorted(bucket, np.arange(RANGES + 1) * per_range)
+            spans = [(k, low, high) for k, (low, high) in enumerate(zip(cuts, cuts[1:])) if low < high]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([k for k, _, _ in spans], pa.int32()),
+                    pa.array([(bucket[low:high] - k * per_range).astype(np.uint32).tobytes() for k, low, high in spans], pa.binary()),
+                    pa.array([count[low:high].astype(width).tobytes() for _, low, high in spans], pa.binary()),
+                ],
+                names=["range", "buckets", "counts"],
+            )
+
+        for batch in batches:
+            for part in parts(batch, numbers):
+                _, found = part.places(length, language_hashes(numbers), known)
+                if not len(found):
+                    continue
+                bucket, count = np.unique((found & np.uint64((1 << power) - 1)).astype(np.int64), return_counts=True)
+                held.append((bucket, np.minimum(count, least)))
+                size += len(bucket)
+                if size > HELD_BUCKETS:
+                    one = merged()
+                    if len(one[0]) > HELD_BUCKETS // 2:
+                        yield from rows(*one)
+                        held, size = [], 0
+                    else:
+                        held, size = [one], len(one[0])
+        if held:
+            yield from rows(*merged())
+
+    def add_up(batches):
+        at, sums = None, None
+        for batch in batches:
+            for k, bucket, count in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != at:
+                    if at is not None:
+                        yield bits_of_range(at, sums, least)
+                    at, sums = k, np.zeros(per_range, dtype=np.int64)
+                sums[np.frombuffer(bucket, dtype=np.uint32)] += np.frombuffer(count, dtype=width)
+        if at is not None:
+            yield bits_of_range(at, sums, least)
+
+    found = map_arrow(docs, gather, "range int, buckets binary, counts binary").repartition("range").sortWithinPartitions("range")
+    out = np.zeros((RANGES, per_range // 8), dtype=np.uint8)
+    for row in map_arrow(found, add_up, "range int, bits binary").toLocalIterator():  # RANGES rows, together one bitmap
+        out[row["range"]] = np.frombuffer(bytes(row["bits"]), dtype=np.uint8)
+    return out.ravel()
+
+
+def bits_of_range(number: int, sums: np.ndarray, least: int) -> pa.RecordBatch:
+    bits = np.packbits(sums >= least, bitorder="little").tobytes()
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([bits], pa.binary())], names=["range", "bits"])
+
+
+def counted(docs: DataFrame, length: int, shorter: np.ndarray, buckets: np.ndarray | None) -> DataFrame:
     """lang, phrase, f of the phrases of ``length`` words (all that can be frequent, exactly counted)."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-    size = length
+    shared = docs.sparkSession.sparkContext.broadcast((shorter, buckets))
 
     def run(batches):
         trie, numbers = Trie(), {}
         ids: dict[bytes, int] = {}
         names: list[bytes] = []
-        marked = marks(shared.value)
+        known, filled = map(marks, shared.value)
 
         def rows(keep):
             held = []
@@ -233,15 +349,14 @@ def counted(docs: DataFrame, length: int, bitmap: np.ndarray | None) -> DataFram
         for batch in batches:
             for part in parts(batch, numbers):
                 langs = list(numbers)
-                lang_hashes = np.fromiter((xxhash.xxh3_64_intdigest(v.encode()) for v in langs), dtype=np.uint64, count=len(langs))
-                first, times = part.phrases(size, lang_hashes, marked)
-                if not len(first):
+                at, _ = part.places(length, language_hashes(numbers), known, filled)
+                if not len(at):
                     continue
+                first, times = part.phrases(length, at)
                 # task-wide ids of the words that occur in these phrases
-                places = part.ids[first[:, None] + np.arange(size)]
-                used = np.unique(places)
+                places = part.ids[first[:, None] + np.arange(length)]
                 wide = np.zeros(len(part.words), dtype=np.int64)
-                for w in used.tolist():
+                for w in np.unique(places).tolist():
                     word = part.words[w]
                     if word not in ids:
                         ids[word] = len(names)
@@ -257,8 +372,8 @@ def counted(docs: DataFrame, length: int, bitmap: np.ndarray | None) -> DataFram
                         names.clear()
         yield from rows(0)
 
-    runs = map_arrow(docs, run, "part long, lang string, phrase binary, f long")
-    return runs.repartition("part").groupBy("part", "lang", "phrase").agg(F.sum("f").alias("f")).drop("part")
+    found = map_arrow(docs, run, "part long, lang string, phrase binary, f long")
+    return found.repartition("part").groupBy("part", "lang", "phrase").agg(F.sum("f").alias("f")).drop("part")
 
 
 def run_batch(run: list[tuple[str, tuple[bytes, ...], int]]) -> pa.RecordBatch:
@@ -304,11 +419,14 @@ def bitmap_of(frequent: DataFrame) -> np.ndarray:
 def frequent_phrases(docs: DataFrame, text: str, lang: str, least: int) -> tuple[DataFrame, DataFrame]:
     """Stored tables: (lang, phrase, f, length) of all phrases with f >= least, and (lang, n)."""
     plain = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    words = stored(counted(plain, 1, None), "words")
+    words = stored(counted_words(plain), "words")
     sizes = stored(words.groupBy("lang").agg(F.sum("f").alias("n")), "words-by-lang")
+    n_words = sizes.agg(F.sum("n")).first()[0] or 0
     found = [stored(words.filter(F.col("f") >= least), "phrases-1")]
     for length in range(2, LONGEST + 1):
-        found.append(stored(counted(plain, length, bitmap_of(found[-1])).filter(F.col("f") >= least), f"phrases-{length}"))
+        shorter = bitmap_of(found[-1])
+        buckets = filled_buckets(plain, length, shorter, n_words, least) if length in FILTERED else None
+        found.append(stored(counted(plain, length, shorter, buckets).filter(F.col("f") >= least), f"phrases-{length}"))
     tables = [t.withColumn("length", F.lit(k)) for k, t in enumerate(found, 1)]
     out = tables[0]
     for t in tables[1:]:

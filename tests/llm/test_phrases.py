@@ -84,8 +84,19 @@ def test_spills_bursts_and_full_bitmaps_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(P, "BURST", 8)
     monkeypatch.setattr(P, "PART_BYTES", 500)
     monkeypatch.setattr(P, "_RUN_ROWS", 5)
-    monkeypatch.setattr(P, "BITMAP_BITS", 64)  # nearly every bit is set, so next to nothing is pruned
+    monkeypatch.setattr(P, "HELD_BUCKETS", 40)
     assert result(P.mine(frame(spark, rows), least=5, top=11)) == brute(rows, 5, 11)
+    monkeypatch.setattr(P, "marks", lambda bitmap: lambda hashes: np.ones(len(hashes), dtype=bool))  # nothing is pruned
+    assert result(P.mine(frame(spark, rows), least=300, top=11)) == brute(rows, 300, 11)
+
+
+def test_buckets_that_hold_too_few_are_left_out(spark):
+    df = frame(spark, [(i, f"a b c{i}", "en") for i in range(40)])
+    shorter = np.full(1 << 13, 255, dtype=np.uint8)
+    filled = P.filled_buckets(df.select("text", "lang"), 2, shorter, 120, 30)
+    assert np.unpackbits(filled).sum() == 1
+    assert P.marks(filled)(P.phrase_hashes(["en", "en"], [b"a b", b"b c1"])).tolist() == [True, False]
+    assert P.filled_buckets(df.select("text", "lang"), 2, shorter, 1 << 34, 30) is None
 
 
 def test_trie_holds_counts_through_bursts_and_gives_sorted_subtrees_away():
@@ -119,8 +130,9 @@ def test_bitmaps_mark_all_phrases_they_are_made_of(spark):
     assert P.marks(bitmap)(hashes + np.uint64(12345)).sum() == 0
     part = next(P.parts(pa.record_batch({"text": pa.array(["x New\tYork"]), "lang": pa.array(["en"])}), numbers := {}))
     lang = np.array([P.xxhash.xxh3_64_intdigest(v.encode()) for v in numbers], dtype=np.uint64)
-    assert part.phrases(3, lang, P.marks(bitmap))[0].tolist() == []
-    assert P.hashes_of([part.hashes[part.ids[[1]]], part.hashes[part.ids[[2]]]], lang)[0] == hashes[0]
+    assert part.places(3, lang, P.marks(bitmap))[0].tolist() == []
+    at, found = part.places(2, lang, None, P.marks(bitmap))
+    assert at.tolist() == [1] and found[0] == hashes[0]
 
 
 def test_empty_table_and_other_columns(spark):
