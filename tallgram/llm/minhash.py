@@ -307,7 +307,7 @@ def bits_of(column: pa.Array) -> np.ndarray:
 
 def bins_apart(one: np.ndarray, many: np.ndarray) -> np.ndarray:
     """Number of bins in which each of ``many`` sketches differs from ``one``."""
-    planes = (many ^ one).reshape(len(many), PLANES, -1)
+    planes = (many ^ one).view(np.uint64).reshape(len(many), PLANES, -1)  # numpy counts the bits of |x|
     return np.bitwise_count(np.bitwise_or.reduce(planes, axis=1)).sum(axis=1, dtype=np.int64)
 
 

@@ -115,6 +115,17 @@ def test_edited_copies_that_only_their_original_links(docs, monkeypatch):
     assert result(M.clusters(docs(rows, 4))) == expected
 
 
+def test_bins_apart_counts_bins():
+    rng = np.random.default_rng(6)
+    values = rng.integers(0, 2**64, (9, M.BINS), dtype=np.uint64)
+    values[1:, :300] = values[0, :300]
+    planes = [np.packbits((values >> np.uint64(p) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64) for p in range(M.PLANES)]
+    bits = np.concatenate(planes, axis=1)
+    low = values & np.uint64((1 << M.PLANES) - 1)
+    assert M.bins_apart(bits[0], bits).tolist() == (low != low[0]).sum(axis=1).tolist()
+    assert M.bins_apart(bits[0], M.typical(bits[[0, 0, 1]])[None, :]).tolist() == [0]
+
+
 def test_joints_skip_what_is_joined():
     rng = np.random.default_rng(1)
     sets = [np.sort(rng.choice(40, 30, replace=False)).astype(np.uint64) for _ in range(30)]
