@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .operators.errors import projection_error_wide, score, spectral_norm_wide
+from .operators.errors import projection_error_wide, score, score_wide, spectral_norm_wide
 from .operators.kernels import Spec
 from .operators.sketch import merge_pair, single, sketch, state_entries, state_rows
 from .operators.spectra import gram_state, leading_vectors, spectrum
@@ -38,8 +38,10 @@ class SketchResult:
         return self.m is not None and 8 * self.m * self.m > matrix_budget()
 
     def scores(self, k: int | None = None) -> DataFrame:
-        """Exact errors; one more pass over the matrix for its Gram matrix. ``sketch_and_score``
-        gets sketch and errors from a single pass."""
+        """Exact errors; one more pass over the matrix for its Gram matrix, or a few where that is over
+        the byte budget. ``sketch_and_score`` gets sketch and errors from a single pass."""
+        if self.wide:
+            return score_wide(self.matrix, self._states, self.m, k)
         return score(self._states, gram_state(self.matrix, self.m), k)
 
     def cov_error(self, normalized: bool = True) -> float:

@@ -2,31 +2,35 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import required, sq_distance
 from ..layouts import dense_block, list_array
-from ..session import check_bytes, lookup, map_arrow, small_rows, stored
+from ..session import check_bytes, expected_partitions, lookup, map_arrow, matrix_budget, stored
 from .kernels import Spec
-from .sketch import sketch
+from .sketch import FAN_IN, sketch
 from .spectra import leading_vectors, project_rows, spectrum
 
 CENTERS = "label int, center array<double>"
-MAX_CENTERS = 100_000
+#: Rows that starting centres are drawn from, draws of which the best is taken, and steps each is moved.
+SAMPLE, RESTARTS, LOCAL_STEPS = 20_000, 2, 8
+#: Lloyd steps end when no centre moves farther.
+TOLERANCE = 1e-4
 
 
 def centers_array(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Labels and centres on the driver (k x m numbers, size-checked), in label order."""
-    found = small_rows(centers.select("label", "center"), MAX_CENTERS, "the centre table")
-    found.sort(key=lambda r: r.label)
-    points = np.array([r.center for r in found], dtype=np.float64)
-    check_bytes(points.nbytes, "the centres")
-    return np.array([r.label for r in found], dtype=np.int32), points
+    """Labels and centres on the driver (k x m numbers, their bytes checked before they are fetched), in
+    label order."""
+    size = centers.agg(F.sum(F.size("center").cast("long") * 8 + 16).alias("bytes")).first()["bytes"] or 0
+    check_bytes(size, "the centres")
+    table = centers.select(F.col("label").cast("int").alias("label"), F.col("center").cast("array<double>").alias("center")).toArrow().sort_by("label")
+    return table.column("label").to_numpy().astype(np.int32), dense_block(table.column("center").combine_chunks())
 
 
 def _nearest(block: np.ndarray, centers: np.ndarray, cells: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
@@ -128,57 +132,140 @@ def cost_from_labels(labelled: DataFrame) -> DataFrame:
     )
 
 
-def lloyd(rows: DataFrame, centers: DataFrame, steps: int) -> DataFrame:
-    """At most ``steps`` Lloyd iterations from given centres, fewer when they stop moving; a centre
-    without rows stays put. Each step is one pass: tasks hand over k x (m + 1) sums."""
-    labels, points = centers_array(centers)
-    rows = stored(rows.select("row_id", "vec"), "lloyd") if steps > 1 else rows
-    for _ in range(steps):
+def grid_sums(rows: DataFrame, grid: dict[int, np.ndarray], onto: np.ndarray | None = None) -> dict[int, np.ndarray]:
+    """For several sets of k centres at once, from one scan: k x (m + 3) arrays with the sum of the rows
+    closest to each centre, their number, their squared norms and their squared distances.
 
-        def sums(batches, points=points):
-            total = np.zeros((len(points), points.shape[1] + 1))
-            for batch in batches:
-                if batch.num_rows:
-                    block = dense_block(batch.column("vec"))
-                    choice, _ = _nearest(block, points)
-                    order = np.argsort(choice, kind="stable")
-                    used, heads = np.unique(choice[order], return_index=True)
-                    total[used, :-1] += np.add.reduceat(block[order], heads, axis=0)
-                    total[used, -1] += np.diff(np.append(heads, len(block)))
+    With ``onto`` (orthonormal rows) the closest centre is found on the coordinates A V', and sums are
+    those of A. Tasks hand over one array for each set, which are added up ``FAN_IN`` at a time.
+    """
+    width = next(iter(grid.values())).shape[1] if onto is None else onto.shape[1]
+    check_bytes(sum(8 * len(p) * (width + 3) for p in grid.values()), "the sums of a grid of centres")
+
+    def gather(batches):
+        totals = {g: np.zeros((len(p), width + 3)) for g, p in grid.items()}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = dense_block(batch.column("vec"))
+            coordinates = block if onto is None else block @ onto.T
+            squares = np.einsum("ij,ij->i", block, block)
+            for g, points in grid.items():
+                choice, distance = _nearest(coordinates, points)
+                order = np.argsort(choice, kind="stable")
+                used, heads = np.unique(choice[order], return_index=True)
+                rest = np.column_stack([np.ones(len(block)), squares, distance])[order]
+                totals[g][used, :width] += np.add.reduceat(block[order], heads, axis=0)
+                totals[g][used, width:] += np.add.reduceat(rest, heads, axis=0)
+        yield from rows_of(totals, TaskContext.get().partitionId())
+
+    def rows_of(totals, part):
+        for g, total in totals.items():
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(len(points), dtype=np.int32)), list_array(total)], ["c", "part"]
+                [pa.array([g], pa.int32()), pa.array([part], pa.int32()), list_array(total.reshape(1, -1))], ["g", "part", "total"]
             )
 
-        parts = map_arrow(rows.select("row_id", "vec"), sums, "c int, part array<double>")
-        summed = (
-            parts.select("c", F.posexplode("part").alias("j", "v")).groupBy("c", "j").agg(F.sum("v").alias("v"))
-        ).toArrow()
-        total = np.zeros((len(points), points.shape[1] + 1))
-        total[summed["c"].to_numpy(), summed["j"].to_numpy()] = summed["v"].to_numpy()
-        count = total[:, -1:]
-        moved = np.where(count > 0, total[:, :-1] / np.maximum(count, 1.0), points)
-        if np.array_equal(moved, points):
+    def add_up(batches):
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for g, part, total in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                total = total.values.to_numpy(zero_copy_only=False)
+                sums[g, part] = sums[g, part] + total if (g, part) in sums else total
+        for (g, part), total in sums.items():
+            yield from rows_of({g: total}, part)
+
+    schema = "g int, part int, total array<double>"
+    parts = map_arrow(rows.select("row_id", "vec"), gather, schema)
+    rounds = max(1, math.ceil(math.log(max(expected_partitions(rows), 2), FAN_IN)))
+    for number in range(rounds):
+        group = F.lit(0) if number == rounds - 1 else F.floor(F.col("part") / FAN_IN).cast("int")
+        parts = map_arrow(parts.withColumn("part", group).repartition("g", "part"), add_up, schema)
+    out = {g: np.zeros((len(p), width + 3)) for g, p in grid.items()}
+    found = parts.toArrow()
+    for g, total in zip(found.column("g").to_pylist(), found.column("total")):
+        out[g] = total.values.to_numpy().reshape(out[g].shape)
+    return out
+
+
+def lloyd_grid(rows: DataFrame, grid: dict[int, np.ndarray], steps: int, tol: float = 0.0) -> dict[int, np.ndarray]:
+    """At most ``steps`` Lloyd iterations of several sets of centres; each step is one scan for all sets
+    whose centres still move by more than ``tol``. A centre without rows stays put."""
+    active, out = dict(grid), dict(grid)
+    for _ in range(steps):
+        if not active:
             break
-        points = moved
-    return rows.sparkSession.createDataFrame(
-        [(int(label), [float(x) for x in c]) for label, c in zip(labels, points)], CENTERS
-    )
+        for g, total in grid_sums(rows, active).items():
+            width, points = active[g].shape[1], active[g]
+            count = total[:, width : width + 1]
+            out[g] = np.where(count > 0, total[:, :width] / np.maximum(count, 1.0), points)
+            active[g] = out[g]
+            if ((out[g] - points) ** 2).sum(axis=1).max(initial=0.0) <= tol * tol:
+                del active[g]
+    return out
+
+
+def centers_frame(rows: DataFrame, points: np.ndarray, labels=None) -> DataFrame:
+    labels = range(len(points)) if labels is None else labels
+    table = pa.table({"label": pa.array(labels, pa.int32()), "center": list_array(points)})
+    return rows.sparkSession.createDataFrame(table, CENTERS)
+
+
+def lloyd(rows: DataFrame, centers: DataFrame, steps: int) -> DataFrame:
+    """At most ``steps`` Lloyd iterations from given centres, fewer when they stop moving; a centre
+    without rows stays put. Each step is one pass."""
+    labels, points = centers_array(centers)
+    rows = stored(rows.select("row_id", "vec"), "lloyd") if steps > 1 else rows
+    return centers_frame(rows, lloyd_grid(rows, {0: points}, steps)[0], labels)
+
+
+def seeds(rows: DataFrame, ks: list[int], seed: int = 0, sample: int = SAMPLE) -> dict[int, np.ndarray]:
+    """Starting centres for each k: the better of ``RESTARTS`` k-means++ draws, moved a few steps, on at
+    most ``sample`` rows (those with the smallest seeded hash). Fewer than k where there are fewer
+    different rows."""
+    width = rows.select(F.size("vec").alias("m")).first()
+    if width is None:
+        raise ValueError("no rows to cluster")
+    sample = max(1, min(sample, matrix_budget() // (16 * max(width.m, 1))))
+    place = F.xxhash64(F.lit(seed), "row_id", "vec")
+    found = rows.select("vec", place.alias("place")).orderBy("place").limit(sample).select("vec").toArrow()
+    block = dense_block(found.column("vec").combine_chunks())
+    rng = np.random.default_rng(seed)
+    out = {}
+    for k in ks:
+        tries = []
+        for _ in range(RESTARTS):
+            points = spread(block, k, rng)
+            for _ in range(LOCAL_STEPS):
+                choice, distance = _nearest(block, points)
+                order = np.argsort(choice, kind="stable")
+                used, heads = np.unique(choice[order], return_index=True)
+                sums = np.add.reduceat(block[order], heads, axis=0)
+                points = points.copy()
+                points[used] = sums / np.diff(np.append(heads, len(block)))[:, None]
+            tries.append((float(_nearest(block, points)[1].sum()), points))
+        out[k] = min(tries, key=lambda t: t[0])[1]
+    return out
+
+
+def spread(block: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows drawn one after the other in proportion to the squared distance from those before."""
+    picked = [int(rng.integers(len(block)))]
+    distance = ((block - block[picked[0]]) ** 2).sum(axis=1)
+    while len(picked) < k and distance.sum() > 0:
+        picked.append(int(rng.choice(len(block), p=distance / distance.sum())))
+        distance = np.minimum(distance, ((block - block[picked[-1]]) ** 2).sum(axis=1))
+    return block[picked]
 
 
 def kmeans_train(rows: DataFrame, k: int, seed: int = 0, steps: int = 20, starts: DataFrame | None = None):
-    """(cost, centres, labelled rows). k-means|| from a seed, or Lloyd steps from ``starts``."""
-    if starts is not None:
-        centers = lloyd(rows, starts, steps)
-        labelled = nearest_centroid(rows, centers, keep_vec=True)
-        return kmeans_cost_nearest(rows, centers).first().cost, centers, labelled
-    points = rows.withColumn("point", array_to_vector("vec"))
-    model = KMeans(k=k, seed=seed, maxIter=steps, featuresCol="point", predictionCol="label").fit(points)
-    centers = rows.sparkSession.createDataFrame(
-        [(n, [float(x) for x in c]) for n, c in enumerate(model.clusterCenters())], CENTERS
-    )
-    # The summary's training cost belongs to the centres before the last update.
-    cost = kmeans_cost_nearest(rows, centers).first().cost
-    return cost, centers, model.transform(points).drop("point")
+    """(cost, centres, labelled rows): Lloyd steps from ``seeds`` or from given centres, one scan each."""
+    kept = stored(rows.select("row_id", "vec"), "kmeans")
+    points = seeds(kept, [k], seed)[k] if starts is None else centers_array(starts)[1]
+    labels = None if starts is None else centers_array(starts)[0]
+    points = lloyd_grid(kept, {0: points}, steps, TOLERANCE)[0]
+    cost = float(grid_sums(kept, {0: points})[0][:, -1].sum())
+    centers = centers_frame(rows, points, labels)
+    return cost, centers, nearest_centroid(kept, centers, keep_vec=True)
 
 
 def reduction(rows: DataFrame, l: int, alpha: float = 0.2) -> np.ndarray:
@@ -212,23 +299,33 @@ def label_by_reduced(rows: DataFrame, v: np.ndarray, centers: DataFrame) -> Data
 
 
 def sketch_labels(rows: DataFrame, l: int, ks: list[int], seed: int = 0, steps: int = 20):
-    """(k, labelled original rows) for each k: clusters found on l coordinates per row.
+    """(k, labelled original rows) for each k: clusters found on l coordinates per row, for all k at once.
 
     Only the coordinates are stored for the repeated passes of the training, not the rows.
     """
+    v, found = _on_sketch(rows, l, ks, seed, steps)
+    for k in ks:
+        yield k, label_by_reduced(rows, v, centers_frame(rows, found[k]))
+
+
+def _on_sketch(rows: DataFrame, l: int, ks: list[int], seed: int, steps: int) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     v = reduction(rows, l)
     features = stored(project_rows(rows, v, reduced=True), "features")
-    for k in ks:
-        _, centers, _ = kmeans_train(features, k, seed, steps)
-        yield k, label_by_reduced(rows, v, centers)
+    return v, lloyd_grid(features, seeds(features, ks, seed), steps, TOLERANCE)
 
 
 def kmeans_on_sketch(rows: DataFrame, l: int, ks: list[int], seed: int = 0, steps: int = 20) -> DataFrame:
     """Cluster the reduced rows and score the labels on the originals, for each k; the full fit
-    starts from the centres those labels imply. k, l, sketch_cost, full_cost."""
-    costs = []
-    for k, labelled in sketch_labels(rows, l, ks, seed, steps):
-        sketch_cost = cost_from_labels(labelled).first().cost
-        full_cost, _, _ = kmeans_train(rows, k, seed, steps, starts=compute_centers(labelled))
-        costs.append((k, l, float(sketch_cost), float(full_cost)))
+    starts from the centres those labels imply. k, l, sketch_cost, full_cost. Every scan serves all k."""
+    v, found = _on_sketch(rows, l, ks, seed, steps)
+    kept = stored(rows.select("row_id", "vec"), "kmeans")
+    width = v.shape[1]
+    implied, sketch_cost = {}, {}
+    for k, total in grid_sums(kept, found, onto=v).items():
+        total = total[total[:, width] > 0]
+        implied[k] = total[:, :width] / total[:, width : width + 1]
+        # squared norms less those of the means, by label
+        sketch_cost[k] = float((total[:, width + 1] - (total[:, :width] * implied[k]).sum(axis=1)).sum())
+    full = lloyd_grid(kept, implied, steps, TOLERANCE)
+    costs = [(k, l, sketch_cost[k], float(total[:, -1].sum())) for k, total in grid_sums(kept, full).items()]
     return rows.sparkSession.createDataFrame(costs, "k int, l int, sketch_cost double, full_cost double")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gaussian_hash, required
-from ..session import check_bytes, map_arrow, matrix_budget
-from .kernels import LINEAR, SHRINKING, Spec, orthonormal
+from ..session import check_bytes, map_arrow, matrix_budget, stored
+from .kernels import EXACT, LINEAR, SHRINKING, Spec, orthonormal
 from .sketch import single, sketch
 
 SCORES = (
@@ -37,7 +37,7 @@ def score(states: DataFrame, grams: DataFrame, k: int | None = None) -> DataFram
     exact = grams.filter("kind = 'gram'").select(
         F.col("key").alias("gram_key"), F.col("data").alias("gram")
     )
-    pairs = states.filter(~F.col("kind").isin("gram", "product", "range")).join(
+    pairs = states.filter(~F.col("kind").isin(*EXACT)).join(
         exact, F.col("key").eqNullSafe(F.col("gram_key"))
     )
 
@@ -83,95 +83,208 @@ def certified(row: dict, energies: np.ndarray, mass: float, worst: float) -> boo
     return worst <= min(row["delta"], bound) + slack and c * row["delta"] <= row["mass_lost"] + slack
 
 
+def default_k(l: int) -> int:
+    """Directions of a projection error, unless they are given."""
+    return min(max(l // 2, 1), 100)
+
+
+def leading_rows(b: np.ndarray, k: int) -> np.ndarray:
+    """The first k right singular vectors of a sketch, those of vanishing values left out."""
+    _, sigma, vt = np.linalg.svd(b, full_matrices=False)
+    return vt[:k][sigma[:k] > 1e-12 * max(sigma[0], 1e-300)] if len(sigma) else vt[:0]
+
+
 def _measured(row: dict, b: np.ndarray, g: np.ndarray, k: int | None, spectra: dict) -> pa.RecordBatch:
     total = float(np.trace(g))
     worst = float(np.abs(np.linalg.eigvalsh(g - b.T @ b)).max())
-    k = min(max(row["l"] // 2, 1), 100) if k is None else k
+    k = default_k(row["l"]) if k is None else k
     if row["key"] not in spectra:
         spectra.clear()
         spectra[row["key"]] = np.maximum(np.linalg.eigvalsh(g)[::-1], 0.0)
-    energies = spectra[row["key"]]
-    tail = float(energies[k:].sum())
-    _, sigma, vt = np.linalg.svd(b, full_matrices=False)
-    v = vt[:k][sigma[:k] > 1e-12 * max(sigma[0], 1e-300)] if len(sigma) else vt[:0]
-    outside = max(total - float(np.einsum("ij,jk,ik->", v, g, v, optimize=True)), 0.0)
-    row = {n: row[n] for n in row} | dict(
+    v = leading_rows(b, k)
+    inside = float(np.einsum("ij,jk,ik->", v, g, v, optimize=True))
+    return _score_batch([_scored(row, b, k, total, worst, inside, spectra[row["key"]])])
+
+
+def _scored(row: dict, b: np.ndarray, k: int, total: float, worst: float, inside: float, energies: np.ndarray) -> dict:
+    """A row of SCORES from |A|^2, |A'A - B'B|, the energy of A within the sketch's first k directions, and
+    the squared singular values of A."""
+    tail, mass = float(energies[k:].sum()), float(np.vdot(b, b))
+    row = row | dict(
         sq_norm=total,
-        sketch_mass=float(np.vdot(b, b)),
+        sketch_mass=mass,
         abs_err=worst,
         err=worst / total if total > 0 else 0.0,
         k=k,
         tail=tail,
-        proj_err=outside / tail if tail > 1e-12 * total else None,
-        certified=bool(certified(row, energies, float(np.vdot(b, b)), worst)),
+        proj_err=max(total - inside, 0.0) / tail if tail > 1e-12 * total else None,
+        certified=bool(certified(row, energies, mass, worst)),
     )
     if row["kind"] in LINEAR:
         row |= dict(delta=None, delta_first=None, mass_lost=None)
-    names = [c.split()[0] for c in SCORES.split(", ")]
-    types = {"boolean": pa.bool_(), "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
-    kinds = [types[c.split()[1]] for c in SCORES.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([row[n]], t) for n, t in zip(names, kinds)], names)
+    return row
+
+
+_SCORE_FIELDS = [c.split() for c in SCORES.split(", ")]
+_SCORE_TYPES = {"boolean": pa.bool_(), "string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+
+
+def _score_batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([row[n] for row in rows], _SCORE_TYPES[t]) for n, t in _SCORE_FIELDS], [n for n, _ in _SCORE_FIELDS]
+    )
 
 
 def sketch_and_score(
     matrix: DataFrame, specs, key: str | None = None, m: int | None = None, k: int | None = None, **kwargs
 ) -> DataFrame:
-    """Sketches and their exact errors from a single pass over the matrix."""
+    """Sketches and their exact errors from a single pass over the matrix.
+
+    Where an m x m Gram matrix is over the byte budget (``m`` given, no key) the errors take some more
+    passes instead, see ``score_wide``; ``matrix`` should then be stored.
+    """
     specs = [specs] if isinstance(specs, Spec) else list(specs)
+    if m is not None and key is None and Spec("gram").state_bytes(m) > matrix_budget():
+        return score_wide(matrix, sketch(matrix, specs, m=m, **kwargs), m, k)
     free = max(s.grid_id for s in specs) + 1
     states = sketch(matrix, [*specs, Spec("gram", grid_id=free)], key=key, m=m, **kwargs)
     return score(states, states, k)
 
 
-def spectral_norm_wide(
-    matrix: DataFrame,
-    m: int,
-    sketch_matrix: np.ndarray | None = None,
-    tol: float = 1e-6,
-    passes: int = 40,
-    block: int = 16,
-    seed: int = 0,
-) -> float:
-    """Largest absolute eigenvalue of A'A (minus B'B when ``sketch_matrix`` B is given).
+def collected(states: DataFrame) -> list[tuple[dict, np.ndarray]]:
+    """Fields and matrices of a few small states on the driver, once their bytes are known to fit."""
+    size = states.agg(F.sum(F.size("data").cast("long") * 8).alias("bytes")).first()["bytes"]
+    check_bytes(size or 0, "the sketches of a grid")
+    table = states.toArrow()
+    fields = table.drop_columns(["data"]).to_pylist()
+    return [
+        (row, data.values.to_numpy(zero_copy_only=False).reshape(-1, row["m"]))
+        for row, data in zip(fields, table.column("data"))
+    ]
+
+
+def score_wide(matrix: DataFrame, states: DataFrame, m: int, k: int | None = None, tol: float = 1e-6) -> DataFrame:
+    """Errors of sketches of one matrix that is too wide for its Gram matrix: the same columns as ``score``.
+
+    However many sketches there are, every pass over the matrix serves all of them: the block Krylov
+    steps of ``norms_wide``, one product for the energies within the sketches' directions, and the range
+    finder for the matrix's own leading values. The latter are never too large, so tails are never too
+    small.
+    """
+    from .spectra import randomized_svd
+
+    found = [(row, b) for row, b in collected(stored(states.filter(~F.col("kind").isin(*EXACT)), "grid-states"))]
+    if len({row["key"] for row, _ in found}) > 1:
+        raise ValueError("errors without a Gram matrix are for one matrix at a time")
+    if not found:
+        return matrix.sparkSession.createDataFrame([], SCORES)
+    sizes = [default_k(row["l"]) if k is None else k for row, _ in found]
+    worst, _ = norms_wide(matrix, m, {n: b for n, (_, b) in enumerate(found)}, tol)
+    inside, total = energies_within(matrix, m, [leading_rows(b, size) for (_, b), size in zip(found, sizes)])
+    top = min(m, max([*sizes, *(row["l"] for row, _ in found if row["kind"] in SHRINKING)]))
+    sigma = np.array([r["sigma"] for r in randomized_svd(matrix, top, m).select("sigma").collect()])  # at most ``top`` rows
+    energies = np.sort(sigma * sigma)[::-1]
+    energies = np.append(energies, max(total - energies.sum(), 0.0))
+    rows = [
+        _scored(row, b, size, total, worst[n], inside[n], energies) for n, ((row, b), size) in enumerate(zip(found, sizes))
+    ]
+    return matrix.sparkSession.createDataFrame(pa.Table.from_batches([_score_batch(rows)]), SCORES)
+
+
+def energies_within(matrix: DataFrame, m: int, directions: list[np.ndarray]) -> tuple[list[float], float]:
+    """|A V'|^2 of each set of orthonormal rows V, and |A|^2: one pass over the matrix for as many sets as
+    the byte budget allows at a time."""
+    out, total, at = [0.0] * len(directions), 0.0, 0
+    most = max(1, matrix_budget() // (16 * m))
+    while at < len(directions):
+        end, width = at, 0
+        while end < len(directions) and (end == at or width + len(directions[end]) <= most):
+            width += len(directions[end])
+            end += 1
+        x = np.vstack([*directions[at:end], np.zeros((1, m))]).T  # one column more, as there may be none
+        row, data = single(sketch(matrix, Spec("product", x.shape[1]), m=m, aux={0: x}, strict=False))
+        total, each = row["mass_lost"], (data.reshape(x.shape[1], m) * x.T).sum(axis=1)
+        cuts = np.cumsum([0, *(len(v) for v in directions[at:end])])
+        for n, (low, high) in enumerate(zip(cuts, cuts[1:]), at):
+            out[n] = float(each[low:high].sum())
+        at = end
+    return out, total
+
+
+def norms_wide(
+    matrix: DataFrame, m: int, sketches: dict, tol: float = 1e-6, passes: int = 40, block: int = 16, seed: int = 0
+) -> tuple[dict, int]:
+    """Largest absolute eigenvalue of A'A - B'B for each of several sketches B (None: of A'A), and the
+    number of passes over the matrix.
 
-    For matrices too wide for an m x m Gram matrix: block Krylov steps, each one pass that ships an
-    m x block matrix X to the tasks and adds up A'(A X). Blocks keep the number of passes over the
-    data low. Stops when the estimate moves by less than ``tol``. The basis starts again from its
-    leading block when it would outgrow the byte budget. ``matrix`` is read once per pass, so a costly
-    plan should be stored first.
+    For matrices too wide for an m x m Gram matrix: block Krylov steps, each one pass that ships an m x c
+    matrix X to the tasks and adds up A'(A X). All sketches share one basis, as A'(A X) is the same for
+    all and B'(B X) needs no pass; c is ``block`` for each sketch whose estimate hasn't settled, so a grid
+    takes no more passes than its slowest member. An estimate settles when it moves by less than
+    ``tol``. The basis starts again from the leading vectors when it would outgrow the byte budget.
+    ``matrix`` is read once per pass, so a costly plan should be stored first.
     """
     block = min(block, m)
-    check_bytes(48 * m * block, "the Krylov basis")
-    widest = max(2 * block, matrix_budget() // (24 * m))
+    check_bytes(48 * m * block * max(len(sketches), 1), "the Krylov basis")
+    widest = max(2 * block * len(sketches), matrix_budget() // (24 * m))
     x = orthonormal(gaussian_hash(np.arange(m)[:, None], np.arange(block)[None, :], seed))
-    basis, images = np.zeros((m, 0)), np.zeros((m, 0))
-    best, settled = 0.0, False
-    for _ in range(passes):
+    basis, images, small = np.zeros((m, 0)), np.zeros((m, 0)), np.zeros((0, 0))
+    inner = {g: np.zeros((len(b), 0)) for g, b in sketches.items() if b is not None}
+    best, active = dict.fromkeys(sketches, 0.0), list(sketches)
+    for number in range(1, passes + 1):
         _, data = single(sketch(matrix, Spec("product", x.shape[1]), m=m, aux={0: x}, strict=False))
         y = data.reshape(x.shape[1], m).T
-        if sketch_matrix is not None:
-            y = y - sketch_matrix.T @ (sketch_matrix @ x)
         basis, images = np.hstack([basis, x]), np.hstack([images, y])
-        small = basis.T @ images
-        estimate = float(np.abs(np.linalg.eigvalsh((small + small.T) / 2)).max())
-        settled = abs(estimate - best) <= tol * max(estimate, 1e-300)
-        best = estimate
-        if settled or basis.shape[1] >= m:
-            break
-        if basis.shape[1] + block > widest:
-            values, w = np.linalg.eigh((small + small.T) / 2)
-            w = w[:, np.argsort(-np.abs(values))[:block]]
-            basis, images = basis @ w, images @ w
-            y = images
-        rest = y - basis @ (basis.T @ y)
-        rest -= basis @ (basis.T @ rest)
+        side = basis.T @ y
+        small = np.block([[small, side[: len(small)]], [side[: len(small)].T, side[len(small) :]]])
+        for g in inner:
+            inner[g] = np.hstack([inner[g], sketches[g] @ x])
+        leading, rest = [], []
+        for g in list(active):
+            here = small - inner[g].T @ inner[g] if g in inner else small
+            values, w = np.linalg.eigh((here + here.T) / 2)
+            estimate = float(np.abs(values).max())
+            settled = abs(estimate - best[g]) <= tol * max(estimate, 1e-300)
+            best[g] = estimate
+            if settled or basis.shape[1] >= m:
+                active.remove(g)
+                continue
+            top = np.argsort(-np.abs(values))[:block]
+            w, values = w[:, top], values[top]
+            step = images @ w - (basis @ w) * values
+            rest.append(step - sketches[g].T @ (inner[g] @ w) if g in inner else step)
+            leading.append(w)
+        if not active:
+            return best, number
+        inner = {g: p for g, p in inner.items() if g in active}
+        if basis.shape[1] + block * len(active) > widest:
+            q = orthonormal(np.hstack(leading))
+            basis, images, small = basis @ q, images @ q, q.T @ small @ q
+            inner = {g: p @ q for g, p in inner.items()}
+        rest = np.hstack(rest)
+        largest = max(np.abs(rest).max(), np.abs(images).max(), 1e-300)
+        for _ in range(2):
+            rest -= basis @ (basis.T @ rest)
         fresh, r = np.linalg.qr(rest)
-        x = fresh[:, np.abs(np.diag(r)) > 1e-12 * max(np.abs(y).max(), 1e-300)][:, : m - basis.shape[1]]
+        u, scale, _ = np.linalg.svd(r)
+        x = fresh @ u[:, : len(scale)][:, scale > 1e-12 * largest][:, : m - basis.shape[1]]
         if x.shape[1] == 0:
-            break
-    else:
-        raise ArithmeticError(f"the norm has not settled after {passes} passes: {best} at last")
-    return best
+            return best, number
+        x = orthonormal(x - basis @ (basis.T @ x))
+    raise ArithmeticError(f"norms have not settled after {passes} passes: {[best[g] for g in active]} at last")
+
+
+def spectral_norm_wide(
+    matrix: DataFrame,
+    m: int,
+    sketch_matrix: np.ndarray | None = None,
+    tol: float = 1e-6,
+    passes: int = 40,
+    block: int = 16,
+    seed: int = 0,
+) -> float:
+    """Largest absolute eigenvalue of A'A (minus B'B when ``sketch_matrix`` B is given); see ``norms_wide``."""
+    return norms_wide(matrix, m, {0: sketch_matrix}, tol, passes, block, seed)[0][0]
 
 
 def projection_error_wide(matrix: DataFrame, m: int, vectors: np.ndarray, k: int) -> tuple[float, float]:

@@ -10,7 +10,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 
-from ..functions.hashing import gaussian_hash
+from ..functions.hashing import fourwise_sign, gaussian_hash, pairwise_bucket
 
 SHRINKING = (
     "fd",
@@ -26,8 +26,10 @@ SHRINKING = (
     "sparse_rand_batch_pfd",
     "dynamic_fd",
 )
-LINEAR = ("gram", "jlt", "range", "product")
-KINDS = SHRINKING + LINEAR
+LINEAR = ("gram", "jlt", "cw", "range", "product")
+KINDS = SHRINKING + LINEAR + ("qr",)
+#: Kinds that describe the matrix itself, not a sketch of it.
+EXACT = ("gram", "qr", "range", "product")
 
 
 @dataclass(frozen=True)
@@ -47,7 +49,7 @@ class Spec:
     def check(self) -> Spec:
         if self.kind not in KINDS:
             raise ValueError(f"unknown sketch kind {self.kind!r}; expected one of {KINDS}")
-        if self.kind != "gram" and self.l < 1:
+        if self.kind not in ("gram", "qr") and self.l < 1:
             raise ValueError("l must be positive")
         if not 0.0 < self.alpha <= 1.0:
             raise ValueError("alpha must lie in (0, 1]")
@@ -100,6 +102,8 @@ class Spec:
         """Bytes of an accumulator: the state and, in dense kinds, its buffer rows."""
         if self.kind == "gram":
             return 8 * m * m
+        if self.kind == "qr":
+            return 16 * m * m
         if self.kind == "range":
             return 8 * (m + self.l) * self.l
         dense = self.kind in SHRINKING and not self.kind.startswith("sparse")
@@ -356,8 +360,9 @@ class SparseShrinking(Shrinking):
 
 
 class LinearSum:
-    """States that simply add up: A'A (gram), S A (jlt), and with a small matrix X given as ``aux``
-    the products (A'A X)' (product) and [Y'Y  Y'A] for Y = A X (range)."""
+    """States that simply add up: A'A (gram), S A with Gaussian (jlt) or one signed row each (cw) in S, and
+    with a small matrix X given as ``aux`` the products (A'A X)' (product) and [Y'Y  Y'A] for
+    Y = A X (range)."""
 
     def __init__(self, spec: Spec, m: int, aux: np.ndarray | None = None):
         self.spec, self.m, self.aux = spec, m, aux
@@ -374,28 +379,40 @@ class LinearSum:
         elif self.spec.kind == "jlt":
             draws = gaussian_hash(row_ids[None, :], np.arange(self.spec.l)[:, None], self.spec.seed)
             self.total += draws @ block / np.sqrt(self.spec.l)
+        elif self.spec.kind == "cw":
+            bucket, order, starts = self._dealt(row_ids)
+            if len(order):
+                self.total[bucket[order[starts]]] += np.add.reduceat(block[order] * fourwise_sign(row_ids)[order][:, None], starts, axis=0)
         elif self.spec.kind == "product":
             self.total += (block @ self.aux).T @ block
         else:
             y = block @ self.aux
             self.total += y.T @ np.hstack([y, block])
 
+    def _dealt(self, row_ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Sketch row of each row, the rows in the order of it, and where in that order each begins."""
+        bucket = pairwise_bucket(row_ids, self.spec.l)
+        order = np.argsort(bucket, kind="stable")
+        return bucket, order, np.flatnonzero(np.diff(bucket[order], prepend=-1))
+
     def add_sparse_rows(self, row_ids, sizes, idx, val) -> None:
         self.n_rows += len(sizes)
         self.square += float(np.vdot(val, val))
         rows = np.repeat(np.arange(len(sizes)), sizes)
-        if self.spec.kind == "jlt":
-            draws = gaussian_hash(row_ids[None, :], np.arange(self.spec.l)[:, None], self.spec.seed)
-            for r, line in enumerate(draws / np.sqrt(self.spec.l)):
-                self.total[r] += np.bincount(idx, weights=line[rows] * val, minlength=self.m)
+        if self.spec.kind == "cw":
+            signed = fourwise_sign(row_ids)[rows] * val
+            np.add.at(self.total, (pairwise_bucket(row_ids, self.spec.l)[rows], idx), signed)
         elif self.spec.kind == "gram":
             self._add_sparse_gram(rows, idx, val)
         else:
+            block = SparseBlock([(rows, idx, val)], len(sizes), self.m)
+            if self.spec.kind == "jlt":
+                draws = gaussian_hash(row_ids[:, None], np.arange(self.spec.l)[None, :], self.spec.seed)
+                block.add_transposed(draws / np.sqrt(self.spec.l), self.total)
+                return
             shift = self.spec.l if self.spec.kind == "range" else 0
-            y = np.empty((len(sizes), self.spec.l))
-            for r in range(self.spec.l):
-                y[:, r] = np.bincount(rows, weights=self.aux[idx, r] * val, minlength=len(sizes))
-                self.total[r, shift:] += np.bincount(idx, weights=y[rows, r] * val, minlength=self.m)
+            y = block.times(self.aux)
+            block.add_transposed(y, self.total[:, shift:])
             if shift:
                 self.total[:, :shift] += y.T @ y
 
@@ -435,6 +452,56 @@ class LinearSum:
         )
 
 
+class TriangularFactor:
+    """R of a QR factorisation of the rows, merged by factorising stacked R's. Householder steps keep the
+    scale of each column, so small singular values survive that a Gram matrix would square away."""
+
+    def __init__(self, spec: Spec, m: int):
+        self.spec, self.m = spec, m
+        self.buffer = np.zeros((2 * m, m))
+        self.filled = 0
+        self.n_rows = 0
+        self.square = 0.0
+
+    def add(self, block: np.ndarray, row_ids=None) -> None:
+        self.n_rows += len(block)
+        self.square += float(np.vdot(block, block))
+        self._insert(block)
+
+    def _insert(self, block: np.ndarray) -> None:
+        done = 0
+        while done < len(block):
+            if self.filled == len(self.buffer):
+                self.factorise()
+            take = min(len(block) - done, len(self.buffer) - self.filled)
+            self.buffer[self.filled : self.filled + take] = block[done : done + take]
+            self.filled += take
+            done += take
+
+    def factorise(self) -> None:
+        r = np.linalg.qr(self.buffer[: self.filled], mode="r")
+        self.filled = len(r)
+        self.buffer[: self.filled] = r
+
+    def merge(self, other: dict) -> None:
+        self.n_rows += other["n_rows"]
+        self.square += other["mass_lost"]
+        self._insert(np.asarray(other["data"]).reshape(-1, self.m))
+
+    def state(self, final: bool = False) -> dict:
+        if self.filled:
+            self.factorise()
+        return dict(
+            m=self.m,
+            filled=self.filled,
+            n_rows=self.n_rows,
+            delta=0.0,
+            delta_first=0.0,
+            mass_lost=self.square,
+            data=self.buffer[: self.filled].ravel(),
+        )
+
+
 def merger(spec: Spec, m: int, phase: int = 2):
     """Accumulator that absorbs states. States of the sparse kinds are dense rows, so they are
     merged by the dense sketch with as many buffer rows as l; kinds without extra rows get l of them
@@ -450,6 +517,8 @@ def accumulator(spec: Spec, m: int, phase: int = 2, aux=None):
     """Fresh accumulator; phase 1 of ``dynamic_fd`` works with the first size."""
     if spec.kind in LINEAR:
         return LinearSum(spec, m, aux)
+    if spec.kind == "qr":
+        return TriangularFactor(spec, m)
     if spec.kind == "dynamic_fd":
         spec = replace(spec, l=spec.l if phase == 1 else spec.l2, kind="batch_fd", b=spec.extra)
     if spec.kind.startswith("sparse"):

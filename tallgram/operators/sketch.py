@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..layouts import dense_block
 from ..session import check_bytes, expected_partitions, map_arrow, matrix_budget
+from .algebra import bucketize
 from .kernels import LINEAR, SHRINKING, Spec, accumulator, merger
 
 STATE = (
@@ -97,14 +98,11 @@ def _phases(spec: Spec, row_ids: np.ndarray):
 
 
 def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_bytes: int, budget: int):
-    """Accumulate the batches of one task and yield its states."""
+    """Accumulate the batches of one task and yield its states, one for each bucket it has rows of."""
     task = TaskContext.get()
-    part = task.partitionId() if task else 0
     live: OrderedDict = OrderedDict()
     held = 0
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
+    for part, batch in _by_bucket(batches, task.partitionId() if task else 0):
         columns = batch.schema.names
         ids = batch.column("row_id").to_numpy(zero_copy_only=False)
         marks = batch.column("mark").to_numpy(zero_copy_only=False) if "mark" in columns else None
@@ -125,7 +123,7 @@ def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_byt
             for spec in specs:
                 own_ids = ids[rows]
                 for phase, mask in _phases(spec, own_ids):
-                    name = (key, spec.grid_id, phase)
+                    name = (key, spec.grid_id, phase, part)
                     acc = live.get(name)
                     if acc is None:
                         check_bytes(spec.state_bytes(width), f"a {spec.kind} state", budget)
@@ -151,11 +149,25 @@ def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_byt
             while held > live_bytes and len(live) > len(specs):
                 old, acc = live.popitem(last=False)
                 held -= _size(acc)
-                yield state_batch([_labelled(acc, _spec(specs, old[1]), old[0], old[2], part)])
-    for (key, grid_id, phase), acc in live.items():
+                yield state_batch([_labelled(acc, _spec(specs, old[1]), old[0], old[2], old[3])])
+    for (key, grid_id, phase, part), acc in live.items():
         yield state_batch([_labelled(acc, _spec(specs, grid_id), key, phase, part)])
 
 
+def _by_bucket(batches, partition: int):
+    """(part, batch): slices of one bucket where there is a bucket column (sorted), else whole batches."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if "bucket" not in batch.schema.names:
+            yield partition, batch
+            continue
+        bucket = batch.column("bucket").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(bucket)]
+        for low, high in zip(cuts, cuts[1:]):
+            yield int(bucket[low]), batch.slice(low, high - low)
+
+
 def check_sparse(idx_column, val_column, idx: np.ndarray, val: np.ndarray, m: int) -> None:
     """Sparse rows hold as many finite values as column numbers, all of these within the matrix."""
     if idx_column.null_count or val_column.null_count:
@@ -279,15 +291,17 @@ def partial_states(
     aux: dict | None = None,
     tasks: int | None = None,
     buckets: int | None = None,
+    starts: list[int] | None = None,
 ) -> DataFrame:
     """States of the rows each task reads. ``matrix`` is in row layout or, with ``m`` given, in
     sparse-row layout; ``key`` names a column that splits it into independent matrices.
 
     A ``mark`` column (BIGINT) is carried along as the largest value each state has seen.
 
-    ``buckets`` asks for a reproducible split instead of the scan's own: rows are exchanged by a
-    hash of id and content into that many buckets and sorted, so results do not depend on file
-    layout even where ids repeat.
+    ``buckets`` asks for a reproducible split instead of the scan's own: rows are dealt to that many
+    buckets by a 64-bit hash of id and content and sorted by id and hash, so results do not depend on file
+    layout even where ids repeat. ``starts`` (first row ids, as of ``ranges.balanced_starts``) deals
+    them to ranges of ids instead.
     """
     specs = tuple(s.check() for s in specs)
     if len({s.grid_id for s in specs}) != len(specs):
@@ -301,9 +315,14 @@ def partial_states(
     columns = ["row_id", "idx", "val"] if sparse else ["row_id", "vec"]
     columns += ["mark"] if "mark" in matrix.columns else []
     picked = matrix.select(*columns, *([F.col(key).cast("string").alias("key")] if key else []))
-    if buckets:
-        order = columns[:2]
-        picked = picked.repartition(buckets, *order).sortWithinPartitions(*order)
+    if buckets or starts:
+        picked = picked.withColumn("content", F.xxhash64(*columns[: 3 if sparse else 2]))
+        if starts:
+            picked = bucketize(picked, "row_id", starts)
+        else:
+            picked = picked.withColumn("bucket", F.pmod("content", F.lit(buckets)).cast("int"))
+        picked = picked.repartition(len(starts) if starts else buckets, "bucket")
+        picked = picked.sortWithinPartitions("bucket", "row_id", "content").drop("content")
     else:
         picked = picked.coalesce(tasks) if tasks else picked
     aux, budget = aux or {}, matrix_budget()
@@ -348,14 +367,15 @@ def sketch(
     buckets: int | None = None,
     fan_in: int = FAN_IN,
     strict: bool | None = None,
+    starts: list[int] | None = None,
 ) -> DataFrame:
     """All ``specs`` of ``matrix`` in one pass; one state row per (key, grid_id).
 
     ``strict`` (default: on without a key) refuses a matrix with fewer rows than l.
     """
     specs = [specs] if isinstance(specs, Spec) else list(specs)
-    limit = buckets or tasks or expected_partitions(matrix)
-    states = partial_states(matrix, specs, key, m, aux, tasks, buckets)
+    limit = len(starts or []) or buckets or tasks or expected_partitions(matrix)
+    states = partial_states(matrix, specs, key, m, aux, tasks, buckets, starts)
     strict = key is None if strict is None else strict
     return merge_states(states, specs, limit, fan_in, strict)
 

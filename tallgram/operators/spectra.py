@@ -56,7 +56,7 @@ def _spectrum_batch(row, sigma, vectors) -> pa.RecordBatch:
 
 def spectrum(states: DataFrame) -> DataFrame:
     """Singular values (descending) and right singular vectors of what each state stands for: of A
-    for a Gram state, of the sketch otherwise."""
+    for a Gram state or a triangular factor, of the sketch otherwise."""
 
     def decompose(batches):
         for row in _state_rows(batches):
@@ -64,6 +64,8 @@ def spectrum(states: DataFrame) -> DataFrame:
             if row["kind"] == "gram":
                 values, vectors = np.linalg.eigh(data.reshape(m, m))
                 sigma, vectors = np.sqrt(np.maximum(values[::-1], 0.0)), vectors[:, ::-1].T
+            elif row["kind"] == "qr":
+                sigma, vectors = _from_triangle(data.reshape(-1, m))
             elif row["kind"] == "range":
                 sigma, vectors = _from_range(data.reshape(row["l"], row["l"] + m))
             else:
@@ -83,9 +85,27 @@ def _from_range(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sigma, vectors
 
 
-def thin_svd(matrix: DataFrame, m: int | None = None) -> DataFrame:
-    """(k, sigma, v) of a matrix whose width allows its Gram matrix."""
-    return spectrum(gram_state(matrix, m)).select("k", "sigma", "v")
+def _from_triangle(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spectrum of A from its factor R. Values are taken as lengths |R v|: a rounded v has next to nothing
+    of larger directions, so small values keep their digits where the columns of A differ in scale."""
+    if not len(r):
+        return np.zeros(0), r
+    _, _, vectors = np.linalg.svd(r, full_matrices=False)
+    sigma = np.linalg.norm(r @ vectors.T, axis=0)
+    order = np.argsort(-sigma, kind="stable")
+    return sigma[order], vectors[order]
+
+
+def thin_svd(matrix: DataFrame, m: int | None = None, method: str = "gram") -> DataFrame:
+    """(k, sigma, v) of a matrix whose width allows m x m states, from one pass.
+
+    ``method="gram"`` sums A'A, which squares the condition: sigma below about 1e-8 of the largest is
+    lost. ``method="qr"`` merges triangular factors of the rows (tall-skinny QR), at several times the
+    work, and keeps them; of fewer than m rows it gives as many values as there are rows.
+    """
+    if method not in ("gram", "qr"):
+        raise ValueError(f"unknown method {method!r}")
+    return spectrum(sketch(matrix, Spec(method), m=m, strict=False)).select("k", "sigma", "v")
 
 
 def left_vectors(rows: DataFrame, svd: DataFrame, tol: float = 1e-7) -> DataFrame:

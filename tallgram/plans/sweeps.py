@@ -1,7 +1,8 @@
 """Parameter sweeps: a grid of sketches of one matrix, scored against the exact Gram matrix.
 
-All grid points share a single pass over the data (each task keeps one accumulator per point).
-``time_s`` is filled only where a point is run by itself.
+All grid points share a single pass over the data (each task keeps one accumulator per point); a sparse
+matrix too wide for its Gram matrix takes a few more, shared as well. ``time_s`` is filled only where a
+point is run by itself.
 """
 
 from __future__ import annotations
@@ -9,18 +10,14 @@ from __future__ import annotations
 import time
 from dataclasses import replace
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..layouts import list_array
 from ..operators.clustering import kmeans_on_sketch
-from ..operators.errors import score, sketch_and_score
+from ..operators.errors import SCORES, score, sketch_and_score
 from ..operators.kernels import Spec
-from ..operators.linear import count_sketch
+from ..operators.ranges import balanced_sparse_starts
 from ..operators.sketch import STATE, sketch
-from ..session import check_bytes, map_arrow
 from ..sources.store import RESULTS
 
 
@@ -78,9 +75,10 @@ def _results(scored: DataFrame, exp: str, dataset: str, partitions=None, time_s=
 def sweep_sketch_compare(
     matrix: DataFrame, sizes: list[int], m: int, b: int = 40, alpha: float = 0.2, dataset: str = "matrix"
 ) -> DataFrame:
-    """Every sketch kind at every size."""
+    """Every sketch kind at every size, all from one scan for as many points as ``run_grid`` takes at once."""
     kinds = {
         "jlt": lambda l: Spec("jlt", l),
+        "cw": lambda l: Spec("cw", l),
         "fd": lambda l: Spec("fd", l),
         "pfd": lambda l: Spec("pfd", l, alpha=alpha),
         "batch-pfd": lambda l: Spec("batch_pfd", l, b=b, alpha=alpha),
@@ -91,39 +89,7 @@ def sweep_sketch_compare(
         for name, make in kinds.items()
         for l in sizes
     ]
-    shrinking = run_grid(matrix, points, "sketch", dataset)
-    exact = sketch(matrix, Spec("gram"), m=m)
-    for number, l in enumerate(sizes):
-        state = entries_to_state(count_sketch(matrix, l), l, m, 1000 + number)
-        cw = score(state, exact).select(
-            "*", F.lit("cw").alias("variant"), F.lit("l").alias("param_name"),
-            F.lit(float(l)).alias("param_value"), F.lit(0).alias("run"),
-        )
-        shrinking = shrinking.unionByName(_results(cw, "sketch", dataset))
-    return shrinking
-
-
-def entries_to_state(entries: DataFrame, l: int, m: int, grid_id: int = 0) -> DataFrame:
-    """A small l x m matrix in entry layout as a sketch state, so that it can be scored or saved."""
-    check_bytes(16 * l * m, "the sketch")
-    cells = entries.agg(F.collect_list(F.struct((F.col("i") * m + F.col("j")).alias("at"), "v")).alias("cells"))
-
-    def fill(batches):
-        for batch in batches:
-            for row in batch.column(0):
-                data = np.zeros(l * m)
-                data[row.values.field("at").to_numpy()] = row.values.field("v").to_numpy()
-                yield pa.RecordBatch.from_arrays([list_array(data[None, :])], ["data"])
-
-    fixed = dict(
-        key=F.lit(None), grid_id=F.lit(grid_id), phase=F.lit(0), part=F.lit(0), kind=F.lit("cw"),
-        l=F.lit(l), b=F.lit(0), alpha=F.lit(1.0), m=F.lit(m), filled=F.lit(l), n_rows=F.lit(None),
-        delta=F.lit(None), delta_first=F.lit(None), mass_lost=F.lit(None), mark=F.lit(None),
-        data=F.col("data"),
-    )
-    return map_arrow(cells, fill, "data array<double>").select(
-        *[fixed[n].cast(t).alias(n) for n, t in (f.split() for f in STATE.split(", "))]
-    )
+    return run_grid(matrix, points, "sketch", dataset, m=m)
 
 
 def sweep_alpha(matrix, l: int, alphas: list[float], dataset: str = "matrix", k=None) -> DataFrame:
@@ -236,23 +202,34 @@ def sweep_changepoint(
     return out.withColumn("l_bound", size)
 
 
-def sweep_rand_scale(matrix, sizes: list[int], b: int, dataset: str = "matrix") -> DataFrame:
-    return run_grid(
-        matrix,
-        [
-            dict(spec=Spec("rand_batch_pfd", l, b=b), variant="randomized", param_name="l", param_value=l)
-            for l in sizes
-        ],
-        "rand_scale",
-        dataset,
+def timed(matrix: DataFrame, point: dict, exp: str, dataset: str, m: int | None = None, partitions: int | None = None, **kwargs) -> DataFrame:
+    """Results row of one point run as a job of its own, with the seconds it took."""
+    started = time.perf_counter()
+    rows = sketch_and_score(matrix, point["spec"], m=m, **kwargs).collect()
+    took = time.perf_counter() - started
+    scored = matrix.sparkSession.createDataFrame(rows, SCORES).select(
+        "*", F.lit(point["variant"]).alias("variant"), F.lit(point["param_name"]).alias("param_name"),
+        F.lit(float(point["param_value"])).alias("param_value"), F.lit(point.get("run", 0)).alias("run"),
     )
+    return _results(scored, exp, dataset, partitions, took)
+
+
+def sweep_rand_scale(matrix, sizes: list[int], b: int, dataset: str = "matrix") -> DataFrame:
+    """Runtime of the randomized sketch by size; every point is a timed job."""
+    out = None
+    for l in sizes:
+        point = dict(spec=Spec("rand_batch_pfd", l, b=b), variant="randomized", param_name="l", param_value=l)
+        part = timed(matrix, point, "rand_scale", dataset)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def sweep_partitions(
     matrix, l: int, alpha: float, b: int, parts: list[int], m: int | None = None, runs: int = 1, dataset: str = "matrix"
 ) -> DataFrame:
     """Exact and randomized sketches with the rows split into each number of parts; every point is a
-    timed job. Sparse rows (with ``m``) use the sparse kinds."""
+    timed job. Sparse rows (with ``m``) use the sparse kinds and are split into ranges of ids with
+    equally many entries."""
     sparse = "idx" in matrix.columns
     kinds = {
         "exact": "sparse_batch_pfd" if sparse else "batch_pfd",
@@ -263,24 +240,13 @@ def sweep_partitions(
         for variant, kind in kinds.items():
             for run in range(runs):
                 spec = Spec(kind, l, b=b, alpha=alpha, seed=run)
-                started = time.perf_counter()
-                rows = sketch_and_score(matrix, spec, m=m, buckets=p).collect()
-                took = time.perf_counter() - started
-                scored = matrix.sparkSession.createDataFrame(rows, _score_schema()).select(
-                    "*", F.lit(variant).alias("variant"), F.lit("partitions").alias("param_name"),
-                    F.lit(float(p)).alias("param_value"), F.lit(run).alias("run"),
-                )
-                part = _results(scored, "parallel", dataset, p, took)
+                point = dict(spec=spec, variant=variant, param_name="partitions", param_value=p, run=run)
+                split = dict(starts=balanced_sparse_starts(matrix, p)) if sparse else dict(buckets=p)
+                part = timed(matrix, point, "parallel", dataset, m, p, **split)
                 out = part if out is None else out.unionByName(part)
     return out
 
 
-def _score_schema() -> str:
-    from ..operators.errors import SCORES
-
-    return SCORES
-
-
 def sweep_clusters(rows: DataFrame, ks: list[int], sizes: list[int], seed: int = 0) -> DataFrame:
     """k, l, sketch_cost, full_cost over the grid."""
     out = None

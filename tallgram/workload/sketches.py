@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..api import SketchResult, sketch_matrix
-from ..layouts import entries_to_sparse_rows
-from ..operators.algebra import row_slice
+from ..layouts import entries_to_sparse_rows, rows_to_entries
+from ..operators.algebra import bucketize, row_slice
 from ..operators.errors import score, sketch_and_score
 from ..operators.kernels import Spec
 from ..operators.linear import count_sketch, gaussian_sketch
+from ..operators.ranges import balanced_sparse_starts
 from ..operators.sketch import realised_size, sketch, update_sketch
 from ..operators.spectra import gram_state
 from ..session import stored
@@ -131,9 +132,10 @@ def parallel_batch_pfd(spark, sf):
 
 @query("sparse_parallel_batch_pfd", _sql(8, str(HOURS), ACCOUNT_MASS))
 def sparse_parallel_batch_pfd(spark, sf):
-    sparse = entries_to_sparse_rows(account_entries(spark, sf), summed=True)
+    """Rows split into ranges of ids with equally many entries, merged pairwise."""
+    sparse = stored(entries_to_sparse_rows(account_entries(spark, sf), summed=True), "sparse")
     spec = Spec("sparse_batch_pfd", 8, b=8, alpha=0.2)
-    return certificate(sketch_and_score(sparse, spec, m=HOURS, buckets=6, fan_in=2))
+    return certificate(sketch_and_score(sparse, spec, m=HOURS, starts=balanced_sparse_starts(sparse, 6), fan_in=2))
 
 
 @query(
@@ -168,16 +170,56 @@ _WORDS = (
 )
 
 
+def word_rows(spark, sf):
+    """Stored sparse rows of word counts, one a document, hashed to WIDE columns."""
+    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "[ \n]+")).alias("w")).filter("w <> ''")
+    column = (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint") % WIDE).cast("int")
+    entries = words.groupBy(F.col("doc_id").alias("i"), column.alias("j")).agg(F.count("*").cast("double").alias("v"))
+    return stored(entries_to_sparse_rows(entries), "words")
+
+
+@query(
+    "wide_sparse_grid",
+    f"SELECT kind, CAST(l AS INTEGER) AS l, CAST({WIDE} AS INTEGER) AS m, {sql_rounded('CAST(s AS DOUBLE)', 2)} AS mass, true AS certified, true AS projection_fits "
+    f"FROM (SELECT sum(v * v) AS s FROM {_WORDS}), (SELECT unnest(['sparse_batch_pfd', 'sparse_batch_pfd', 'sparse_rand_batch_pfd', 'cw']) AS kind, unnest([16, 24, 16, 64]) AS l)",
+)
+def wide_sparse_grid(spark, sf):
+    """Four sketches of a matrix that allows no m x m matrix: one pass for them, and shared passes for all
+    their errors."""
+    specs = [
+        Spec("sparse_batch_pfd", 16, b=16, alpha=0.5), Spec("sparse_batch_pfd", 24, b=24, alpha=0.5, grid_id=1),
+        Spec("sparse_rand_batch_pfd", 16, b=32, alpha=0.5, grid_id=2), Spec("cw", 64, grid_id=3),
+    ]
+    scored = sketch_and_score(word_rows(spark, sf), specs, m=WIDE, k=4)
+    mass = F.when(F.col("kind") == "cw", F.col("sq_norm")).otherwise(F.col("sketch_mass") + F.col("mass_lost"))
+    return scored.select(
+        "kind", "l", "m", rounded(mass, 2).alias("mass"), "certified", F.col("proj_err").between(1 - 1e-6, 4).alias("projection_fits")
+    )
+
+
+@query(
+    "balanced_ranges",
+    f"SELECT CAST(6 AS BIGINT) AS parts, CAST(sum(n) AS BIGINT) AS entries, true AS balanced FROM (SELECT i, count(DISTINCT j) AS n FROM {_WORDS} GROUP BY i)",
+)
+def balanced_ranges(spark, sf):
+    """Entries of each range of documents: within a tenth of the mean, besides what one document holds."""
+    sparse = word_rows(spark, sf).withColumn("n", F.size("idx"))
+    dealt = bucketize(sparse, "row_id", balanced_sparse_starts(sparse, 6))
+    parts = dealt.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+    mean = F.sum("n") / F.count("*")
+    return parts.agg(
+        F.count("*").alias("parts"), F.sum("n").alias("entries"),
+        ((F.max("n") <= 1.1 * mean + F.max("most")) & (F.min("n") >= 0.9 * mean - F.max("most"))).alias("balanced"),
+    )
+
+
 @query(
     "wide_sparse_errors",
     f"SELECT CAST({WIDE} AS INTEGER) AS m, {sql_rounded('CAST(sum(v * v) AS DOUBLE)', 2)} AS mass, true AS err_fits, true AS projection_fits FROM {_WORDS}",
 )
 def wide_sparse_errors(spark, sf):
     """Word counts hashed to a width that allows no m x m matrix; both errors without one."""
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "[ \n]+")).alias("w")).filter("w <> ''")
-    column = (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint") % WIDE).cast("int")
-    entries = words.groupBy(F.col("doc_id").alias("i"), column.alias("j")).agg(F.count("*").cast("double").alias("v"))
-    sparse = stored(entries_to_sparse_rows(entries), "words")
+    sparse = word_rows(spark, sf)
     result = sketch_matrix(sparse, "auto_pfd", 16, m=WIDE, b=16, alpha=0.5)
     state = stored(result.state(), "state")
     result = SketchResult(sparse, result.spec, WIDE, state)
@@ -208,17 +250,24 @@ def object_api(spark, sf):
 
 @query(
     "sketch_registry",
-    f"SELECT kind, CAST(16 AS INTEGER) AS l, CAST({_EMB_M} AS INTEGER) AS m, {sql_rounded('s', 4)} AS mass, true AS certified FROM {EMB_MASS}, (SELECT unnest(['fd', 'fast_fd', 'batch_fd', 'fd_median', 'pfd', 'batch_pfd', 'rand_batch_pfd', 'tweak_fast', 'tweak_slow', 'jlt']) AS kind)",
+    f"SELECT kind, CAST(16 AS INTEGER) AS l, CAST({_EMB_M} AS INTEGER) AS m, {sql_rounded('s', 4)} AS mass, true AS certified FROM {EMB_MASS}, (SELECT unnest(['fd', 'fast_fd', 'batch_fd', 'fd_median', 'pfd', 'batch_pfd', 'rand_batch_pfd', 'tweak_fast', 'tweak_slow', 'dynamic_fd', 'jlt', 'cw', 'sparse_batch_pfd', 'sparse_rand_batch_pfd']) AS kind)",
 )
 def sketch_registry(spark, sf):
-    """Every dense kind by name, all from one pass."""
+    """Every kind by name: the dense ones from one pass, the sparse ones from another. Linear kinds keep the
+    mass but for the deviation that ``certified`` allows; their row shows that of the matrix."""
     kinds = (
         "fd", "fast_fd", "batch_fd", "fd_median", "pfd", "batch_pfd", "rand_batch_pfd", "tweak_fast",
-        "tweak_slow", "jlt",
+        "tweak_slow", "jlt", "cw",
     )
+    rows = embeddings(spark, sf, "float")
     specs = [Spec(kind, 16, b=20, alpha=0.4, grid_id=n) for n, kind in enumerate(kinds)]
-    scored = sketch_and_score(embeddings(spark, sf, "float"), specs)
-    mass = F.when(F.col("kind") == "jlt", F.col("sq_norm")).otherwise(F.col("sketch_mass") + F.col("mass_lost"))
+    specs.append(Spec("dynamic_fd", 16, b=20, l2=16, change_at=50, grid_id=len(kinds)))
+    sparse = stored(entries_to_sparse_rows(rows_to_entries(embeddings(spark, sf))), "sparse")
+    some = [Spec(kind, 16, b=20, alpha=0.4, grid_id=n) for n, kind in enumerate(("sparse_batch_pfd", "sparse_rand_batch_pfd"))]
+    m = rows.select(F.size("vec").alias("m")).first().m
+    scored = sketch_and_score(rows, specs).unionByName(sketch_and_score(sparse, some, m=m))
+    linear = F.col("kind").isin("jlt", "cw")
+    mass = F.when(linear, F.col("sq_norm")).otherwise(F.col("sketch_mass") + F.col("mass_lost"))
     return scored.select("kind", "l", "m", rounded(mass, 4).alias("mass"), "certified")
 
 
