@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import lookup, map_arrow, stored
+from .blocks import runs
 from .components import connected
 from .multiindex import small_batches
 from .text import each_slice, fingerprints, lower_ascii, mix, separators, window_hashes, window_text
@@ -317,25 +318,6 @@ def typical(bits: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(bits)).view(np.int64)
 
 
-def runs(batches, width: int):
-    """Tables of consecutive rows that are equal in their first ``width`` columns, all longs."""
-    held = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch] if held is None else [*held.to_batches(), batch])
-        keys = [table.column(k).to_numpy() for k in range(width)]
-        change = np.zeros(table.num_rows - 1, dtype=bool)
-        for key in keys:
-            change |= key[1:] != key[:-1]
-        cuts = [0, *(np.flatnonzero(change) + 1).tolist()]
-        for low, high in zip(cuts, cuts[1:]):
-            yield table.slice(low, high - low)
-        held = table.slice(cuts[-1])
-    if held is not None:
-        yield held
-
-
 def second_stars(rows: DataFrame, tasks: int) -> DataFrame:
     """Stored pairs of each member with its bucket's typical member, if that is in another component."""
 

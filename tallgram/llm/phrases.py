@@ -10,9 +10,10 @@ not results, as all counts are exact.
 
 Words are counted by Spark from the sums of each slice of texts. Inside a task longer phrases are counted in a HAT-trie: a shallow trie over word ids with hash containers as
 leaves. A container that grows over ``BURST`` entries bursts into one container per next word. When a task
-holds ``HELD`` entries the largest subtrees are spilled whole, each as a run sorted by phrase, into the
-shuffle, where the runs of a prefix partition (language and all words but the last; the last word deals a
-prefix to one of ``SALT`` partitions, so that a hot prefix is split) are merged by summing.
+holds ``HELD`` entries the largest subtrees are spilled whole, as runs sorted by phrase, into the shuffle. A
+run holds phrases of one prefix partition (by language and all words but the last; the last word deals a
+prefix to one of ``SALT`` partitions, so that a hot prefix is split); there are as many as the words of the
+corpus need for a partition to fit a task, and the runs of each are merged there by summing.
 
 The score of a phrase is its lowest over all cuts in two, floor(2000000 a / (l + r)) with the counts of the
 phrase and its parts, in exact decimals. Phrases that lie in a longer one with 100 f(longer) >= 80 a are
@@ -28,11 +29,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import lookup, map_arrow, stored
+from .blocks import runs
+from .multiindex import small_batches
 from .text import lower_ascii, mix, text_slices
 
 MIN_COUNT = 30
@@ -49,8 +53,11 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Entries of a container before it bursts, and of a task's trie before it spills.
 BURST = 4096
 HELD = 400_000
-#: Partitions that the phrases of one prefix are dealt to.
+#: Partitions that the phrases of one prefix are dealt to, and words of the corpus for each partition.
 SALT = 16
+PARTITION_WORDS = 200_000
+#: Runs in an Arrow batch.
+RUN_BATCH = 2000
 #: Most bits of a bitmap, and bits for each phrase in a smaller one.
 BITMAP_BITS = 1 << 29
 BITS_PER_PHRASE = 8
@@ -64,7 +71,7 @@ HELD_BUCKETS = 1 << 21
 #: Bytes of text worked on at once.
 PART_BYTES = 4 << 20
 
-_RUN_ROWS = 50_000
+_RUN_ROWS = 200_000
 
 
 class Trie:
@@ -326,9 +333,10 @@ def bits_of_range(number: int, sums: np.ndarray, least: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([bits], pa.binary())], names=["range", "bits"])
 
 
-def counted(docs: DataFrame, length: int, shorter: np.ndarray, buckets: np.ndarray | None) -> DataFrame:
-    """lang, phrase, f of the phrases of ``length`` words (all that can be frequent, exactly counted)."""
+def counted(docs: DataFrame, length: int, shorter: np.ndarray, buckets: np.ndarray | None, n_words: int, least: int) -> DataFrame:
+    """Stored table lang, phrase, f of the phrases of ``length`` words with f >= least."""
     shared = docs.sparkSession.sparkContext.broadcast((shorter, buckets))
+    n_parts = max(RANGES, n_words // PARTITION_WORDS)
 
     def run(batches):
         trie, numbers = Trie(), {}
@@ -341,10 +349,10 @@ def counted(docs: DataFrame, length: int, shorter: np.ndarray, buckets: np.ndarr
             for run in trie.spill(keep):
                 held += sorted((lang, tuple(names[w] for w in words), count) for lang, words, count in run)
                 while len(held) >= _RUN_ROWS:
-                    yield run_batch(held[:_RUN_ROWS])
+                    yield run_batch(held[:_RUN_ROWS], n_parts)
                     del held[:_RUN_ROWS]
             if held:
-                yield run_batch(held)
+                yield run_batch(held, n_parts)
 
         for batch in batches:
             for part in parts(batch, numbers):
@@ -372,26 +380,35 @@ def counted(docs: DataFrame, length: int, shorter: np.ndarray, buckets: np.ndarr
                         names.clear()
         yield from rows(0)
 
-    found = map_arrow(docs, run, "part long, lang string, phrase binary, f long")
-    return found.repartition("part").groupBy("part", "lang", "phrase").agg(F.sum("f").alias("f")).drop("part")
-
-
-def run_batch(run: list[tuple[str, tuple[bytes, ...], int]]) -> pa.RecordBatch:
+    def merge(batches):
+        for run in runs(batches, 1):
+            held = pa.table([run.column(k).combine_chunks().flatten() for k in range(1, 4)], names=["lang", "phrase", "f"])
+            sums = held.group_by(["lang", "phrase"]).aggregate([("f", "sum")])
+            sums = sums.filter(pc.greater_equal(sums.column("f_sum"), least))
+            if sums.num_rows:
+                yield from sums.select(["lang", "phrase", "f_sum"]).rename_columns(["lang", "phrase", "f"]).combine_chunks().to_batches()
+
+    found = map_arrow(docs, run, "part long, lang array<string>, phrase array<binary>, f array<long>")
+    with small_batches(docs.sparkSession, RUN_BATCH):
+        return stored(map_arrow(found.repartition("part").sortWithinPartitions("part"), merge, "lang string, phrase binary, f long"), f"phrases-{length}")
+
+
+def run_batch(entries: list[tuple[str, tuple[bytes, ...], int]], n_parts: int) -> pa.RecordBatch:
+    """Sorted runs, one for each prefix partition that has any of the entries."""
+    rows = sorted((prefix_partition(lang, words) % n_parts, lang, words, count) for lang, words, count in entries)
+    part = np.fromiter((r[0] for r in rows), dtype=np.int64, count=len(rows))
+    heads = np.flatnonzero(np.diff(part, prepend=-1))
+    offsets = pa.array(np.append(heads, len(rows)), pa.int32())
+    columns = (pa.array([r[1] for r in rows], pa.string()), pa.array([b" ".join(r[2]) for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.int64()))
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array([prefix_partition(lang, words) for lang, words, _ in run], pa.int64()),
-            pa.array([lang for lang, _, _ in run], pa.string()),
-            pa.array([b" ".join(words) for _, words, _ in run], pa.binary()),
-            pa.array([count for _, _, count in run], pa.int64()),
-        ],
-        names=["part", "lang", "phrase", "f"],
+        [pa.array(part[heads]), *(pa.ListArray.from_arrays(offsets, c) for c in columns)], names=["part", "lang", "phrase", "f"]
     )
 
 
 def prefix_partition(lang: str, words: tuple[bytes, ...]) -> int:
-    """Partition number of a phrase: that of its prefix, one of SALT by its last word."""
-    prefix = xxhash.xxh3_64_intdigest(b" ".join((lang.encode(), *words[:-1]))) >> 32
-    return prefix * SALT + xxhash.xxh3_64_intdigest(words[-1]) % SALT
+    """Number of a phrase's partition: that of its prefix, one of SALT by its last word."""
+    prefix = xxhash.xxh3_64_intdigest(b" ".join((lang.encode(), *words[:-1]))) >> 8
+    return prefix + xxhash.xxh3_64_intdigest(words[-1]) % SALT
 
 
 def bitmap_of(frequent: DataFrame) -> np.ndarray:
@@ -426,7 +443,7 @@ def frequent_phrases(docs: DataFrame, text: str, lang: str, least: int) -> tuple
     for length in range(2, LONGEST + 1):
         shorter = bitmap_of(found[-1])
         buckets = filled_buckets(plain, length, shorter, n_words, least) if length in FILTERED else None
-        found.append(stored(counted(plain, length, shorter, buckets).filter(F.col("f") >= least), f"phrases-{length}"))
+        found.append(counted(plain, length, shorter, buckets, n_words, least))
     tables = [t.withColumn("length", F.lit(k)) for k, t in enumerate(found, 1)]
     out = tables[0]
     for t in tables[1:]:
