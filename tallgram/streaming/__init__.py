@@ -1,5 +1,6 @@
 """Sketches of unbounded row streams (Structured Streaming)."""
 
+from .keyed import rocksdb_states, stream_sketches
 from .sketches import (
     current_state,
     run_available,
@@ -11,9 +12,11 @@ from .sketches import (
 
 __all__ = [
     "current_state",
+    "rocksdb_states",
     "run_available",
     "stream_count_sketch",
     "stream_sketch",
     "stream_sketch_keyed",
     "stream_sketch_windowed",
+    "stream_sketches",
 ]

@@ -63,8 +63,9 @@ def stream_sketch(stream: DataFrame, spec: Spec, path: str, schedule=None):
         spark = batch.sparkSession
         size = schedule(batch_id) if schedule else spec.l
         now = Spec(spec.kind, size, b=spec.b, alpha=spec.alpha, svd=spec.svd, seed=spec.seed)
-        if batch_id == 0:  # a new stream: versions of an older one under this path don't count
-            delete_path(spark, path)
+        if batch_id == 0:  # a new stream: versions of an older one don't count; nothing else here is touched
+            for slot in range(SLOTS):
+                delete_path(spark, f"{path}/slot={slot}")
         fresh = sketch(batch, now, strict=False)
         before = _read_version(spark, path, batch_id - 1) if batch_id > 0 else None
         if batch_id > 0 and before is None:
@@ -81,7 +82,7 @@ def stream_sketch(stream: DataFrame, spec: Spec, path: str, schedule=None):
 
 def current_state(spark: SparkSession, path: str) -> DataFrame:
     """Latest completed version of a running sketch."""
-    versions = spark.read.schema(_VERSION).option("basePath", path).parquet(path)
+    versions = spark.read.schema(_VERSION).option("basePath", path).parquet(f"{path}/slot=*")
     last = versions.agg(F.max("batch")).scalar()
     return versions.filter(F.col("batch") == last).drop("batch", "slot")
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import sq_norm
+from ..operators.errors import score
 from ..operators.kernels import Spec
-from ..session import work_path
+from ..operators.sketch import realised_size, sketch
+from ..session import stored, work_path
 from ..streaming import (
-    current_state, run_available, stream_count_sketch, stream_sketch, stream_sketch_keyed,
-    stream_sketch_windowed,
+    current_state, rocksdb_states, run_available, stream_count_sketch, stream_sketch, stream_sketch_keyed,
+    stream_sketch_windowed, stream_sketches,
 )
 from .registry import EMB_MASS, EMB, query, rounded, sql_rounded, table
 from .sketches import _cw_sql
@@ -27,19 +28,23 @@ def _rows(stream):
     )
 
 
-def _mass(digits: int = 4):
-    return rounded(sq_norm(F.col("data")) + F.col("mass_lost"), digits).alias("mass")
+def _scored(states, rows, digits: int = 4, key=None):
+    """States with their mass and whether they keep what their kind promises, against exact Gram matrices
+    of the same rows read as a batch; an empty sketch doesn't."""
+    scored = score(states, sketch(rows, Spec("gram"), key=key))
+    fits = F.col("certified") & (F.col("abs_err") <= F.col("delta") + 1e-9 * F.col("sq_norm"))
+    return scored.select("key", "l", "n_rows", rounded(F.col("sketch_mass") + F.col("mass_lost"), digits).alias("mass"), fits.alias("fits"))
 
 
-@query("stream_sketch", f"SELECT CAST(16 AS INTEGER) AS l, (SELECT count(*) FROM embeddings) AS n_rows, {sql_rounded('s', 4)} AS mass FROM {EMB_MASS}")
+@query("stream_sketch", f"SELECT CAST(16 AS INTEGER) AS l, (SELECT count(*) FROM embeddings) AS n_rows, {sql_rounded('s', 4)} AS mass, true AS fits FROM {EMB_MASS}")
 def stream_sketch_query(spark, sf):
     path = work_path(spark, "stream")
     writer = stream_sketch(_rows(_stream(spark, sf, "embeddings")), Spec("batch_pfd", 16, b=40, alpha=0.2), path + "/state")
     run_available(writer, path + "/checkpoint")
-    return current_state(spark, path + "/state").select("l", "n_rows", _mass())
+    return _scored(current_state(spark, path + "/state"), _rows(table(spark, sf, "embeddings"))).drop("key")
 
 
-@query("stream_dynamic_fd", f"SELECT CAST(24 AS INTEGER) AS l, (SELECT count(*) FROM embeddings) AS n_rows, {sql_rounded('s', 4)} AS mass FROM {EMB_MASS}")
+@query("stream_dynamic_fd", f"SELECT CAST(24 AS INTEGER) AS l, (SELECT count(*) FROM embeddings) AS n_rows, {sql_rounded('s', 4)} AS mass, true AS fits, true AS l_hat_between FROM {EMB_MASS}")
 def stream_dynamic_fd(spark, sf):
     """The size grows from 16 to 24 after the second micro-batch."""
     path = work_path(spark, "stream")
@@ -50,7 +55,9 @@ def stream_dynamic_fd(spark, sf):
         _rows(stream), Spec("batch_fd", 16, b=40), path + "/state", schedule=lambda n: 16 if n < 2 else 24
     )
     run_available(writer, path + "/checkpoint")
-    return current_state(spark, path + "/state").select("l", "n_rows", _mass())
+    state = stored(current_state(spark, path + "/state"), "state").withColumn("kind", F.lit("dynamic_fd"))
+    between = realised_size(state, 16, 24).select("l", F.col("l_hat").between(16, 24).alias("l_hat_between"))
+    return _scored(state, _rows(source)).drop("key").join(between, "l")
 
 
 def _collected(spark, frame, mode: str):
@@ -73,20 +80,65 @@ def _collected(spark, frame, mode: str):
 
 @query(
     "stream_sketch_keyed",
-    f"SELECT CAST(label AS VARCHAR) AS key, count(DISTINCT i) AS n_rows, {sql_rounded('sum(v * v)', 4)} AS mass FROM {EMB} GROUP BY label",
+    f"SELECT CAST(label AS VARCHAR) AS key, count(DISTINCT i) AS n_rows, {sql_rounded('sum(v * v)', 4)} AS mass, true AS fits FROM {EMB} GROUP BY label",
 )
 def stream_sketch_keyed_query(spark, sf):
     rows = _rows(_stream(spark, sf, "embeddings"))
     states = _collected(spark, stream_sketch_keyed(rows, "label", Spec("batch_fd", 16, b=16)), "update")
-    latest = states.groupBy("key").agg(F.max_by(F.struct("n_rows", "data", "mass_lost"), "n_rows").alias("s"))
-    return latest.select("key", "s.*").select("key", "n_rows", _mass())
+    return _scored(_latest(states), _rows(table(spark, sf, "embeddings")), key="label").drop("l")
+
+
+def _latest(states):
+    """The last state that was emitted for each key."""
+    columns = [c for c in states.columns if c not in ("key", "batch")]
+    last = F.max_by(F.struct(*columns), F.struct("n_rows", "batch"))
+    return states.groupBy("key").agg(last.alias("s")).select("key", "s.*")
+
+
+@query(
+    "stream_sketch_resumed",
+    f"SELECT CAST(label AS VARCHAR) AS key, CAST(16 AS INTEGER) AS l, count(DISTINCT i) AS n_rows, {sql_rounded('sum(v * v)', 4)} AS mass, true AS fits FROM {EMB} GROUP BY label",
+)
+def stream_sketch_resumed(spark, sf):
+    """A batch over every other row, and a stream that starts from its sketches and reads the rest."""
+    spec = Spec("batch_fd", 16, b=16)
+    source = table(spark, sf, "embeddings")
+    before = stored(sketch(_rows(source.filter("vec_id % 2 = 0")), spec, key="label", strict=False), "first-half")
+    rest = _rows(_stream(spark, sf, "embeddings").filter("vec_id % 2 = 1"))
+    with rocksdb_states(spark):
+        states = _collected(spark, stream_sketches(rest, "label", spec, initial=before), "update")
+    return _scored(_latest(states), _rows(source), key="label")
+
+
+@query(
+    "stream_dynamic_keyed",
+    f"SELECT CAST(label AS VARCHAR) AS key, CAST(CASE WHEN label IN (1, 2) THEN 24 ELSE 16 END AS INTEGER) AS l, count(DISTINCT i) AS n_rows, "
+    f"{sql_rounded('sum(v * v)', 4)} AS mass, true AS fits, true AS l_hat_fits FROM {EMB} GROUP BY label",
+)
+def stream_dynamic_keyed(spark, sf):
+    """A control table as a second stream: the sketch of one key grows with the second micro-batch, that of
+    another with the third."""
+    path = work_path(spark, "stream")
+    source = table(spark, sf, "embeddings")
+    source.repartition(4, "vec_id").write.parquet(path + "/in")
+    schema = "key string, l int"
+    for batch, rows in enumerate(([], [("1", 24)], [("2", 24), ("1", 20)], [])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path + "/control")
+    stream = _rows(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(path + "/in"))
+    control = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path + "/control")
+    with rocksdb_states(spark):
+        grown = stream_sketches(stream, "label", Spec("batch_fd", 16, b=16), control=control, largest=24)
+        states = _latest(_collected(spark, grown, "update"))
+    fits = F.when(F.col("l") == 24, (F.col("l_hat") >= 16) & (F.col("l_hat") < 24)).otherwise(F.col("l_hat") == 16)
+    sizes = states.select("key", fits.alias("l_hat_fits"))
+    return _scored(states.drop("l_hat"), _rows(source), key="label").join(sizes, "key")
 
 
 @query(
     "stream_sketch_windowed",
     f"""
 SELECT CAST(epoch_ms(date_trunc('day', ts) + INTERVAL 1 DAY) AS VARCHAR) AS key, count(*) AS n_rows,
- {sql_rounded('sum(1 + value / 10 * value / 10)', 6)} AS mass FROM events
+ {sql_rounded('sum(1 + value / 10 * value / 10)', 6)} AS mass, true AS fits FROM events
 WHERE date_trunc('day', ts) + INTERVAL 1 DAY < (SELECT max(date_trunc('day', ts)) - INTERVAL 1 HOUR FROM events) GROUP BY ALL
 """,
 )
@@ -94,13 +146,17 @@ def stream_sketch_windowed_query(spark, sf):
     """Daily windows, emitted once the watermark (a day and an hour behind the latest window's end)
     has passed them."""
     micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
-    events = _stream(spark, sf, "events").select(
-        F.col("event_id").alias("row_id"), F.array(F.lit(1.0), F.col("value") / 10).alias("vec"),
-        F.timestamp_micros(micros).alias("ts"),
-    )
-    panes = stream_sketch_windowed(events, "ts", "1 day", "1 hour", Spec("batch_fd", 2, b=50))
+
+    def rows(events):
+        return events.select(
+            F.col("event_id").alias("row_id"), F.array(F.lit(1.0), F.col("value") / 10).alias("vec"),
+            F.timestamp_micros(micros).alias("ts"),
+        )
+
+    panes = stream_sketch_windowed(rows(_stream(spark, sf, "events")), "ts", "1 day", "1 hour", Spec("batch_fd", 2, b=50))
     states = _collected(spark, panes, "append")
-    return states.select("key", "n_rows", _mass(6))
+    days = rows(table(spark, sf, "events")).withColumn("day", F.unix_millis(F.window("ts", "1 day").end))
+    return _scored(states, days, 6, key="day").drop("l")
 
 
 @query("stream_cw", _cw_sql(EMB, 16))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tallgram.operators.kernels import Spec
 from tallgram.operators.linear import count_sketch
 from tallgram.streaming import (
-    current_state, run_available, stream_count_sketch, stream_sketch, stream_sketch_keyed, stream_sketch_windowed,
+    current_state, rocksdb_states, run_available, stream_count_sketch, stream_sketch, stream_sketch_keyed, stream_sketch_windowed,
+    stream_sketches,
 )
 from tests.conftest import cov_err, dense_entries, sketch_of
 
@@ -43,6 +44,61 @@ def test_running_sketch_and_replay(spark, feed, tmp_path):
     check(a, current_state(spark, path).first())
 
 
+def test_other_files_beside_the_state_stay(spark, feed, tmp_path):
+    a, _, stream = feed
+    (tmp_path / "state" / "sub").mkdir(parents=True)
+    for name in ("note.txt", "sub/data.txt"):
+        (tmp_path / "state" / name).write_text("not the stream's")
+    run_available(stream_sketch(stream, Spec("batch_fd", 4, b=6), str(tmp_path / "state")), str(tmp_path / "c"))
+    check(a, current_state(spark, str(tmp_path / "state")).first())
+    assert all((tmp_path / "state" / name).read_text() == "not the stream's" for name in ("note.txt", "sub/data.txt"))
+
+
+def collected(frame, checkpoint):
+    """Rows by key of the last micro-batch that emitted the key, and all emitted rows in order."""
+    seen, order = {}, []
+
+    def keep(batch, batch_id):
+        for r in batch.collect():
+            seen[r["key"]] = r
+            order.append((batch_id, r))
+
+    run_available(frame.writeStream.outputMode("update").foreachBatch(keep), checkpoint)
+    return seen, order
+
+
+def test_keyed_sketches_go_on_from_stored_ones(spark, feed, tmp_path):
+    from tallgram.operators.sketch import sketch
+
+    a, df, stream = feed
+    spec = Spec("batch_fd", 3, b=4)
+    first = sketch(df.filter("row_id < 100 OR row_id % 3 = 2"), spec, key="k", strict=False).cache()
+    with rocksdb_states(spark):
+        rest = stream_sketches(stream.filter("row_id >= 100 AND row_id % 3 < 2"), "k", spec, initial=first)
+        seen, _ = collected(rest, str(tmp_path / "c"))
+    assert set(seen) == {"0", "1"}  # a key without further rows isn't emitted
+    for k, row in seen.items():
+        check(a[np.arange(300) % 3 == int(k)], row)
+        assert row["l_hat"] == pytest.approx(3)
+
+
+def test_control_rows_raise_sizes_one_key_at_a_time(spark, feed, tmp_path):
+    a, _, stream = feed
+    schema = "key string, l int"
+    for rows in ([], [("0", 5)], [("9", 4)], [("1", 4), ("0", 2)], [], []):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "control"))
+    control = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "control"))
+    with rocksdb_states(spark):
+        out = stream_sketches(stream, "k", Spec("batch_fd", 3, b=4), control=control, largest=5)
+        seen, order = collected(out, str(tmp_path / "c"))
+    sizes = {k: [r["l"] for _, r in order if r["key"] == k] for k in "012"}
+    assert sizes == {"0": [3, 5, 5, 5, 5, 5], "1": [3, 3, 3, 4, 4, 4], "2": [3] * 6}  # sizes never shrink
+    assert set(seen) == {"0", "1", "2"}
+    for k, row in seen.items():
+        check(a[np.arange(300) % 3 == int(k)], row)
+        assert 3 <= row["l_hat"] <= row["l"] and (row["l_hat"] > 3) == (k != "2")
+
+
 def test_empty_start(spark, feed, tmp_path):
     """A stream whose first batches hold no rows after the filter."""
     a, _, stream = feed
