@@ -47,6 +47,8 @@ def test_small_tables_are_exact(spark):
 
 def test_blocks_and_copies(spark, monkeypatch):
     monkeypatch.setattr(X, "BLOCK", 16)
+    monkeypatch.setattr(X, "TRACT", 40)
+    monkeypatch.setattr(X, "VECTOR_ROWS", 7)
     monkeypatch.setattr(X, "CELL", 20)
     rows = rows_of(300, 2)
     rows += [(5000 + i, rows[0][1]) for i in range(90)] + [(6000, (2 * np.array(rows[0][1])).tolist())]
@@ -67,12 +69,35 @@ def test_traversal_visits_the_nearest_cells():
     sample = rng.normal(size=(500, 16))
     sample /= np.linalg.norm(sample, axis=1, keepdims=True)
     grid = X.Grid(sample, 20_000, 0.95, 0.99)
-    sums = grid.sums(sample)
+    first, second = grid.distances(sample)
+    sums = (first[:, :, None] + second[:, None, :]).reshape(len(sample), -1)
     for row, cells in zip(sums, grid.nearest(sample)):
         assert len(set(cells.tolist())) == grid.visits
         assert np.allclose(np.sort(row[cells]), np.sort(row)[: grid.visits])
 
 
+def test_visits_by_tract():
+    rng = np.random.default_rng(9)
+    sample = rng.normal(size=(400, 8))
+    grid = X.Grid(sample / np.linalg.norm(sample, axis=1, keepdims=True), 50_000, 0.9, 0.9)
+    grid.range, grid.ranges = 3, -(-grid.k // 3)
+    own, cells = grid.cells(sample), grid.nearest(sample)
+    for o, row, got in zip(own, cells, X.visits_of(grid, own, cells).to_pylist()):
+        expected = sorted({int(o), *(int(c) for c in row if c > o)})
+        assert [c for v in got for c in v["cells"]] == expected
+        assert [v["tract"] for v in got] == sorted({int(grid.tract(np.array(c))) for c in expected})
+        assert all((grid.tract(np.array(v["cells"])) == v["tract"]).all() for v in got)
+
+
+def test_other_element_types(spark):
+    rows = [(i, v) for i, v in rows_of(60, 5)]
+    expected = brute(rows)
+    assert result(X.clusters(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))) == expected
+    whole = [(1, [3, 4, 0]), (2, [6, 8, 0]), (3, [0, 0, 1]), (4, None)]
+    got = result(X.clusters(spark.createDataFrame(whole, "vec_id long, embedding array<int>")))
+    assert got == [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True), (4, 0, 4, True)]
+
+
 def test_repeated_rows_missing_ids_and_columns(spark):
     v, w = [1.0] + [0.0] * 15, [0.0] * 15 + [1.0]
     df = frame(spark, [(4, v), (4, v), (9, v), (None, v), (None, w)]).withColumn("id", F.lit("x")).withColumn("v", F.lit(1)).withColumn("label", F.lit(3))
