@@ -26,34 +26,41 @@ def sq_frobenius(matrix: DataFrame) -> DataFrame:
     return values.agg(F.coalesce(F.sum(v * v), F.lit(0.0)).alias("sq_norm"))
 
 
-def score(states: DataFrame, grams: DataFrame, k: int | None = None) -> DataFrame:
+#: Grid points that are measured beside one copy of the Gram matrix of their key.
+POINTS_PER_GRAM = 8
+
+
+def score(states: DataFrame, grams: DataFrame, k: int | None = None, points: int = 1) -> DataFrame:
     """Errors of sketches against the exact Gram matrix of the same key.
 
     The Gram matrix is an m x m state summed in the same pass as the sketches; from it follow the
     squared norm (its trace), the covariance error (spectral norm of the difference) and the
     projection error (trace outside the sketch's first k directions over the same for the best k).
-    Each row is small and is worked on by itself, so grid points are spread over tasks.
+    Of ``points`` grid points a task gets up to ``POINTS_PER_GRAM`` and one copy of the Gram matrix.
     """
-    exact = grams.filter("kind = 'gram'").select(
-        F.col("key").alias("gram_key"), F.col("data").alias("gram")
-    )
-    pairs = states.filter(~F.col("kind").isin(*EXACT)).join(
-        exact, F.col("key").eqNullSafe(F.col("gram_key"))
-    )
+    spread = -(-points // POINTS_PER_GRAM)
+    columns = "key grid_id kind l b alpha m n_rows delta delta_first mass_lost data".split()
+    both = states if states is grams else states.filter("kind <> 'gram'").unionByName(grams.filter("kind = 'gram'"))
+    is_gram = F.col("kind") == "gram"
+    slots = F.when(is_gram, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.pmod("grid_id", F.lit(spread)).cast("int")))
+    both = both.filter(is_gram | ~F.col("kind").isin(*EXACT)).select(*columns, F.explode(slots).alias("slot"), (~is_gram).alias("turn"))
+    both = both.repartition("key", "slot").sortWithinPartitions("key", "slot", "turn", "grid_id").drop("slot")
 
     def measure(batches):
         spectra: dict = {}  # of the Gram matrix last seen
+        key, g = None, None
         for batch in batches:
             for n in range(batch.num_rows):
                 one = batch.slice(n, 1)
-                row = one.drop_columns(["data", "gram"]).to_pylist()[0]
-                m = row["m"]
-                b = one.column("data").flatten().to_numpy(zero_copy_only=False).reshape(-1, m)
-                g = one.column("gram").flatten().to_numpy(zero_copy_only=False).reshape(m, m)
-                yield _measured(row, b, g, k, spectra)
+                row = one.drop_columns(["data", "turn"]).to_pylist()[0]
+                data = one.column("data").flatten().to_numpy(zero_copy_only=False).reshape(-1, row["m"])
+                if not one.column("turn")[0].as_py():
+                    key, g = row["key"], data.copy()
+                    spectra.clear()
+                elif g is not None and row["key"] == key:  # a sketch without a Gram matrix has no score
+                    yield _measured(row, data, g, k, spectra)
 
-    columns = "key grid_id kind l b alpha m n_rows delta delta_first mass_lost data gram".split()
-    return map_arrow(pairs.select(*columns).repartition("key", "grid_id"), measure, SCORES)
+    return map_arrow(both, measure, SCORES)
 
 
 def certified(row: dict, energies: np.ndarray, mass: float, worst: float) -> bool:
@@ -148,7 +155,7 @@ def sketch_and_score(
         return score_wide(matrix, sketch(matrix, specs, m=m, **kwargs), m, k)
     free = max(s.grid_id for s in specs) + 1
     states = sketch(matrix, [*specs, Spec("gram", grid_id=free)], key=key, m=m, **kwargs)
-    return score(states, states, k)
+    return score(states, states, k, len(specs))
 
 
 def collected(states: DataFrame) -> list[tuple[dict, np.ndarray]]:

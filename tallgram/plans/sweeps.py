@@ -154,7 +154,7 @@ def sweep_tweak_vs_batch(
     specs = [replace(p["spec"], grid_id=n) for n, p in enumerate(points)]
     states = sketch(matrix, [*specs, Spec("gram", grid_id=len(specs))])
     cut = states.filter("kind <> 'gram'").select(*truncated_state(l))
-    scored = score(cut, states, max(l // 2, 1))
+    scored = score(cut, states, max(l // 2, 1), len(specs))
     return _results(scored.join(_grid(matrix, dict(enumerate(points))), "grid_id"), "tweak", dataset)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import sq_norm
 from ..layouts import entries_to_rows, entries_to_sparse_rows, rows_to_entries, sparse_rows_to_entries, transpose
 from ..operators import algebra as A
-from ..operators.checks import matrix_profile, row_sums
+from ..operators.checks import entries_profile, matrix_profile, row_sums, sparse_profile
 from .registry import (
     ACCOUNTS, EMB, HOURS, LINES, account_entries, cells, embeddings, entries_out, labelled, line_matrix,
     query, rounded, sql_cells, sql_rounded, table,
@@ -110,6 +110,19 @@ def validate_matrix(spark, sf):
     return matrix_profile(line_matrix(spark, sf))
 
 
+@query(
+    "validate_sparse",
+    f"SELECT layout, count(DISTINCT i) AS n, CAST(count(*) AS BIGINT) AS entries, 0::BIGINT AS bad_entries, "
+    f"CAST(count(*) FILTER (j >= 700) AS BIGINT) AS outside_entries, 0::BIGINT AS repeated_entries FROM {ACCOUNTS}, (SELECT unnest(['rows', 'entries']) AS layout) GROUP BY layout",
+)
+def validate_sparse(spark, sf):
+    """Profiles of both sparse layouts against fewer columns than there are: late hours lie outside."""
+    entries = account_entries(spark, sf)
+    columns = ["n", "entries", "bad_entries", "outside_entries", "repeated_entries"]
+    rows = sparse_profile(entries_to_sparse_rows(entries), 700).select(F.lit("rows").alias("layout"), *columns)
+    return rows.unionByName(entries_profile(entries, 700).select(F.lit("entries").alias("layout"), *columns))
+
+
 @query(
     "column_sums_profile",
     f"SELECT i AS row_id, {sql_rounded('sum(v)', 7)} AS row_sum, (round(sum(v), 7) = 0 AND max(abs(v)) > 0) AS cancels FROM {EMB} GROUP BY i",

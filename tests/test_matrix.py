@@ -115,6 +115,28 @@ def test_validation(spark, to_rows):
         C.validate_parallel(3, 4)
 
 
+def test_validation_of_sparse_layouts(spark):
+    rows = "row_id bigint, idx array<int>, val array<double>"
+    good = [(0, [0, 2], [1.0, 2.0]), (1, [], [])]
+    assert C.validate_matrix(spark.createDataFrame(good, rows), l=2, m=3) == (2, 3)
+    faults = [(5, None, [1.0]), (5, [1], None), (5, [1, 2], [1.0]), (5, [1], [float("nan")]), (5, [1], [None]), (5, [3], [1.0]), (5, [-1], [1.0]), (5, [1, 1], [1.0, 2.0]), (5, [None], [1.0])]
+    for fault in faults:
+        with pytest.raises(ValueError, match="not a sound matrix"):
+            C.validate_matrix(spark.createDataFrame([*good, fault], rows), m=3)
+    cells = "i bigint, j int, v double"
+    good = [(0, 0, 1.0), (0, 2, 2.0), (7, 1, 1.0)]
+    assert C.validate_matrix(spark.createDataFrame(good, cells), m=3) == (2, 3)
+    for fault in [(None, 1, 1.0), (1, None, 1.0), (1, 1, None), (1, 1, float("inf")), (1, 3, 1.0), (1, -1, 1.0), (0, 0, 5.0)]:
+        with pytest.raises(ValueError, match="not a sound matrix"):
+            C.validate_matrix(spark.createDataFrame([*good, fault], cells), m=3)
+    with pytest.raises(ValueError, match="number of columns"):
+        C.validate_matrix(spark.createDataFrame(good, cells))
+    with pytest.raises(ValueError, match="no rows"):
+        C.validate_matrix(spark.createDataFrame([], cells), m=3)
+    with pytest.raises(ValueError, match="does not fit"):
+        C.validate_matrix(spark.createDataFrame(good, cells), l=3, m=3)
+
+
 def test_dense_text_of_many_splits(spark, to_rows, rng, tmp_path):
     a = np.round(rng.standard_normal((500, 3)), 4)
     S.write_dense_text(to_rows(a, 5), str(tmp_path / "m"))
