@@ -40,7 +40,9 @@ def score(states: DataFrame, grams: DataFrame, k: int | None = None, points: int
     """
     spread = -(-points // POINTS_PER_GRAM)
     columns = "key grid_id kind l b alpha m n_rows delta delta_first mass_lost data".split()
-    both = states if states is grams else states.filter("kind <> 'gram'").unionByName(grams.filter("kind = 'gram'"))
+    both = states.select(*columns)
+    if states is not grams:
+        both = both.filter("kind <> 'gram'").unionByName(grams.filter("kind = 'gram'").select(*columns))
     is_gram = F.col("kind") == "gram"
     slots = F.when(is_gram, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.pmod("grid_id", F.lit(spread)).cast("int")))
     both = both.filter(is_gram | ~F.col("kind").isin(*EXACT)).select(*columns, F.explode(slots).alias("slot"), (~is_gram).alias("turn"))

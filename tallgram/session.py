@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,10 +138,26 @@ def ship(spark: SparkSession) -> None:
         _shipped.add(context.applicationId)
 
 
+def give_back_memory() -> None:
+    """Return what a task has freed to the system, as idle Python workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package made importable on the executors."""
+    """``df.mapInArrow`` with this package made importable on the executors; a task gives its memory back."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            give_back_memory()
+
+    run.__name__ = getattr(function, "__name__", "run")
+    return df.mapInArrow(run, schema)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

@@ -129,7 +129,7 @@ def stream_dynamic_keyed(spark, sf):
     with rocksdb_states(spark):
         grown = stream_sketches(stream, "label", Spec("batch_fd", 16, b=16), control=control, largest=24)
         states = _latest(_collected(spark, grown, "update"))
-    fits = F.when(F.col("l") == 24, (F.col("l_hat") >= 16) & (F.col("l_hat") < 24)).otherwise(F.col("l_hat") == 16)
+    fits = F.when(F.col("l") == 24, F.col("l_hat").between(16, 24)).otherwise(F.abs(F.col("l_hat") - 16) < 1e-9)
     sizes = states.select("key", fits.alias("l_hat_fits"))
     return _scored(states.drop("l_hat"), _rows(source), key="label").join(sizes, "key")
 
