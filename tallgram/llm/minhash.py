@@ -62,8 +62,8 @@ SKETCHED, FEW_SHINGLES = 32, 42
 DOCUMENTS_PER_TASK = 20_000
 #: Members, and bytes of their sets, that one side of a comparison in a task holds, about.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
-#: Rows of an Arrow batch that holds sets.
-SET_ROWS = 256
+#: Rows of an Arrow batch that holds sets, or texts.
+SET_ROWS, TEXT_ROWS = 256, 2000
 
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -185,7 +185,9 @@ def sets_of(docs: DataFrame, ids: DataFrame, id: str, text: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), raw], names=["id", "shingles"])
                 at += len(sets)
 
-    return stored(map_arrow(plain.join(lookup(ids.distinct(), "candidates"), "id"), gather, "id long, shingles binary"), "shingles")
+    picked = plain.join(lookup(ids.distinct(), "candidates"), "id")
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        return stored(map_arrow(picked, gather, "id long, shingles binary"), "shingles")
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -220,7 +222,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, tasks: int) -> DataFrame:
 
 def clusters(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs``: id (named as there), n_shingles, component_id and kept."""
-    described = stored(describe(docs, id, text), "minhash")
+    with small_batches(docs.sparkSession, TEXT_ROWS):
+        described = stored(describe(docs, id, text), "minhash")
     # equal sets: one class, named after its smallest id
     tasks = tasks_for(described.count())
     classes = stored(
