@@ -8,6 +8,7 @@ from ..functions import sq_norm
 from ..layouts import entries_to_rows, entries_to_sparse_rows, rows_to_entries, sparse_rows_to_entries, transpose
 from ..operators import algebra as A
 from ..operators.checks import entries_profile, matrix_profile, row_sums, sparse_profile
+from ..operators.products import matmul_blocks as matmul_in_blocks
 from .registry import (
     ACCOUNTS, EMB, HOURS, LINES, account_entries, cells, embeddings, entries_out, labelled, line_matrix,
     query, rounded, sql_cells, sql_rounded, table,
@@ -161,6 +162,32 @@ def matmul(spark, sf):
     return entries_out(A.matmul(account_entries(spark, sf), right), 4)
 
 
+_SHIPPED = "(SELECT l_suppkey AS i, CAST(l_partkey AS INTEGER) AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+_BY_FLAG = "(SELECT l_orderkey AS i, CAST(ascii(l_returnflag) AS INTEGER) AS j, sum(l_quantity) AS v FROM lineitem GROUP BY ALL)"
+_FLAG_STATES = "(SELECT CAST(ascii(l_returnflag) AS INTEGER) AS i, CAST(ascii(l_linestatus) AS INTEGER) AS j, sum(l_tax) AS v FROM lineitem GROUP BY ALL)"
+
+
+@query(
+    "matmul_blocks",
+    f"""
+SELECT 'suppliers by shared parts' AS product, a.i AS i, CAST(b.i AS INTEGER) AS j, round(sum(a.v * b.v), 4) + 0.0 AS v
+FROM {_SHIPPED} a JOIN {_SHIPPED} b ON a.j = b.j GROUP BY ALL
+UNION ALL SELECT 'orders by status', a.i, b.j, round(sum(a.v * b.v), 4) + 0.0 FROM {_BY_FLAG} a JOIN {_FLAG_STATES} b ON a.j = b.i GROUP BY ALL
+""",
+)
+def matmul_blocks(spark, sf):
+    """A product of two sparse matrices over many inner indexes, and one over few hot ones (a return flag
+    has a third of all entries), which are laid over blocks."""
+    lines = table(spark, sf, "lineitem")
+    flag, status = F.ascii("l_returnflag"), F.ascii("l_linestatus")
+    shipped = lines.groupBy(F.col("l_suppkey").alias("i"), F.col("l_partkey").cast("int").alias("j")).agg(F.sum("l_quantity").alias("v"))
+    by_flag = lines.groupBy(F.col("l_orderkey").alias("i"), flag.alias("j")).agg(F.sum("l_quantity").alias("v"))
+    states = lines.groupBy(flag.cast("bigint").alias("i"), status.alias("j")).agg(F.sum("l_tax").alias("v"))
+    suppliers = matmul_in_blocks(shipped, transpose(shipped)).withColumn("product", F.lit("suppliers by shared parts"))
+    orders = matmul_in_blocks(by_flag, states).withColumn("product", F.lit("orders by status"))
+    return suppliers.unionByName(orders).select("product", "i", "j", rounded("v", 4).alias("v"))
+
+
 _CENTER = f"(SELECT label, j, avg(v) AS c FROM {EMB} GROUP BY label, j)"
 
 
