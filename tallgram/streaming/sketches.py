@@ -6,6 +6,8 @@ in batch), so what is exchanged and what meets the stored state are sketch state
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -145,7 +147,8 @@ def stream_sketch_windowed(
     stream: DataFrame, ts: str, width: str, delay: str, spec: Spec, slide: str | None = None
 ) -> DataFrame:
     """One sketch per event-time window, emitted when the watermark passes its end; the window end is
-    the group key, in milliseconds. ``slide`` makes the windows overlap.
+    the group key, in milliseconds. ``slide`` makes the windows overlap: rows are condensed in panes that
+    do not, and the states of the panes are copied to the windows they lie in.
 
     Lateness is judged by the window's end: the watermark lies ``delay`` and one ``width`` behind the
     latest window end seen, so no row of an open window is dropped however the rows of a micro-batch
@@ -153,12 +156,17 @@ def stream_sketch_windowed(
     Rows for windows that have been emitted are dropped.
     """
     spec = spec.check()
-    windows = F.window(ts, width, slide) if slide else F.window(ts, width)
-    timed = stream.withColumn("window_end", F.unix_millis(windows.end))
+    long = _millis(stream.sparkSession, width)
+    pane = math.gcd(long, _millis(stream.sparkSession, slide or width))
+    timed = stream.withColumn("pane_end", F.unix_millis(F.window(ts, f"{pane} milliseconds").end))
+    panes = partial_states(timed, [spec], key="pane_end")
+    if slide:
+        start = F.timestamp_millis(F.col("key").cast("bigint") - pane)
+        panes = panes.withColumn("start", start).withColumn("w", F.window("start", width, slide))
+        panes = panes.withColumn("key", F.unix_millis("w.end").cast("string")).drop("start", "w")
     partial = (
-        partial_states(timed, [spec], key="window_end")
-        .withColumn("closes", F.timestamp_millis(F.col("key").cast("bigint")))
-        .withWatermark("closes", f"{_millis(stream.sparkSession, delay) + _millis(stream.sparkSession, width)} milliseconds")
+        panes.withColumn("closes", F.timestamp_millis(F.col("key").cast("bigint")))
+        .withWatermark("closes", f"{_millis(stream.sparkSession, delay) + long} milliseconds")
     )
 
     def update(group, frames, state: GroupState):

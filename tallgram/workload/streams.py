@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators.errors import score
@@ -10,7 +11,7 @@ from ..operators.sketch import realised_size, sketch
 from ..session import stored, work_path
 from ..streaming import (
     current_state, rocksdb_states, run_available, stream_count_sketch, stream_sketch, stream_sketch_keyed,
-    stream_sketch_windowed, stream_sketches,
+    stream_sketch_sessions, stream_sketch_windowed, stream_sketches,
 )
 from .registry import EMB_MASS, EMB, query, rounded, sql_rounded, table
 from .sketches import _cw_sql
@@ -159,6 +160,39 @@ def stream_sketch_windowed_query(spark, sf):
     return _scored(states, days, 6, key="day").drop("l")
 
 
+_GAP = 12 * 3600 * 1_000_000
+_SESSIONS = f"""
+WITH e AS (SELECT user_id, epoch_us(ts) AS us, value FROM events),
+f AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us) < {_GAP} THEN 0 ELSE 1 END AS fresh FROM e),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING) AS nr FROM f)
+SELECT user_id || '@' || min(us) AS key, max(us) AS last_us, count(*) AS n_rows, {sql_rounded('sum(1 + value / 10 * value / 10)', 6)} AS mass, true AS fits
+FROM s GROUP BY user_id, nr HAVING max(us) + 2 * {_GAP} < (SELECT (max(us) // {_GAP} + 1) * {_GAP} - 3600000000 - {_GAP} FROM e)
+"""
+
+
+@query("stream_sketch_sessions", _SESSIONS)
+def stream_sketch_sessions_query(spark, sf):
+    """Sessions of each user, ended by twelve hours without an event, that no later row can join."""
+    micros = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
+
+    def rows(events):
+        return events.select(
+            F.col("event_id").alias("row_id"), F.array(F.lit(1.0), F.col("value") / 10).alias("vec"), "user_id",
+            F.timestamp_micros(micros).alias("ts"),
+        )
+
+    with rocksdb_states(spark):
+        sessions = stream_sketch_sessions(rows(_stream(spark, sf, "events")), "user_id", "ts", "12 hours", "1 hour", Spec("batch_fd", 2, b=50))
+        states = stored(_collected(spark, sessions, "append"), "sessions")
+    named = states.withColumn("key", F.concat_ws("@", "key", F.unix_micros("session_start")))
+    by_user = Window.partitionBy("user_id").orderBy("us")
+    since = F.col("us") - F.lag("us").over(by_user)
+    exact = rows(table(spark, sf, "events")).withColumn("us", F.unix_micros("ts")).withColumn("fresh", F.when(since < _GAP, None).otherwise(F.col("us")))
+    exact = exact.withColumn("session", F.concat_ws("@", "user_id", F.last("fresh", True).over(by_user)))
+    scored = _scored(named.drop("session_start", "session_end"), exact, 6, key="session").drop("l")
+    return scored.join(named.select("key", F.unix_micros("session_end").alias("last_us")), "key")
+
+
 @query("stream_cw", _cw_sql(EMB, 16))
 def stream_cw(spark, sf):
     rows = _rows(_stream(spark, sf, "embeddings")).select("row_id", F.col("vec").cast("array<double>").alias("vec"))
