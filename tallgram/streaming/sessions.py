@@ -15,6 +15,8 @@ from ..session import map_arrow, matrix_budget
 
 _CONDENSED = STATE + ", first_us bigint, last_us bigint"
 _KEPT = "m int, n_rows bigint, delta double, mass_lost double, data binary"
+#: Sessions of a key that are emitted in one batch of rows.
+TOGETHER = 64
 _NAMES = [f.split()[0] for f in _CONDENSED.split(", ")]
 
 
@@ -40,19 +42,36 @@ def condense_panes(batches, spec: Spec, budget: int):
 
 
 class SessionSketch(StatefulProcessor):
-    """The open sessions of a key: their spans, read as a whole, and their sketches, read when rows meet
-    them. A session is told by its first time."""
+    """The open sessions of a key: their spans in one value, read as a whole, and their sketches, each read
+    when rows meet it. A session is told by its first time; a key has one timer, for its next session to close."""
 
     def __init__(self, spec: Spec, gap: int):
         self.spec, self.gap = spec, gap
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.spans = handle.getMapState("spans", "first bigint", "last bigint")
+        self.spans = handle.getValueState("spans", "first array<bigint>, last array<bigint>, timer bigint")
         self.kept = handle.getMapState("sketches", "first bigint", _KEPT)
 
-    def _open(self) -> list[tuple[int, int]]:
-        return [(int(first[0]), int(last[0])) for first, last in self.spans.iterator()] if self.spans.exists() else []
+    def _open(self) -> tuple[dict[int, int], int | None]:
+        """Last time by first time of the open sessions, and the timer."""
+        if not self.spans.exists():
+            return {}, None
+        first, last, timer = self.spans.get()
+        return {int(f): int(x) for f, x in zip(first, last)}, timer
+
+    def _save(self, spans: dict[int, int], timer: int | None) -> None:
+        """``timer`` is the one that is still to fire; it is replaced where a session closes before it."""
+        if not spans:
+            self.spans.clear()
+            return
+        due = min(map(self.closes, spans.values()))
+        if timer is None or due < timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+            timer = due
+        self.spans.update((list(spans), list(spans.values()), timer))
 
     def closes(self, last: int) -> int:
         """Millisecond the watermark must reach: rows that still may come then are ``gap`` later at least."""
@@ -65,7 +84,7 @@ class SessionSketch(StatefulProcessor):
         acc.merge(dict(n_rows=n_rows, delta=delta, delta_first=0.0, mass_lost=mass_lost, data=np.frombuffer(data)))
         return acc
 
-    def _merge(self, old: list[int], rows: list[dict], first: int, last: int) -> None:
+    def _merge(self, old: list[int], rows: list[dict], first: int) -> None:
         """One session of the open ones that ``rows`` touch or bridge, and of the rows."""
         acc = None
         for start in old:
@@ -74,25 +93,24 @@ class SessionSketch(StatefulProcessor):
                 acc = known
             else:
                 acc.merge(known.state())
-            self.spans.removeKey((start,))
-            self.kept.removeKey((start,))
+            if start != first:
+                self.kept.removeKey((start,))
         for row in rows:
             if acc is None:
                 acc = merger(self.spec, int(row["m"]))
                 acc.mark = None
             acc.merge(row | {"data": np.asarray(row["data"], dtype=np.float64)})
         state = acc.state()
-        self.spans.updateValue((first,), (last,))
         saved = int(state["m"]), int(state["n_rows"]), float(state["delta"]), float(state["mass_lost"])
         self.kept.updateValue((first,), (*saved, np.asarray(state["data"], dtype=np.float64).tobytes()))
-        self.handle.registerTimer(self.closes(last))
 
     def handleInputRows(self, key, rows, timerValues):
+        known, timer = self._open()
         for frame in rows:
-            spans = [(first, last, None) for first, last in self._open()]
+            spans = [(first, last, None) for first, last in known.items()]
             spans += [(int(r["first_us"]), int(r["last_us"]), r) for r in frame.to_dict("records")]
             spans.sort(key=lambda s: s[:2])
-            at = 0
+            known, at = {}, 0
             while at < len(spans):
                 first, last = spans[at][:2]
                 to = at + 1
@@ -101,18 +119,24 @@ class SessionSketch(StatefulProcessor):
                     to += 1
                 met = [s[2] for s in spans[at:to] if s[2] is not None]
                 if met:
-                    self._merge([s[0] for s in spans[at:to] if s[2] is None], met, first, last)
+                    self._merge([s[0] for s in spans[at:to] if s[2] is None], met, first)
+                known[first] = last
                 at = to
+        self._save(known, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for first, last in self._open():
-            if self.closes(last) <= now:
-                row = _labelled(self._sketch(first), self.spec, key[0], 0, 0, True) | dict(first_us=first, last_us=last)
-                self.spans.removeKey((first,))
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
+        spans, _ = self._open()
+        done = [first for first, last in spans.items() if self.closes(last) <= now]
+        for at in range(0, len(done), TOGETHER):
+            rows = []
+            for first in done[at : at + TOGETHER]:
+                acc = self._sketch(first)
+                rows.append(_labelled(acc, self.spec, key[0], 0, 0, True) | dict(first_us=first, last_us=spans.pop(first)))
                 self.kept.removeKey((first,))
-                yield pd.DataFrame([row])[_NAMES]
+            yield pd.DataFrame(rows)[_NAMES]
+        self._save(spans, None)
 
     def close(self) -> None:
         pass
