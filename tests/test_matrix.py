@@ -220,3 +220,18 @@ def test_empty_cluster_stays(spark, to_rows):
     rows = to_rows(np.array([[0.0], [1.0]]))
     start = spark.createDataFrame([(0, [0.5]), (1, [100.0])], K.CENTERS)
     assert K.centers_array(K.lloyd(rows, start, 3))[1].tolist() == [[0.5], [100.0]]
+
+
+def test_generated_cells_are_hashed_once(spark):
+    """As Catalyst expressions the powers of the hash repeat it, thousands of operations a cell."""
+    ids = spark.sql("SELECT CAST(id AS INT) * 5 - 20 AS row_id FROM range(30) UNION ALL SELECT NULL UNION ALL SELECT 5")
+    sparse, full = S.sparse_uniform(ids, 70, 0.1, 2), S.uniform_matrix(ids, 6, 2)
+    for made in (sparse, full):
+        assert len(made._jdf.queryExecution().optimizedPlan().toString()) < 5000
+    assert [f.dataType.simpleString() for f in sparse.schema] == ["int", "int", "double"]
+    known = sorted([*range(-20, 130, 5), 5])
+    expected = [(i, j, float(uniform_hash(i, j, 3))) for i in known for j in range(70) if uniform_hash(i, j, 2) < 0.1]
+    assert sorted(map(tuple, sparse.collect())) == sorted(expected)
+    got = [(r.row_id, r.vec) for r in full.collect()]
+    assert [vec for i, vec in got if i is None] == [[None] * 6]
+    assert sorted(r for r in got if r[0] is not None) == [(i, [float(uniform_hash(i, j, 2)) for j in range(6)]) for i in known]
