@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import map_arrow
+from .session import expected_partitions, map_arrow
 
 ROWS = "row_id bigint, vec array<double>"
 ENTRIES = "i bigint, j int, v double"
 SPARSE_ROWS = "row_id bigint, idx array<int>, val array<double>"
+#: Column numbers that are counted at a time.
+COUNTED = 1 << 18
 
 
 def rows_to_entries(rows: DataFrame, keep_zeros: bool = False) -> DataFrame:
@@ -40,6 +42,39 @@ def entries_to_sparse_rows(entries: DataFrame, summed: bool = False) -> DataFram
     )
 
 
+def counted_rows(lists: DataFrame) -> DataFrame:
+    """Sparse rows of how often each column number occurs in the lists ``row_id, idx`` of a row.
+
+    Lists are counted where they are read, so what is exchanged are packed rows; rows of the same id are added up
+    then. Partitions follow the size of the input, so none of them grows with it."""
+
+    def count(batches):
+        for batch in batches:
+            sizes = np.diff(batch.column("idx").offsets.to_numpy())
+            ends, start = np.cumsum(sizes), 0
+            weights = "val" in batch.schema.names
+            idx = batch.column("idx").flatten().to_numpy().astype(np.int64)
+            val = batch.column("val").flatten().to_numpy() if weights else None
+            while start < len(sizes):
+                low = ends[start] - sizes[start]
+                stop = max(start + 1, int(np.searchsorted(ends, low + COUNTED, side="right")))
+                some, width = idx[low : ends[stop - 1]], idx[low : ends[stop - 1]].max(initial=0) + 1
+                cell, at = np.unique(np.repeat(np.arange(stop - start), sizes[start:stop]) * width + some, return_inverse=True)
+                total = np.bincount(at, weights=val[low : ends[stop - 1]] if weights else None, minlength=len(cell))
+                edges = pa.array(np.searchsorted(cell, np.arange(stop - start + 1) * width), pa.int32())
+                lists = [pa.array((cell % width).astype(np.int32)), pa.array(total.astype(np.float64))]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("row_id").slice(start, stop - start), *(pa.ListArray.from_arrays(edges, x) for x in lists)],
+                    ["row_id", "idx", "val"],
+                )
+                start = stop
+
+    packed = map_arrow(lists.select("row_id", "idx"), count, SPARSE_ROWS)
+    together = packed.repartition(expected_partitions(lists), "row_id").groupBy("row_id")
+    joined = together.agg(F.flatten(F.collect_list("idx")).alias("idx"), F.flatten(F.collect_list("val")).alias("val"))
+    return map_arrow(joined, count, SPARSE_ROWS)
+
+
 def sparse_rows_to_entries(sparse: DataFrame) -> DataFrame:
     return sparse.select(
         F.col("row_id").alias("i"), F.explode(F.arrays_zip("idx", "val")).alias("e")

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..api import SketchResult, sketch_matrix
-from ..layouts import entries_to_sparse_rows, rows_to_entries
+from ..layouts import counted_rows, entries_to_sparse_rows, rows_to_entries
 from ..operators.algebra import bucketize, row_slice
 from ..operators.errors import score, sketch_and_score
 from ..operators.kernels import Spec
@@ -172,10 +172,11 @@ _WORDS = (
 
 def word_rows(spark, sf):
     """Stored sparse rows of word counts, one a document, hashed to WIDE columns."""
-    words = table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "[ \n]+")).alias("w")).filter("w <> ''")
-    column = (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("bigint") % WIDE).cast("int")
-    entries = words.groupBy(F.col("doc_id").alias("i"), column.alias("j")).agg(F.count("*").cast("double").alias("v"))
-    return stored(entries_to_sparse_rows(entries), "words")
+    documents = table(spark, sf, "documents")
+    words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
+    columns = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % WIDE).cast("int"))
+    lists = documents.select(F.col("doc_id").alias("row_id"), columns.alias("idx")).filter("size(idx) > 0")
+    return stored(counted_rows(lists), "words")
 
 
 @query(

@@ -194,3 +194,19 @@ def test_centres_over_the_budget_are_not_fetched(spark):
             K.centers_array(wide)
     finally:
         spark.conf.unset("spark.tallgram.matrix.bytes")
+
+
+def test_counted_rows_add_up_rows_of_one_id(spark, monkeypatch):
+    """Counted where they are read and sent packed: no exchange of single entries."""
+    import tallgram.layouts as layouts
+
+    monkeypatch.setattr(layouts, "COUNTED", 4)
+    lists = spark.createDataFrame(
+        [(1, [5, 2, 5]), (2, [7]), (1, [2, 9, 9, 9, 0]), (None, [3]), (4, [1, 1, 1, 1, 1, 1])], "row_id bigint, idx array<int>"
+    )
+    made = layouts.counted_rows(lists.repartition(3))
+    got = {r.row_id: (r.idx, r.val) for r in made.collect()}
+    assert got == {
+        1: ([0, 2, 5, 9], [1.0, 2.0, 2.0, 3.0]), 2: ([7], [1.0]), None: ([3], [1.0]), 4: ([1], [6.0]),
+    }
+    assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
