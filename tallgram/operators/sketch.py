@@ -29,6 +29,8 @@ STATE = (
 )
 FAN_IN = 64
 LIVE_BYTES = 512 << 20
+#: Bytes of rows that one task of a reproducible split should read.
+PIECE_BYTES = 32 << 20
 
 _ARROW = pa.schema(
     [
@@ -292,6 +294,7 @@ def partial_states(
     tasks: int | None = None,
     buckets: int | None = None,
     starts: list[int] | None = None,
+    pieces: int = 1,
 ) -> DataFrame:
     """States of the rows each task reads. ``matrix`` is in row layout or, with ``m`` given, in
     sparse-row layout; ``key`` names a column that splits it into independent matrices.
@@ -301,7 +304,8 @@ def partial_states(
     ``buckets`` asks for a reproducible split instead of the scan's own: rows are dealt to that many
     buckets by a 64-bit hash of id and content and sorted by id and hash, so results do not depend on file
     layout even where ids repeat. ``starts`` (first row ids, as of ``ranges.balanced_starts``) deals
-    them to ranges of ids instead.
+    them to ranges of ids instead. A bucket or range is dealt to ``pieces`` parts by a second hash of its rows,
+    see ``split_pieces``.
     """
     specs = tuple(s.check() for s in specs)
     if len({s.grid_id for s in specs}) != len(specs):
@@ -321,7 +325,10 @@ def partial_states(
             picked = bucketize(picked, "row_id", starts)
         else:
             picked = picked.withColumn("bucket", F.pmod("content", F.lit(buckets)).cast("int"))
-        picked = picked.repartition(len(starts) if starts else buckets, "bucket")
+        if pieces > 1:
+            piece = F.pmod(F.xxhash64("content"), F.lit(pieces)).cast("int")
+            picked = picked.withColumn("bucket", F.col("bucket") * pieces + piece)
+        picked = picked.repartition((len(starts) if starts else buckets) * pieces, "bucket")
         picked = picked.sortWithinPartitions("bucket", "row_id", "content").drop("content")
     else:
         picked = picked.coalesce(tasks) if tasks else picked
@@ -329,6 +336,17 @@ def partial_states(
     return map_arrow(picked, lambda batches: _absorb(batches, specs, aux, m, LIVE_BYTES, budget), STATE)
 
 
+def split_pieces(matrix: DataFrame, parts: int, fan_in: int) -> int:
+    """Pieces of each of ``parts`` buckets that hold about ``PIECE_BYTES`` of rows: a power of ``fan_in``, so that
+    the first rounds of merges put buckets together again. It follows from the rows alone, not from their files."""
+    cells = F.greatest(F.size("idx"), F.lit(0)) * 12 if "idx" in matrix.columns else F.greatest(F.size("vec"), F.lit(0)) * 8
+    held = matrix.agg(F.sum(F.coalesce(cells, F.lit(0)).cast("long") + 48)).first()[0] or 0
+    pieces = 1
+    while held > parts * pieces * PIECE_BYTES:
+        pieces *= fan_in
+    return pieces
+
+
 def merge_states(
     states: DataFrame,
     specs,
@@ -374,8 +392,11 @@ def sketch(
     ``strict`` (default: on without a key) refuses a matrix with fewer rows than l.
     """
     specs = [specs] if isinstance(specs, Spec) else list(specs)
-    limit = len(starts or []) or buckets or tasks or expected_partitions(matrix)
-    states = partial_states(matrix, specs, key, m, aux, tasks, buckets, starts)
+    parts, pieces = len(starts or []) or buckets, 1
+    if parts:
+        pieces = split_pieces(matrix, parts, fan_in)
+    limit = parts * pieces if parts else tasks or expected_partitions(matrix)
+    states = partial_states(matrix, specs, key, m, aux, tasks, buckets, starts, pieces)
     strict = key is None if strict is None else strict
     return merge_states(states, specs, limit, fan_in, strict)
 

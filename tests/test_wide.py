@@ -196,6 +196,24 @@ def test_centres_over_the_budget_are_not_fetched(spark):
         spark.conf.unset("spark.tallgram.matrix.bytes")
 
 
+def test_reproducible_split_is_dealt_to_more_tasks_as_rows_grow(spark, monkeypatch):
+    """Four buckets of any number of rows were read by four tasks."""
+    import tallgram.operators.sketch as S
+
+    rows = spark.range(3000).select(
+        F.col("id").alias("row_id"), F.array(*[1 + F.sin(F.col("id") * (k + 1)) for k in range(6)]).alias("vec")
+    )
+    spec = Spec("batch_pfd", 3, b=20, alpha=0.5)
+    assert S.split_pieces(rows, 4, 2) == 1
+    monkeypatch.setattr(S, "PIECE_BYTES", 16 << 10)
+    pieces = S.split_pieces(rows, 4, 2)
+    assert pieces == 8  # 288,000 bytes in parts of 16 KiB
+    states = S.partial_states(rows, [spec], buckets=4, pieces=pieces).select("part", "n_rows").collect()
+    assert sorted(r.part for r in states) == list(range(32)) and max(r.n_rows for r in states) < 200
+    one, two = (R.sketch_and_score(x, spec, buckets=4, fan_in=2).first() for x in (rows, rows.repartition(7)))
+    assert one == two and one.n_rows == 3000 and one.certified
+
+
 def test_counted_rows_add_up_rows_of_one_id(spark, monkeypatch):
     """Counted where they are read and sent packed: no exchange of single entries."""
     import tallgram.layouts as layouts
