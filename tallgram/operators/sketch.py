@@ -64,6 +64,19 @@ def state_batch(rows: list[dict]) -> pa.RecordBatch:
     )
 
 
+def state_batches(rows):
+    """Small states together, as there may be one for each of very many keys."""
+    held, numbers = [], 0
+    for row in rows:
+        held.append(row)
+        numbers += len(row["data"])
+        if len(held) == 1024 or numbers >= 1 << 17:
+            yield state_batch(held)
+            held, numbers = [], 0
+    if held:
+        yield state_batch(held)
+
+
 def _labelled(acc, spec: Spec, key, phase: int, part: int, final: bool = False) -> dict:
     own = acc.spec
     return acc.state(final) | dict(
@@ -152,8 +165,9 @@ def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_byt
                 old, acc = live.popitem(last=False)
                 held -= _size(acc)
                 yield state_batch([_labelled(acc, _spec(specs, old[1]), old[0], old[2], old[3])])
-    for (key, grid_id, phase, part), acc in live.items():
-        yield state_batch([_labelled(acc, _spec(specs, grid_id), key, phase, part)])
+    yield from state_batches(
+        _labelled(acc, _spec(specs, grid_id), key, phase, part) for (key, grid_id, phase, part), acc in live.items()
+    )
 
 
 def _by_bucket(batches, partition: int):
@@ -224,6 +238,10 @@ def _state_rows(batches):
 
 
 def _combine(batches, specs, final: bool, strict: bool):
+    return state_batches(_combined(batches, specs, final, strict))
+
+
+def _combined(batches, specs, final: bool, strict: bool):
     """Merge runs of states sorted by (key, grid_id, part, phase)."""
     current, acc = None, None
     first = None  # finished phase 1 of a dynamic sketch
@@ -269,7 +287,7 @@ def _combine(batches, specs, final: bool, strict: bool):
         if name != current:
             if acc is not None:
                 for ready in done():
-                    yield state_batch([ready])
+                    yield ready
             spec = _spec(specs, row["grid_id"])
             current = name
             acc = merger(spec, row["m"], row["phase"])
@@ -280,9 +298,9 @@ def _combine(batches, specs, final: bool, strict: bool):
         acc.mark = latest(acc.mark, row["mark"])
     if acc is not None:
         for ready in done():
-            yield state_batch([ready])
+            yield ready
     for ready in alone():
-        yield state_batch([ready])
+        yield ready
 
 
 def partial_states(

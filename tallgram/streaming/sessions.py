@@ -14,7 +14,10 @@ from ..operators.sketch import LIVE_BYTES, STATE, _absorb, _labelled
 from ..session import map_arrow, matrix_budget
 
 _CONDENSED = STATE + ", first_us bigint, last_us bigint"
-_KEPT = "m int, n_rows bigint, delta double, mass_lost double, data binary"
+_KEPT = (
+    "first array<bigint>, last array<bigint>, m array<int>, n_rows array<bigint>, delta array<double>, "
+    "mass_lost array<double>, data array<binary>, timer bigint"
+)
 #: Sessions of a key that are emitted in one batch of rows.
 TOGETHER = 64
 _NAMES = [f.split()[0] for f in _CONDENSED.split(", ")]
@@ -42,28 +45,29 @@ def condense_panes(batches, spec: Spec, budget: int):
 
 
 class SessionSketch(StatefulProcessor):
-    """The open sessions of a key: their spans in one value, read as a whole, and their sketches, each read
-    when rows meet it. A session is told by its first time; a key has one timer, for its next session to close."""
+    """The open sessions of a key, spans and sketches, in one value that is read and written as a whole: each call
+    to the state store costs more than a session's numbers. A session is told by its first time; a key has one
+    timer, for its next session to close."""
 
     def __init__(self, spec: Spec, gap: int):
         self.spec, self.gap = spec, gap
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.spans = handle.getValueState("spans", "first array<bigint>, last array<bigint>, timer bigint")
-        self.kept = handle.getMapState("sketches", "first bigint", _KEPT)
+        self.kept = handle.getValueState("sessions", _KEPT)
 
-    def _open(self) -> tuple[dict[int, int], int | None]:
-        """Last time by first time of the open sessions, and the timer."""
-        if not self.spans.exists():
-            return {}, None
-        first, last, timer = self.spans.get()
-        return {int(f): int(x) for f, x in zip(first, last)}, timer
+    def _open(self) -> tuple[dict[int, int], dict[int, tuple], int | None]:
+        """Last time and sketch by first time of the open sessions, and the timer."""
+        if not self.kept.exists():
+            return {}, {}, None
+        *columns, timer = self.kept.get()
+        sessions = list(zip(*columns))
+        return {int(s[0]): int(s[1]) for s in sessions}, {int(s[0]): tuple(s[2:]) for s in sessions}, timer
 
-    def _save(self, spans: dict[int, int], timer: int | None) -> None:
+    def _save(self, spans: dict[int, int], sketches: dict[int, tuple], timer: int | None) -> None:
         """``timer`` is the one that is still to fire; it is replaced where a session closes before it."""
         if not spans:
-            self.spans.clear()
+            self.kept.clear()
             return
         due = min(map(self.closes, spans.values()))
         if timer is None or due < timer:
@@ -71,30 +75,29 @@ class SessionSketch(StatefulProcessor):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(due)
             timer = due
-        self.spans.update((list(spans), list(spans.values()), timer))
+        sessions = [list(x) for x in zip(*(sketches[first] for first in spans))]
+        self.kept.update((list(spans), list(spans.values()), *sessions, timer))
 
     def closes(self, last: int) -> int:
         """Millisecond the watermark must reach: rows that still may come then are ``gap`` later at least."""
         return -(-(last + 2 * self.gap) // 1000)
 
-    def _sketch(self, first: int):
-        m, n_rows, delta, mass_lost, data = self.kept.getValue((first,))
+    def _sketch(self, kept: tuple):
+        m, n_rows, delta, mass_lost, data = kept
         acc = merger(self.spec, int(m))
         acc.mark = None
         acc.merge(dict(n_rows=n_rows, delta=delta, delta_first=0.0, mass_lost=mass_lost, data=np.frombuffer(data)))
         return acc
 
-    def _merge(self, old: list[int], rows: list[dict], first: int) -> None:
+    def _merge(self, sketches: dict[int, tuple], old: list[int], rows: list[dict], first: int) -> None:
         """One session of the open ones that ``rows`` touch or bridge, and of the rows."""
         acc = None
         for start in old:
-            known = self._sketch(start)
+            known = self._sketch(sketches.pop(start))
             if acc is None:
                 acc = known
             else:
                 acc.merge(known.state())
-            if start != first:
-                self.kept.removeKey((start,))
         for row in rows:
             if acc is None:
                 acc = merger(self.spec, int(row["m"]))
@@ -102,10 +105,10 @@ class SessionSketch(StatefulProcessor):
             acc.merge(row | {"data": np.asarray(row["data"], dtype=np.float64)})
         state = acc.state()
         saved = int(state["m"]), int(state["n_rows"]), float(state["delta"]), float(state["mass_lost"])
-        self.kept.updateValue((first,), (*saved, np.asarray(state["data"], dtype=np.float64).tobytes()))
+        sketches[first] = (*saved, np.asarray(state["data"], dtype=np.float64).tobytes())
 
     def handleInputRows(self, key, rows, timerValues):
-        known, timer = self._open()
+        known, sketches, timer = self._open()
         for frame in rows:
             spans = [(first, last, None) for first, last in known.items()]
             spans += [(int(r["first_us"]), int(r["last_us"]), r) for r in frame.to_dict("records")]
@@ -119,24 +122,23 @@ class SessionSketch(StatefulProcessor):
                     to += 1
                 met = [s[2] for s in spans[at:to] if s[2] is not None]
                 if met:
-                    self._merge([s[0] for s in spans[at:to] if s[2] is None], met, first)
+                    self._merge(sketches, [s[0] for s in spans[at:to] if s[2] is None], met, first)
                 known[first] = last
                 at = to
-        self._save(known, timer)
+        self._save(known, sketches, timer)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
-        spans, _ = self._open()
+        spans, sketches, _ = self._open()
         done = [first for first, last in spans.items() if self.closes(last) <= now]
         for at in range(0, len(done), TOGETHER):
             rows = []
             for first in done[at : at + TOGETHER]:
-                acc = self._sketch(first)
+                acc = self._sketch(sketches.pop(first))
                 rows.append(_labelled(acc, self.spec, key[0], 0, 0, True) | dict(first_us=first, last_us=spans.pop(first)))
-                self.kept.removeKey((first,))
             yield pd.DataFrame(rows)[_NAMES]
-        self._save(spans, None)
+        self._save(spans, sketches, None)
 
     def close(self) -> None:
         pass
