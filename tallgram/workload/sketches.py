@@ -3,6 +3,11 @@ covariance error stays within what the sketch certifies."""
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from ..api import SketchResult, sketch_matrix
@@ -14,7 +19,7 @@ from ..operators.linear import count_sketch, gaussian_sketch
 from ..operators.ranges import balanced_sparse_starts
 from ..operators.sketch import realised_size, sketch, update_sketch
 from ..operators.spectra import gram_state
-from ..session import stored
+from ..session import map_arrow, stored
 from .registry import (
     ACCOUNT_MASS, ACCOUNTS, EMB, EMB_MASS, HOURS, LINE_MASS, LINES, account_entries, embeddings,
     entries_out, line_matrix, query, rounded, sql_bucket, sql_gaussian, sql_rounded, sql_sign, table,
@@ -172,13 +177,25 @@ _WORDS = (
 
 def word_rows(spark, sf):
     """Stored sparse rows of word counts, one a document, hashed to WIDE columns."""
-    documents = table(spark, sf, "documents")
-    words = F.filter(F.split("text", "[ \n]+"), lambda w: w != "")
-    columns = F.transform(words, lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint") % WIDE).cast("int"))
-    lists = documents.select(F.col("doc_id").alias("row_id"), columns.alias("idx")).filter("size(idx) > 0")
+    documents = table(spark, sf, "documents").select(F.col("doc_id").cast("long").alias("row_id"), "text")
+    lists = map_arrow(documents, hashed_words, "row_id bigint, idx array<int>").filter("size(idx) > 0")
     return stored(counted_rows(lists), "words")
 
 
+def hashed_words(batches):
+    """Column numbers of the words of each text; a word is hashed once a batch."""
+    for batch in batches:
+        texts = batch.column("text").fill_null("")
+        lists = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        words = lists.flatten().dictionary_encode()
+        column = [int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % WIDE if w else -1 for w in words.dictionary.to_pylist()]
+        idx = np.array(column, dtype=np.int32)[words.indices.to_numpy()]
+        keep = idx >= 0
+        ends = np.concatenate([[0], np.cumsum(keep)])[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        idx = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(idx[keep]))
+        yield pa.RecordBatch.from_arrays([batch.column("row_id"), idx], ["row_id", "idx"])
+
+
 @query(
     "wide_sparse_grid",
     f"SELECT kind, CAST(l AS INTEGER) AS l, CAST({WIDE} AS INTEGER) AS m, {sql_rounded('CAST(s AS DOUBLE)', 2)} AS mass, true AS certified, true AS projection_fits "

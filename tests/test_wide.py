@@ -228,3 +228,69 @@ def test_counted_rows_add_up_rows_of_one_id(spark, monkeypatch):
         1: ([0, 2, 5, 9], [1.0, 2.0, 2.0, 3.0]), 2: ([7], [1.0]), None: ([3], [1.0]), 4: ([1], [6.0]),
     }
     assert "Generate" not in made._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("kind", ["sparse_batch_pfd", "sparse_rand_batch_pfd"])
+def test_a_pool_of_sparse_rows_writes_the_sketch_once(rng, monkeypatch, kind):
+    from tallgram.operators import kernels as K
+
+    a = rng.integers(1, 9, (1000, 60)) * (rng.random((1000, 60)) < 0.15) * 1.0
+    a[500:520] = 0.0
+    i, j = np.nonzero(a)
+    sizes = np.bincount(i, minlength=len(a))
+
+    def sketched():
+        acc = K.accumulator(K.Spec(kind, 6, b=5, alpha=0.5), 60)
+        for low in range(0, 1000, 300):
+            mine = (i >= low) & (i < low + 300)
+            acc.add_sparse(sizes[low : low + 300], j[mine], a[i, j][mine])
+        return acc.state(True)
+
+    writes, plain = [], K.SparseBlock.add_transposed
+    monkeypatch.setattr(K.SparseBlock, "add_transposed", lambda self, w, out: (writes.append(1), plain(self, w, out)))
+    pooled = sketched()
+    assert len(writes) <= 6  # and not once for each of about 100 shrinks
+    monkeypatch.setattr(K, "POOL_ROWS", 0)  # a shrink at a time
+    each = sketched()
+    assert pooled["n_rows"] == each["n_rows"] == np.count_nonzero(sizes)
+    np.testing.assert_allclose([pooled[n] for n in ("delta", "mass_lost")], [each[n] for n in ("delta", "mass_lost")], rtol=1e-9)
+    b, c = (s["data"].reshape(-1, 60) for s in (pooled, each))
+    np.testing.assert_allclose(b.T @ b, c.T @ c, atol=1e-8 * (a * a).sum())
+    if kind == "sparse_batch_pfd":
+        dense = K.accumulator(K.Spec("batch_pfd", 6, b=5, alpha=0.5), 60)
+        dense.add(a[sizes > 0])
+        dense = dense.state(True)
+        np.testing.assert_allclose(pooled["delta"], dense["delta"], rtol=1e-9)
+        d = dense["data"].reshape(-1, 60)
+        np.testing.assert_allclose(b.T @ b, d.T @ d, atol=1e-8 * (a * a).sum())
+
+
+@pytest.mark.parametrize("share", [0.02, 0.9])
+def test_sparse_block_products(rng, share):
+    from tallgram.operators.kernels import SparseBlock
+
+    a = rng.standard_normal((40, 90)) * (rng.random((40, 90)) < share)
+    a[7] = 0.0
+    i, j = np.nonzero(a)
+    block = SparseBlock([(np.r_[i, i], np.r_[j, j], np.r_[a[i, j], a[i, j]])], 40, 90)  # equal cells add up
+    x, w = rng.standard_normal((90, 33)), rng.standard_normal((40, 5))
+    np.testing.assert_allclose(block.times(x), 2 * a @ x, atol=1e-12)
+    np.testing.assert_allclose(block.gram(16), 4 * a @ a.T, atol=1e-11)
+    for out in (np.ones((5, 90)), np.asfortranarray(np.ones((5, 90)))):
+        block.add_transposed(w, out)
+        np.testing.assert_allclose(out, 1 + 2 * w.T @ a, atol=1e-12)
+
+
+def test_words_are_hashed_once_a_batch():
+    import hashlib
+
+    import pyarrow as pa
+
+    from tallgram.workload.sketches import WIDE, hashed_words
+
+    texts = ["", None, " a\n\nb a ", "\n", "\tb\r é", "a"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array(["x", "y z", *texts])], ["row_id", "text"])
+    (got,) = hashed_words([batch.slice(2)])
+    words = [[], [], ["a", "b", "a"], [], ["\tb\r", "é"], ["a"]]
+    expected = [[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % WIDE for w in ws] for ws in words]
+    assert got.column("idx").to_pylist() == expected and got.column("row_id").to_pylist() == list(range(2, 8))
