@@ -41,8 +41,8 @@ TOP_TERMS = 10
 #: Counts in one block, about, and the sources of one stripe.
 BLOCK_COUNTS = 100_000
 STRIPE = 1_000
-#: Summed counts that a task holds before it hands them on.
-HELD = 1 << 21
+#: Summed counts that a task holds before it hands them on, and terms of one packed row of them.
+HELD, PACKED = 1 << 21, 1 << 12
 
 
 #: 1 for the bytes of a term: letters and all bytes beyond ASCII.
@@ -109,7 +109,8 @@ def vocabulary(rows: DataFrame, min_docs: int) -> DataFrame:
 
 def summed(vectors: DataFrame) -> DataFrame:
     """Sums of the sparse ``vector`` per lang and source: lang, source, index, count. Tasks add up what
-    they read and hand on sums of at most about ``HELD`` entries at a time."""
+    they read and hand on sums of at most about ``HELD`` entries at a time, as lists of a group's sums of a
+    block of ``PACKED`` indexes; blocks are added up one after the other."""
 
     def run(batches):
         names: dict[tuple[str, str], int] = {}
@@ -126,10 +127,13 @@ def summed(vectors: DataFrame) -> DataFrame:
             group = list(names)
             lang = pa.array([g[0] for g in group], pa.string())
             source = pa.array([g[1] for g in group], pa.string())
-            at = pa.array(key >> np.int64(32))
+            index = (key & np.int64(0xFFFFFFFF)).astype(np.int32)
+            block = key // PACKED  # of a group and its indexes, as PACKED divides 1 << 32
+            heads = np.flatnonzero(np.diff(block, prepend=-1))
+            at, edges = pa.array(key[heads] >> np.int64(32)), pa.array(np.append(heads, len(key)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(edges, pa.array(x)) for x in (index, total)]
             return pa.RecordBatch.from_arrays(
-                [lang.take(at), source.take(at), pa.array((key & np.int64(0xFFFFFFFF)).astype(np.int32)), pa.array(total)],
-                names=["lang", "source", "index", "count"],
+                [lang.take(at), source.take(at), pa.array(index[heads] // PACKED), *lists], names=["lang", "source", "block", "index", "count"]
             )
 
         for batch in batches:
@@ -151,8 +155,37 @@ def summed(vectors: DataFrame) -> DataFrame:
         if size:
             yield batch_of(*merged())
 
-    parts = map_arrow(vectors, run, "lang string, source string, index int, count long")
-    return parts.groupBy("lang", "source", "index").agg(F.sum("count").alias("count"))
+    packed = map_arrow(vectors, run, "lang string, source string, block int, index array<int>, count array<long>")
+    packed = packed.repartition("lang", "source", "block").sortWithinPartitions("lang", "source", "block")
+    return map_arrow(packed, _added_blocks, "lang string, source string, index int, count long")
+
+
+def _added_blocks(batches):
+    """Sums of rows sorted by lang, source and block; what is held are the sums of the last, still open block."""
+    name, start, total = None, 0, np.zeros(PACKED, dtype=np.int64)
+
+    def done():
+        index = np.flatnonzero(total)
+        names = [pa.array([x] * len(index), pa.string()) for x in name[:2]]
+        return pa.RecordBatch.from_arrays([*names, pa.array((start + index).astype(np.int32)), pa.array(total[index])], names=["lang", "source", "index", "count"])
+
+    for batch in batches:
+        held = []
+        offsets = batch.column("index").offsets.to_numpy()
+        offsets = offsets - offsets[0] if len(offsets) else offsets
+        index, count = (batch.column(c).flatten().to_numpy() for c in ("index", "count"))
+        for row, own in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "block")))):
+            if own != name:
+                if name is not None:
+                    held.append(done())
+                name, start = own, own[2] * PACKED
+                total = np.zeros(PACKED, dtype=np.int64)
+            low, high = offsets[row], offsets[row + 1]
+            total[index[low:high] - start] += count[low:high]  # each index once a row
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+    if name is not None:
+        yield done()
 
 
 def indexed(vectors: DataFrame) -> DataFrame:
@@ -282,8 +315,11 @@ def pair_sums(counts: DataFrame, groups: DataFrame, sizes: DataFrame) -> DataFra
 
 
 def _share(count: str, total: str) -> Column:
-    """The share in exact decimals."""
-    return F.expr(f"1 + ({SCALE}BD * cast({count} + 2 as decimal(20,0))) div cast({total} + 2 * kept as decimal(20,0))")
+    """The share, in 64-bit integers where the product fits them, else in exact decimals."""
+    return F.expr(
+        f"CASE WHEN {count} < 9000000000 THEN 1 + ({SCALE}L * ({count} + 2)) div ({total} + 2 * kept) "
+        f"ELSE 1 + ({SCALE}BD * cast({count} + 2 as decimal(20,0))) div cast({total} + 2 * kept as decimal(20,0)) END"
+    )
 
 
 def audit(

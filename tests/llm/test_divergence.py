@@ -94,3 +94,26 @@ def test_nothing_kept_empty_table_and_other_columns(spark):
     assert D.audit(frame(spark, few).limit(0)).count() == 0
     wide = frame(spark, few).selectExpr("*", "1 AS terms", "2 AS count", "3 AS item", "4 AS rank", "5 AS words", "6 AS n")
     assert result(D.audit(wide, min_docs=1)) == brute(few, 1)
+
+
+def test_sums_travel_packed(spark, monkeypatch):
+    """Tasks hand on lists of sums, also when they do so often; what comes out has each index once."""
+    monkeypatch.setattr(D, "HELD", 50)
+    rows = [(f"l{n % 2}", f"s{n % 3}", [(n * 7 + k * k) % 90 * 101 for k in range(9)]) for n in range(120)]
+    sparse = "struct<indices:array<int>,values:array<double>>"
+    made = [(a, b, (sorted(set(x)), [float(x.count(i)) for i in sorted(set(x))])) for a, b, x in rows]
+    vectors = spark.createDataFrame(made, f"lang string, source string, vector {sparse}").repartition(4)
+    sums = D.summed(vectors)
+    assert "HashAggregate" not in sums._jdf.queryExecution().executedPlan().toString()
+    got = {(r.lang, r.source, r["index"]): r["count"] for r in sums.collect()}
+    expected: dict = {}
+    for a, b, x in rows:
+        for i in x:
+            expected[a, b, i] = expected.get((a, b, i), 0) + 1
+    assert got == expected and sums.count() == len(expected)
+
+
+def test_shares_beyond_64_bits(spark):
+    frame = spark.createDataFrame([(c, 10**17, 1000) for c in (0, 1, 8999999999, 9000000000, 10**12, 10**16)], "count long, n long, kept long")
+    got = [r.p for r in frame.select(D._share("count", "n").cast("long").alias("p")).collect()]
+    assert got == [1 + 10**9 * (c + 2) // (10**17 + 2000) for c in (0, 1, 8999999999, 9000000000, 10**12, 10**16)]
