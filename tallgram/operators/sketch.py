@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import math
 from collections import OrderedDict
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from ..layouts import dense_block
 from ..session import check_bytes, expected_partitions, map_arrow, matrix_budget
 from .algebra import bucketize
 from .kernels import LINEAR, SHRINKING, Spec, accumulator, merger
+from .many import SMALL, Pool, States, coded, merged, run_heads, spread, together
 
 STATE = (
     "key string, grid_id int, phase int, part int, kind string, l int, b int, alpha double, m int, "
@@ -29,6 +31,10 @@ STATE = (
 )
 FAN_IN = 64
 LIVE_BYTES = 512 << 20
+#: Keys of a batch from which on, where there are as many as a sixteenth of its rows, they are condensed together.
+MANY_KEYS = 64
+#: Mark of a state that has none.
+LATEST = np.iinfo(np.int64).min
 #: Bytes of rows that one task of a reproducible split should read.
 PIECE_BYTES = 32 << 20
 
@@ -85,6 +91,33 @@ def _labelled(acc, spec: Spec, key, phase: int, part: int, final: bool = False)
     )
 
 
+def labelled_batch(keys, spec: Spec, phase: int, part, states: States, mark=None) -> pa.RecordBatch:
+    """States as rows of STATE; ``part`` is a number or one for each, ``mark`` has LATEST where there is none."""
+    n = len(states)
+    l = spec.l2 if spec.kind == "dynamic_fd" and phase != 1 else spec.l
+    height = states.cells // np.maximum(states.m, 1)
+    if spec.kind in LINEAR:
+        height = states.m if spec.kind == "gram" else np.full(n, l)
+    same = dict(grid_id=spec.grid_id, phase=phase, kind=spec.kind, l=l, b=spec.extra, alpha=spec.alpha)
+    columns = {name: pa.repeat(pa.scalar(x, _ARROW.field(name).type), n) for name, x in same.items()}
+    columns |= dict(
+        key=pa.nulls(n, pa.string()) if keys is None else keys, part=np.full(n, part) if np.isscalar(part) else part, m=states.m, filled=height,
+        n_rows=states.n_rows, delta=states.delta, delta_first=states.delta_first, mass_lost=states.mass_lost, data=states.lists(),
+        mark=pa.nulls(n, pa.int64()) if mark is None else pa.array(mark, pa.int64(), mask=mark == LATEST),
+    )
+    arrays = [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in ((columns[f.name], f) for f in _ARROW)]
+    return pa.RecordBatch.from_arrays(arrays, schema=_ARROW)
+
+
+def _in_parts(keys, spec: Spec, phase: int, part: np.ndarray, states: States, mark=None):
+    """The same in batches of few numbers."""
+    edges = np.append(run_heads(np.arange(len(states)) // 8192, np.cumsum(states.cells) >> 17), len(states))
+    ends = np.append(0, np.cumsum(states.cells))
+    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        some = States(*(x[low:high] for x in states.scalars()), states.data[ends[low] : ends[high]])
+        yield labelled_batch(keys.slice(low, high - low), spec, phase, part[low:high], some, None if mark is None else mark[low:high])
+
+
 def _groups(keys):
     """(key, positions) per distinct key of a batch; one group when there is no key column."""
     if keys is None:
@@ -117,8 +150,12 @@ def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_byt
     task = TaskContext.get()
     live: OrderedDict = OrderedDict()
     held = 0
+    pools = {spec: Pool(spec) for spec in specs} if all(map(_pooled, specs)) else {}
     for part, batch in _by_bucket(batches, task.partitionId() if task else 0):
         columns = batch.schema.names
+        if pools and "key" in columns and "vec" in columns and _many_keys(batch.column("key")):
+            yield from _pool(pools, part, batch, budget)
+            continue
         ids = batch.column("row_id").to_numpy(zero_copy_only=False)
         marks = batch.column("mark").to_numpy(zero_copy_only=False) if "mark" in columns else None
         sparse = "idx" in columns
@@ -168,6 +205,49 @@ def _absorb(batches, specs: tuple[Spec, ...], aux: dict, m: int | None, live_byt
     yield from state_batches(
         _labelled(acc, _spec(specs, grid_id), key, phase, part) for (key, grid_id, phase, part), acc in live.items()
     )
+    for spec, pool in pools.items():
+        for keys, parts, _, (mark,), states in pool.rest():
+            yield from _in_parts(keys, spec, 2, parts, states, mark)
+
+
+def _pooled(spec: Spec) -> bool:
+    return spec.kind == "gram" or (spec.kind in SHRINKING and not spec.kind.startswith("sparse") and together(spec))
+
+
+def _many_keys(keys) -> bool:
+    distinct = len(keys.dictionary_encode().dictionary)
+    return distinct >= MANY_KEYS and distinct * 16 >= len(keys)
+
+
+def _pool(pools: dict, part: int, batch, budget: int):
+    """Rows of a batch in which most keys have few: added up by key at once, not one key after the other."""
+    block = dense_block(batch.column("vec"))
+    n, m = block.shape
+    by = np.full(n, part)
+    marks = np.full(n, LATEST)
+    if "mark" in batch.schema.names:
+        marks = batch.column("mark").to_numpy(zero_copy_only=False).astype(np.int64)
+    for spec, pool in pools.items():
+        check_bytes(spec.state_bytes(m), f"a {spec.kind} state", budget)
+        if spec.kind == "gram":
+            order = np.argsort(coded(batch.column("key")), kind="stable")
+            heads = run_heads(coded(batch.column("key"))[order])
+            step = max((1 << 20) // (m * m), 1)
+            products = np.zeros((len(heads), m, m))
+            run = np.repeat(np.arange(len(heads)), np.diff(heads, append=n))
+            for at in range(0, n, step):
+                some = order[at : at + step]
+                own = run[at : at + step]
+                cuts = run_heads(own)
+                products[own[cuts]] += np.add.reduceat(block[some][:, :, None] * block[some][:, None, :], cuts, axis=0)
+            square = np.add.reduceat(np.einsum("ij,ij->i", block, block)[order], heads)
+            zeros = np.zeros(len(heads))
+            states = States(np.full(len(heads), m), np.diff(heads, append=n), zeros, zeros, square, np.full(len(heads), m * m), products.ravel())
+            found = pool.add(batch.column("key").take(pa.array(order[heads])), by[heads], [], [np.maximum.reduceat(marks[order], heads)], states)
+        else:
+            found = pool.add(batch.column("key"), by, [], [marks], States.of_rows(block))
+        for keys, parts, _, (mark,), states in found:
+            yield from _in_parts(keys, spec, 2, parts, states, mark)
 
 
 def _by_bucket(batches, partition: int):
@@ -238,7 +318,58 @@ def _state_rows(batches):
 
 
 def _combine(batches, specs, final: bool, strict: bool):
-    return state_batches(_combined(batches, specs, final, strict))
+    if not all(map(together, specs)):
+        return state_batches(_combined(batches, specs, final, strict))
+    first = next((batch for batch in batches if batch.num_rows), None)
+    if first is None:
+        return iter(())
+    batches = chain([first], batches)
+    if len(first.column("data").flatten()) > SMALL * first.num_rows:
+        return state_batches(_combined(batches, specs, final, strict))
+    return _combined_many(batches, specs, final, strict)
+
+
+def _combined_many(batches, specs, final: bool, strict: bool):
+    """``_combined`` for states of few numbers: all runs that end in a batch by one step over arrays."""
+
+    def done(keys, grid, part, phase, mark, states, heads):
+        counts = np.diff(heads, append=len(states))
+        for spec in specs:
+            own = np.flatnonzero(grid[heads] == spec.grid_id)
+            if not len(own):
+                continue
+            first = heads[own]
+            starts = np.cumsum(counts[own]) - counts[own]
+            some = states if len(own) == len(heads) else states.take(spread(first, counts[own]))
+            row = merged(some, starts, spec, final)
+            marks = np.maximum.reduceat(mark, heads)[own]
+            if final and strict and spec.kind in SHRINKING and (row.n_rows < spec.l).any():
+                raise ValueError(f"l={spec.l} exceeds the {row.n_rows[row.n_rows < spec.l][0]} rows")
+            names, parts = keys.take(pa.array(first)), np.zeros(len(own), np.int64) if final else part[first]
+            if final:
+                yield from _in_parts(names, spec, 0, parts, row, marks)
+                continue
+            for value in np.unique(phase[first]).tolist():
+                at = np.flatnonzero(phase[first] == value)
+                yield from _in_parts(names.take(pa.array(at)), spec, value, parts[at], row.take(at), marks[at])
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        numbers = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("grid_id", "part", "phase")]
+        mark = batch.column("mark").fill_null(LATEST).to_numpy(zero_copy_only=False)
+        here = [batch.column("key"), *numbers, mark, States.of_batch(batch)]
+        if held is not None:
+            here = [pa.concat_arrays([held[0], here[0]]), *(np.concatenate(x) for x in zip(held[1:5], here[1:5])), States.joined([held[5], here[5]])]
+        heads = run_heads(coded(here[0]), *here[1:4])
+        low = int(heads[-1])
+        if low:
+            yield from done(here[0].slice(0, low), *(x[:low] for x in here[1:5]), here[5].take(np.arange(low)), heads[:-1])
+        rest = np.arange(low, len(here[1]))
+        open_run = merged(here[5].take(rest), np.zeros(1, np.int64), _spec(specs, int(here[1][low])))
+        held = [here[0].slice(low, 1), *(x[low : low + 1] for x in here[1:4]), here[4][low:].max(keepdims=True), open_run]
+    yield from done(*held, np.zeros(1, np.int64))
 
 
 def _combined(batches, specs, final: bool, strict: bool):
